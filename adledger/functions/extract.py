@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from adledger import lexicon as lx
 from adledger.functions.text import (
-    case, contains_any, digits, first_group, scan, strip, within,
+    case, contains_any, digits, first_group, let, scan, strip, within,
 )
 
 
@@ -30,8 +30,9 @@ def price_eur(text: Column) -> Column:
         ),
         lambda m: m["value"].between(*lx.PRICE_RANGE) & (m["marked"] | ~m["near_km"]),
     )
-    first_marked = F.get(F.filter(hits, lambda m: m["marked"]), F.lit(0))["value"]
-    return F.coalesce(first_marked, F.get(hits, F.lit(0))["value"])
+    return let(hits, lambda h: F.coalesce(
+        F.get(F.filter(h, lambda m: m["marked"]), F.lit(0)), F.get(h, F.lit(0))
+    ))["value"]
 
 
 def price_label_lower(lower: Column) -> Column:
@@ -44,8 +45,7 @@ def price_label_lower(lower: Column) -> Column:
 
 
 def mileage_km(text: Column) -> Column:
-    value = digits(first_group(text, lx.MILEAGE))
-    return F.when(value <= lx.MILEAGE_LIMIT, value)
+    return within(digits(first_group(text, lx.MILEAGE)), (0, lx.MILEAGE_LIMIT))
 
 
 def power_hp(text: Column) -> Column:
@@ -67,12 +67,11 @@ def first_registration(text: Column) -> Column:
         lambda m: ~contains_any(F.lower(m["left"]), lx.INSPECTION_WORDS)
         & m["g2"].try_cast("int").between(*lx.PRODUCTION_YEARS),
     )
-    hit = F.get(dated, F.lit(0))
-    bare_year = first_group(text, lx.PRODUCTION_YEAR)
-    return F.coalesce(
-        F.concat(hit["g2"], F.lit("-"), F.lpad(hit["g1"], 2, "0")),
-        F.concat(bare_year, F.lit("-01")),
+    first = F.get(
+        F.transform(dated, lambda m: F.concat(m["g2"], F.lit("-"), F.lpad(m["g1"], 2, "0"))),
+        F.lit(0),
     )
+    return F.coalesce(first, F.concat(first_group(text, lx.PRODUCTION_YEAR), F.lit("-01")))
 
 
 def tuv_until(text: Column) -> Column:
@@ -143,10 +142,10 @@ def body_style_lower(lower: Column) -> Column:
 
 def displacement_cc_lower(lower: Column) -> Column:
     litres = F.replace(first_group(lower, lx.DISPLACEMENT), F.lit(","), F.lit("."))
-    out = F.lit(None).cast("int")
-    for size, cc in lx.DISPLACEMENT_CC.items():
-        out = F.when(litres == size, F.lit(cc)).otherwise(out)
-    return F.when(lower.rlike(lx.SUPERCHARGED_62), F.lit(lx.SUPERCHARGED_CC)).otherwise(out)
+    known = F.create_map(*[F.lit(v) for pair in lx.DISPLACEMENT_CC.items() for v in pair])
+    return F.when(lower.rlike(lx.SUPERCHARGED_62), F.lit(lx.SUPERCHARGED_CC)).otherwise(
+        F.try_element_at(known, litres)
+    )
 
 
 def drivetrain_lower(lower: Column) -> Column:
@@ -155,14 +154,15 @@ def drivetrain_lower(lower: Column) -> Column:
 
 def condition_lower(lower: Column) -> Column:
     """Stated vehicle condition; a value with digits or accident words is skipped."""
-    def stated(pattern: str) -> Column:
-        value = strip(first_group(lower, pattern))
-        usable = (
-            F.length(value).between(2, 40) & ~value.rlike(r"(?U)\d") & ~value.contains("unfall")
-        )
-        return F.when(usable, F.concat(F.upper(F.left(value, F.lit(1))), F.substr(value, F.lit(2))))
+    def usable(value: Column) -> Column:
+        fits = F.length(value).between(2, 40)
+        plain = ~value.rlike(r"(?U)\d") & ~value.contains("unfall")
+        capitalized = F.concat(F.upper(F.left(value, F.lit(1))), F.substr(value, F.lit(2)))
+        return F.when(fits & plain, capitalized)
 
-    return F.coalesce(*[stated(p) for p in lx.CONDITION_PATTERNS])
+    return F.coalesce(
+        *[let(strip(first_group(lower, p)), usable) for p in lx.CONDITION_PATTERNS]
+    )
 
 
 def owners_count_lower(lower: Column) -> Column:

@@ -22,6 +22,11 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it as often as ``body`` likes."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def blank_to_null(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
@@ -45,7 +50,7 @@ def digits(text: Column) -> Column:
 
 
 def within(value: Column, bounds: tuple[int, int]) -> Column:
-    return F.when(value.between(*bounds), value)
+    return let(value, lambda v: F.when(v.between(*bounds), v))
 
 
 def case(branches: list[tuple[Column, str]]) -> Column:
@@ -74,32 +79,41 @@ def scan(text: Column, pattern: str, *, groups: int, left: int, right: int, shor
     clean = F.translate(text, _START + _GROUPS + _END + _SEP, "    ")
     captured = _SEP.join(f"${g}" for g in range(1, groups + 1))
     marked = F.regexp_replace(clean, pattern, f"{_START}$0{_GROUPS}{captured}{_END}")
-    pieces = F.split(marked, _START)
     span_left = ceil(left / shortest) + 1
     span_right = ceil(right / shortest) + 1
+    copies = f"{_GROUPS}[^{_END}]*{_END}"
 
     def original(parts: Column) -> Column:
-        # inside the pieces, group copies are dropped and the text is whole again
-        return F.regexp_replace(
-            F.array_join(parts, ""), f"{_GROUPS}[^{_END}]*{_END}", ""
-        )
+        # without the group copies the text between the marks is whole again
+        return F.regexp_replace(F.array_join(parts, ""), copies, "")
 
-    def one(piece: Column, index: Column) -> Column:
-        values = F.split(
-            F.substring_index(F.substring_index(piece, _END, 1), _GROUPS, -1), _SEP
-        )
+    def contexts(pieces: Column, piece: Column, index: Column) -> list[Column]:
         begin = F.greatest(index - span_left, F.lit(0))
-        before = original(F.slice(pieces, begin + 1, index - begin))
-        after = F.concat(
-            F.substring_index(piece, _END, -1),
-            original(F.slice(pieces, index + 2, F.lit(span_right))),
-        )
-        fields = [F.get(values, F.lit(g)).alias(f"g{g + 1}") for g in range(groups)]
-        return F.struct(
-            *fields,
-            F.right(before, F.lit(left)).alias("left"),
-            F.substring(after, 1, right).alias("right"),
+        found = []
+        if left:
+            before = original(F.slice(pieces, begin + 1, index - begin))
+            found.append(F.right(before, F.lit(left)).alias("left"))
+        if right:
+            after = F.concat(
+                F.substring_index(piece, _END, -1),
+                original(F.slice(pieces, index + 2, F.lit(span_right))),
+            )
+            found.append(F.substring(after, 1, right).alias("right"))
+        return found
+
+    def matches(pieces: Column) -> Column:
+        def one(piece: Column, index: Column) -> Column:
+            values = F.substring_index(F.substring_index(piece, _END, 1), _GROUPS, -1)
+            fields = [
+                F.substring_index(F.substring_index(values, _SEP, g + 1), _SEP, -1)
+                .alias(f"g{g + 1}")
+                for g in range(groups)
+            ]
+            return F.struct(*fields, *contexts(pieces, piece, index))
+
+        # piece 0 precedes the first match
+        return F.slice(
+            F.transform(pieces, one), F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))
         )
 
-    # piece 0 precedes the first match
-    return F.slice(F.transform(pieces, one), F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
+    return let(F.split(marked, _START), matches)

@@ -16,17 +16,19 @@ from adledger.operators.scoring import score
 from adledger.operators.validation import validation_flags
 
 
-def price_and_label(price_text: Column, combined: Column) -> tuple[Column, Column]:
-    """The price field decides; only if it says nothing at all, the whole text."""
-    own_price = x.price_eur(price_text)
-    own_label = x.price_label_lower(F.lower(price_text))
-    silent = own_price.isNull() & own_label.isNull()
-    text_price = x.price_eur(combined)
-    price = F.when(silent, text_price).otherwise(own_price)
-    label = F.when(
-        silent, F.when(text_price.isNull(), x.price_label_lower(F.lower(combined)))
-    ).otherwise(own_label)
-    return price, label
+def with_price(df: DataFrame) -> DataFrame:
+    """Add ``price_eur`` and ``price_label``: the price field decides; only if it says
+    nothing at all, the whole text. Each text is scanned once."""
+    silent = F.col("_own_price").isNull() & F.col("_own_label").isNull()
+    return df.withColumns({
+        "_own_price": x.price_eur(F.col("price_text")),
+        "_own_label": x.price_label_lower(F.lower("price_text")),
+    }).withColumn("_text_price", F.when(silent, x.price_eur(F.col("combined")))).withColumns({
+        "price_eur": F.coalesce("_own_price", "_text_price"),
+        "price_label": F.when(
+            silent & F.col("_text_price").isNull(), x.price_label_lower(F.lower("combined"))
+        ).otherwise(F.col("_own_label")),
+    }).drop("_own_price", "_own_label", "_text_price")
 
 
 def _slug(value: Column) -> Column:
@@ -144,10 +146,7 @@ def normalize_listings(
         "_title_lower": F.lower("title"), "_title_upper": F.upper("title"),
     })
     combined, lower, upper = F.col("combined"), F.col("_lower"), F.col("_upper")
-    price, label = price_and_label(F.col("price_text"), combined)
-    facts = folded.withColumns({
-        "price_eur": price,
-        "price_label": label,
+    facts = with_price(folded).withColumns({
         "mileage_km": x.mileage_km(combined),
         "engine": x.engine_upper(upper),
         "power_hp": x.power_hp(combined),
