@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from adledger.plans import listing_queries, text_queries
+from adledger.plans import cluster_queries, history_queries, listing_queries, text_queries
 from adledger.plans.registry import Query
 
-_MODULES = [text_queries, listing_queries]
+_MODULES = [text_queries, listing_queries, history_queries, cluster_queries]
 
 
 def queries() -> dict[str, Query]:
