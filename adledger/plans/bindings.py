@@ -104,7 +104,7 @@ PAIRS = {
     "body_style": f"case {G} % 3 when 0 then 'Coupé' when 1 then 'Targa' end",
     "exterior_color": f"case {ODD} when 0 then 'schwarz' else 'Black' end",
     "first_registration": f"concat(cast(2005 + {G} % 9 as string), '-0', cast(1 + {ODD} as string))",
-    "vin": f"case when {MODE} = 0 then concat('V', lpad(cast({G} as string), 16, '1')) end",
+    "vin": f"case when {MODE} = 0 then concat('V', lpad(cast({G} as string), 16, '0')) end",
 }
 
 # E: snapshots and availability checks, one per event

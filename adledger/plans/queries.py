@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from adledger.plans import cluster_queries, history_queries, listing_queries, text_queries
+from adledger.plans import (
+    cluster_queries, history_queries, listing_queries, state_queries, text_queries,
+)
 from adledger.plans.registry import Query
 
-_MODULES = [text_queries, listing_queries, history_queries, cluster_queries]
+_MODULES = [text_queries, listing_queries, history_queries, cluster_queries, state_queries]
 
 
 def queries() -> dict[str, Query]:
