@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from adledger.plans import (
-    cluster_queries, history_queries, listing_queries, state_queries, text_queries,
+    cluster_queries, history_queries, listing_queries, page_queries, state_queries,
+    stream_queries, text_queries,
 )
 from adledger.plans.registry import Query
 
-_MODULES = [text_queries, listing_queries, history_queries, cluster_queries, state_queries]
+_MODULES = [
+    text_queries, listing_queries, history_queries, cluster_queries, state_queries, page_queries,
+    stream_queries,
+]
 
 
 def queries() -> dict[str, Query]:
