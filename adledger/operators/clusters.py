@@ -11,6 +11,7 @@ from adledger import lexicon as lx
 from adledger.functions.text import strip
 from adledger.operators.dedupe import dedupe_urls
 from adledger.operators.skew import has_partner, lookup
+from adledger.session import durable
 
 
 # --- keys -------------------------------------------------------------------
@@ -47,37 +48,38 @@ def _bucket(value: Column, size: int) -> Column:
     return F.floor(F.coalesce(value, F.lit(0)) / size).cast("string")
 
 
-def match_keys() -> dict[str, Column]:
-    """Hashed blocking keys, one per cascade level, from most to least specific."""
-    engine, trim = slug(F.col("engine")), slug(match_trim(F.col("trim")))
-    place = slug(F.col("location_raw"))
-    amounts = [
-        _bucket(F.col("price_eur"), lx.PRICE_BUCKET),
-        _bucket(F.col("mileage_km"), lx.MILEAGE_BUCKET),
-    ]
-    looks = [
-        slug(F.col("transmission")), slug(F.col("body_style")),
-        slug(color_base(F.col("exterior_color"))), match_year(F.col("first_registration")),
-        _bucket(F.col("power_hp"), lx.POWER_BUCKET),
-    ]
+def with_match_keys(df: DataFrame, *, title: bool = False) -> DataFrame:
+    """Add the hashed blocking keys, one column per cascade level (and ``title``).
+
+    The normalized parts are computed once, in a projection of their own; the keys
+    then only join and hash them.
+    """
     parts = {
-        "full": [engine, trim, place, *amounts, *looks],
-        "no_trim": [engine, place, *amounts, *looks],
-        "no_loc": [engine, trim, *amounts, *looks],
-        "no_eng": [trim, place, *amounts, *looks],
-        "legacy": [engine, trim, place, *amounts],
+        "_engine": slug(F.col("engine")),
+        "_trim": slug(match_trim(F.col("trim"))),
+        "_place": slug(F.col("location_raw")),
+        "_amounts": F.concat_ws(
+            "|", _bucket(F.col("price_eur"), lx.PRICE_BUCKET),
+            _bucket(F.col("mileage_km"), lx.MILEAGE_BUCKET)),
+        "_looks": F.concat_ws(
+            "|", slug(F.col("transmission")), slug(F.col("body_style")),
+            slug(color_base(F.col("exterior_color"))), match_year(F.col("first_registration")),
+            _bucket(F.col("power_hp"), lx.POWER_BUCKET)),
     }
-    return {
-        level: F.left(F.sha1(F.concat_ws("|", *p).cast("binary")), F.lit(12))
-        for level, p in parts.items()
+    levels = {
+        "full": ["_engine", "_trim", "_place", "_amounts", "_looks"],
+        "no_trim": ["_engine", "_place", "_amounts", "_looks"],
+        "no_loc": ["_engine", "_trim", "_amounts", "_looks"],
+        "no_eng": ["_trim", "_place", "_amounts", "_looks"],
+        "legacy": ["_engine", "_trim", "_place", "_amounts"],
     }
-
-
-def title_key() -> Column:
-    return F.concat_ws(
-        "|", slug(F.col("title")), _bucket(F.col("price_eur"), lx.PRICE_BUCKET),
-        _bucket(F.col("mileage_km"), lx.MILEAGE_BUCKET),
-    )
+    keys = {
+        level: F.left(F.sha1(F.concat_ws("|", *names).cast("binary")), F.lit(12))
+        for level, names in levels.items()
+    }
+    if title:
+        keys["title"] = F.concat_ws("|", slug(F.col("title")), "_amounts")
+    return df.withColumns(parts).withColumns(keys).drop(*parts)
 
 
 # --- cascade and adoption ---------------------------------------------------
@@ -106,15 +108,16 @@ def cascade(keyed: DataFrame, row_id: str = "pos") -> DataFrame:
 def adoption_pool(existing: DataFrame) -> DataFrame:
     """(label, key) -> cluster of stored listings; manual clusters win, then state order."""
     labelled = F.array(*[
-        F.struct(F.lit(rank).alias("rank"), key.alias("key"))
-        for rank, key in enumerate([*match_keys().values(), title_key()])
+        F.struct(F.lit(rank).alias("rank"), F.col(label).alias("key"))
+        for rank, label in enumerate([*lx.KEY_LEVELS, "title"])
     ])
     order = F.struct(
         ~F.col("cluster_id").startswith("manual_"),
         F.coalesce("price_eur", F.lit(lx.MISSING_PRICE_LAST)), F.col("id"),
     )
+    clustered = existing.filter(F.coalesce("cluster_id", F.lit("")) != "")
     return (
-        existing.filter(F.coalesce("cluster_id", F.lit("")) != "")
+        with_match_keys(clustered, title=True)
         .select("cluster_id", order.alias("order"), F.inline(labelled))
         .groupBy("rank", "key").agg(F.min_by("cluster_id", "order").alias("adopted"))
     )
@@ -143,11 +146,11 @@ def assign_clusters(listings: DataFrame, existing: DataFrame | None = None) -> D
     state; it is only read.
     """
     unique = dedupe_urls(listings)
-    keys = {**match_keys(), "title": title_key()}
-    keyed = unique.select("pos", "vin", *[k.alias(name) for name, k in keys.items()])
+    keyed = with_match_keys(unique, title=True).select("pos", "vin", *lx.KEY_LEVELS, "title")
     clustered = cascade(keyed)
     if existing is not None:
-        clustered = adopt(clustered, existing)
+        # adoption reads the narrow result of the twelve shuffles three times
+        clustered = adopt(durable(clustered), existing)
     assigned = clustered.select(
         "pos",
         F.coalesce("cluster_id", F.concat(F.lit("singleton_"), F.col("full"))).alias("cluster_id"),

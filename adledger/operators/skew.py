@@ -30,10 +30,11 @@ def has_partner(key: Column, row_id: str) -> tuple[dict[str, Column], Column]:
     Returns the columns to add first and the answer built on them.
     """
     salt = F.when(key.isNull(), F.xxhash64(row_id)).otherwise(salt_of(row_id).cast("bigint"))
-    local = W.partitionBy(key, salt)
+    # one order for both, hence one sort
+    local = W.partitionBy(key, salt).orderBy(row_id)
+    whole = local.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     steps = {
-        "_local_n": F.count("*").over(local),
-        "_local_rn": F.row_number().over(local.orderBy(row_id)),
+        "_local_n": F.count("*").over(whole), "_local_rn": F.row_number().over(local),
     }
     spread = F.when(key.isNotNull() & (F.col("_local_rn") == 1), F.lit(-1).cast("bigint"))
     meeting = W.partitionBy(key, F.coalesce(spread, F.xxhash64(row_id)))

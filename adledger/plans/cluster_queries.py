@@ -128,8 +128,7 @@ def normalizers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("o_clu_2", f"""{P}{KEYED} SELECT id, k_full AS full, k_no_trim AS no_trim,
   k_no_loc AS no_loc, k_no_eng AS no_eng, k_legacy AS legacy FROM k""")
 def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs(spark, sf_dir).select(
-        "id", *[k.alias(n) for n, k in clusters.match_keys().items()])
+    return clusters.with_match_keys(pairs(spark, sf_dir)).select("id", *lx.KEY_LEVELS)
 
 
 def _cascade_sql() -> str:
@@ -149,16 +148,15 @@ CASCADE = _cascade_sql()
 
 @registry.add("o_clu_3", f"{CASCADE} SELECT id, cluster AS cluster_id FROM c_legacy")
 def cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pairs(spark, sf_dir)
-    keyed = rows.select("pos", "id", "vin", *[k.alias(n) for n, k in clusters.match_keys().items()])
+    keyed = clusters.with_match_keys(pairs(spark, sf_dir)).select(
+        "pos", "id", "vin", *lx.KEY_LEVELS)
     return clusters.cascade(keyed).select("id", "cluster_id")
 
 
 @registry.add("o_win_9", f"""{P}{KEYED} SELECT id, count(*) OVER (PARTITION BY k_legacy) > 1 AS paired
 FROM k""")
 def partner_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keyed = pairs(spark, sf_dir).select(
-        "pos", "id", clusters.match_keys()["legacy"].alias("legacy"))
+    keyed = clusters.with_match_keys(pairs(spark, sf_dir)).select("pos", "id", "legacy")
     steps, paired = has_partner(F.col("legacy"), "pos")
     return keyed.withColumns(steps).select("id", paired.alias("paired"))
 
@@ -207,10 +205,8 @@ def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 FROM fk LEFT JOIN hit USING (id)""")
 def adoption(spark: SparkSession, sf_dir: str) -> DataFrame:
     fresh, stored = _sides(spark, sf_dir)
-    keyed = fresh.select(
-        "pos", "id", F.lit(None).cast("string").alias("cluster_id"),
-        *[k.alias(n) for n, k in clusters.match_keys().items()],
-        clusters.title_key().alias("title"))
+    keyed = clusters.with_match_keys(fresh, title=True).select(
+        "pos", "id", F.lit(None).cast("string").alias("cluster_id"), *LABELS)
     return clusters.adopt(keyed, stored).select("id", "cluster_id")
 
 
