@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from adledger.session import spread
+
 K = "o_orderkey"
 
 # Q: one listing per order
@@ -147,11 +149,11 @@ def with_lists(df: DataFrame) -> DataFrame:
 
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_lists(project(table(spark, sf_dir, "orders"), LISTINGS))
+    return with_lists(project(spread(table(spark, sf_dir, "orders")), LISTINGS))
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return project(table(spark, sf_dir, "orders"), PAIRS)
+    return project(spread(table(spark, sf_dir, "orders")), PAIRS)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

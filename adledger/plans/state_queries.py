@@ -15,7 +15,7 @@ from adledger.plans import listing_queries as lq
 from adledger.plans.batch import SNAPSHOT, STATE, store_run
 from adledger.plans.bindings import K, LISTINGS, listings, sql, table, with_lists
 from adledger.plans.registry import Registry
-from adledger.session import work_path
+from adledger.session import spread, work_path
 from adledger.sources import exports
 
 registry = Registry()
@@ -37,7 +37,7 @@ fresh AS (SELECT q.* REPLACE ({", ".join(f"{e} AS {c}" for c, e in MOVED.items()
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders"))
     both = with_lists(orders.selectExpr(
         "o_orderstatus AS st", *[f"{e} AS {n}" for n, e in LISTINGS.items()]))
     clean = both.withColumn("change_type", F.lit("new"))

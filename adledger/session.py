@@ -37,3 +37,13 @@ def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder for a written table or a stream."""
     _ensure_checkpoint_dir(spark)
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input of a few unsplittable files before costly row work.
+
+    A scan that already has a partition per core, as any large table has, is left
+    alone; only the raw rows of a small input are shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

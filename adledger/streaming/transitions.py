@@ -34,18 +34,18 @@ def _flips(batch: pd.DataFrame, last: bool | None) -> tuple[pd.DataFrame, bool |
 class _Transitions(StatefulProcessor):
     """Keeps the last flag per listing; emits a check only when the flag flips.
 
-    With ``expiry`` a processing-time timer reports listings whose last check has
-    become stale, as a row without flag.
+    With ``ttl`` (seconds) a processing-time timer reports listings whose last check
+    has become stale, as a row without flag.
     """
 
-    def __init__(self, expiry: bool) -> None:
-        self.expiry = expiry
+    def __init__(self, ttl: int | None) -> None:
+        self.ttl = ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "is_online boolean")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values):
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
         known = self.last.get() if self.last.exists() else None
         last = known[0] if known else None
         for chunk in rows:
@@ -53,17 +53,17 @@ class _Transitions(StatefulProcessor):
             if len(changed):
                 yield changed
         self.last.update((last,))
-        if self.expiry:
+        if self.ttl is not None:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(
-                timer_values.getCurrentProcessingTimeInMs() + lx.STATUS_TTL_SECONDS * 1000
+                timerValues.getCurrentProcessingTimeInMs() + self.ttl * 1000
             )
 
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info):
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         yield pd.DataFrame({
             "listing_id": [key[0]],
-            "captured_at": [pd.Timestamp(expired_timer_info.getExpiryTimeInMs(), unit="ms")],
+            "captured_at": [pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")],
             "id": [None], "is_online": [None],
         })
 
@@ -71,7 +71,9 @@ class _Transitions(StatefulProcessor):
         pass
 
 
-def stream_transitions(checks: DataFrame, *, expiry: bool = False) -> DataFrame:
+def stream_transitions(
+    checks: DataFrame, *, expiry: bool = False, ttl: int = lx.STATUS_TTL_SECONDS
+) -> DataFrame:
     """Transitions of a check stream (``listing_id, captured_at, id, is_online``).
 
     Needs the RocksDB state store provider. Checks are applied in (time, id) order
@@ -80,7 +82,7 @@ def stream_transitions(checks: DataFrame, *, expiry: bool = False) -> DataFrame:
     chunk (10,000 rows) of one listing use :func:`track_checks`.
     """
     return checks.groupBy("listing_id").transformWithStateInPandas(
-        statefulProcessor=_Transitions(expiry), outputStructType=OUTPUT, outputMode="Append",
+        statefulProcessor=_Transitions(ttl if expiry else None), outputStructType=OUTPUT, outputMode="Append",
         timeMode="ProcessingTime" if expiry else "None",
     )
 

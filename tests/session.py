@@ -10,7 +10,7 @@ def make_session(cpus: str = "8") -> SparkSession:
         SparkSession.builder.master(f"local[{cpus}]").appName("adledger")
         .config("spark.sql.shuffle.partitions", cpus if cpus != "*" else "8")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false")
+        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         .config("spark.sql.streaming.stateStore.providerClass",
