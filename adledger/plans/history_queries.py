@@ -178,7 +178,7 @@ def expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("last_checked_at") > newest - F.expr("INTERVAL 3 MINUTE"))
     return availability.cache_expiry(
         recent.withColumn("last_checked_at", F.col("last_checked_at").cast("timestamp")),
-        F.max(F.col("now").cast("timestamp")))
+        F.col("now").cast("timestamp"))
 
 
 @registry.add("o_ups_5", f"""{E}, {FLIPS}, day AS (SELECT *, captured_at < {CUT} AS old FROM e),
