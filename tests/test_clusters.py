@@ -6,7 +6,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from adledger import lexicon as lx
 from adledger.operators.clusters import assign_clusters, enrich_clusters
-from adledger.schema import LISTING, conform
+from adledger.schema import LISTING, conform, repair
 
 
 def frame(spark, rows):
@@ -19,7 +19,7 @@ def frame(spark, rows):
     ]
     schema = StructType([*LISTING.fields, StructField("pos", LongType())])
     df = spark.createDataFrame(full, schema)
-    return conform(df, keep=("pos",))
+    return repair(conform(df, keep=("pos",)))
 
 
 CAR = {"engine": "LS3", "trim": "Grand Sport", "price_eur": 45200, "mileage_km": 61000,
@@ -145,7 +145,7 @@ def test_lists_merge_in_order_of_first_sight(spark):
     got = {r["id"]: (r["risk_flags"], r["image_urls"]) for r in
            enrich_clusters(frame(spark, rows)).collect()}
     assert got["l0"] == got["l1"] == (["b", "a", "c"], ["1", "2"])
-    assert got["l2"] == (["x"], None) and got["l3"] == (["y"], None)
+    assert got["l2"] == (["x"], []) and got["l3"] == (["y"], [])
 
 
 def test_order_of_input_does_not_matter(spark):
