@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adledger.llm import byte_bpe, exact_dedup, quality, toxicity
+from adledger.llm import byte_bpe, exact_dedup, quality, simhash, toxicity
 from adledger.llm.common import table, texts
 from adledger.plans.registry import Registry
 
@@ -40,3 +40,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("op8_quality")
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@registry.add("op4_simhash")
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents")).drop("_h")
