@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adledger.llm import byte_bpe, exact_dedup, quality, simhash, toxicity
+from adledger.llm import byte_bpe, decontaminate, exact_dedup, quality, simhash, toxicity
 from adledger.llm.common import table, texts
 from adledger.plans.registry import Registry
 
@@ -45,3 +45,35 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("op4_simhash")
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents")).drop("_h")
+
+
+OP6_SQL = r"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), iw AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, least(len(words), 10) AS n, array_to_string(words[s : s + 9], ' ') AS phrase
+  FROM (SELECT item_id, words, unnest(generate_series(1, greatest(1, len(words) - 9))) AS s FROM iw WHERE len(words) > 0)
+), lengths AS (SELECT DISTINCT n FROM windows
+), grams AS (
+  SELECT doc_id, s, n, array_to_string(words[s : s + n - 1], ' ') AS phrase
+  FROM (SELECT doc_id, words, n, unnest(generate_series(1, len(words) - n + 1)) AS s FROM dw, lengths WHERE len(words) >= n)
+), hits AS (SELECT g.doc_id, g.s, g.n, w.item_id FROM grams g JOIN windows w ON g.phrase = w.phrase AND g.n = w.n
+), spots AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(s, s + n - 1)) AS p FROM hits) GROUP BY doc_id
+), listed AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY doc_id
+)
+SELECT dw.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN spots USING (doc_id) LEFT JOIN listed USING (doc_id)
+"""
+
+
+@registry.add("op6_decontaminate", OP6_SQL)
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_h")
