@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adledger.llm import byte_bpe, decontaminate, exact_dedup, quality, simhash, toxicity
+from adledger.llm import byte_bpe, decontaminate, exact_dedup, quality, simhash, substring_dedup, toxicity
 from adledger.llm.common import table, texts
 from adledger.plans.registry import Registry
 
@@ -77,3 +77,30 @@ FROM dw LEFT JOIN spots USING (doc_id) LEFT JOIN listed USING (doc_id)
 @registry.add("op6_decontaminate", OP6_SQL)
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_h")
+
+
+OP1_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), grams AS (
+  SELECT doc_id, s, array_to_string(words[s : s + 12], ' ') AS gram
+  FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 12)) AS s FROM w WHERE len(words) >= 13)
+), dup AS (
+  SELECT doc_id, s FROM (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY gram) AS least FROM grams) WHERE least < doc_id
+), gone AS (
+  SELECT doc_id, list(DISTINCT p) AS spots FROM (SELECT doc_id, unnest(generate_series(s, s + 12)) AS p FROM dup) GROUP BY doc_id
+), pieces AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM w
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM pieces
+  WHERE (doc_id, p) NOT IN (SELECT doc_id, unnest(spots) FROM gone) GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(spots), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+@registry.add("op1_substring_dedup", OP1_SQL)
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_words(table(spark, sf_dir, "documents")).drop("spans")
