@@ -1,4 +1,61 @@
-STAGES=[]
-ORACLE_SQL=None
-def run(spark, sf_dir):
-    raise ValueError
+"""Corpus pipeline: from raw documents to token ids, one text operator per stage.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what it keeps is written as
+Parquet before the next one reads it. All but the last return the columns of ``docs``.
+Stages hold for any input table: null texts count as empty, an empty table stays empty.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from adledger.llm import byte_bpe, decontaminate, exact_dedup, quality, simhash
+from adledger.llm.common import stored, table
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score at least 0.3; the model is fitted on this stage's own input and the labels."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal texts the one with the largest doc_id."""
+    return exact_dedup.drop_copies(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by SimHash (3-word shingles, 3 bits) the one with the smallest doc_id."""
+    return simhash.keep_one(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no 10-word window of a benchmark item."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, ids, n_tokens, ids_sha256, decoded_sha256."""
+    import public_tokenizers
+
+    return byte_bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
+                                 ["doc_id", "lang", "source"])
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("exact_duplicates", exact_duplicates),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("token_ids", token_ids),
+]
+
+#: The classifier and the tokenizer have no SQL form.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return docs
