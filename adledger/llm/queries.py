@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adledger.llm import byte_bpe, decontaminate, exact_dedup, quality, simhash, substring_dedup, toxicity
+from adledger.llm import (
+    byte_bpe, chat_format, decontaminate, exact_dedup, line_dedup, quality, simhash, substring_dedup, toxicity,
+)
 from adledger.llm.common import table, texts
 from adledger.plans.registry import Registry
 
@@ -104,3 +106,33 @@ FROM w LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
 @registry.add("op1_substring_dedup", OP1_SQL)
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_words(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@registry.add("op3_chat_format")
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.render(table(spark, sf_dir, "conversations")).drop("place")
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS p FROM d),
+g AS (SELECT doc_id, p, line, lead(line) OVER (PARTITION BY doc_id ORDER BY p) AS nxt FROM l),
+dup AS (SELECT doc_id, p FROM (
+  SELECT doc_id, p, row_number() OVER (PARTITION BY line, nxt ORDER BY doc_id, p) AS n FROM g WHERE nxt IS NOT NULL) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest([p, p + 1]) AS p FROM dup),
+kept AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.p) AS kept, count(*) AS n
+  FROM l ANTI JOIN gone ON l.doc_id = gone.doc_id AND l.p = gone.p GROUP BY l.doc_id),
+pairs AS (SELECT a.doc_id AS d1, a.p AS p1, b.doc_id AS d2, b.p - a.p AS shift
+  FROM l a JOIN l b ON a.line = b.line AND (a.doc_id <> b.doc_id OR a.p <> b.p)),
+islands AS (SELECT d1, count(*) AS n FROM (
+  SELECT d1, d2, shift, p1 - row_number() OVER (PARTITION BY d1, d2, shift ORDER BY p1) AS island FROM pairs) GROUP BY d1, d2, shift, island),
+runs AS (SELECT d1 AS doc_id, max(n) AS longest FROM islands GROUP BY d1)
+SELECT d.doc_id, CAST(len(lines) AS BIGINT) AS n_lines, len(lines) - coalesce(n, 0) AS n_removed,
+       coalesce(longest, 0) AS longest_run, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN runs USING (doc_id)
+"""
+
+
+@registry.add("op9_line_dedup", OP9_SQL)
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_repeats(table(spark, sf_dir, "documents"))
