@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adledger.session import durable, work_path
+from adledger.session import work_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def once(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows without repeats of ``keys``; only the repeated ones are shuffled whole."""
+    repeated = cut(rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys))
+    if not repeated.limit(1).count():
+        return rows
+    return rows.join(repeated, keys, "left_anti").union(rows.join(repeated, keys, "left_semi").dropDuplicates(keys))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``stored`` for the rounds of a loop. A checkpoint keeps the size estimate of its plan, a
+    product over joins that has twice the digits after each round and stalls the planner;
+    a table just written has its true size."""
+    return stored(df, "round")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) with root the smallest node reachable, for nodes that have an edge.
 
@@ -78,11 +93,11 @@ def components(edges: DataFrame) -> DataFrame:
     def checksum(e: DataFrame):
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    current = durable(edges.where(F.col("u") != F.col("v")).select(
+    current = cut(edges.where(F.col("u") != F.col("v")).select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = checksum(current)
     while seen[0]:
-        current = durable(star(star(current, False), True))
+        current = cut(star(star(current, False), True))
         now = checksum(current)
         if now == seen:
             break

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adledger.llm.common import join_on, stored
+from adledger.llm.common import cut, once, stored
 from adledger.operators.skew import lookup
-from adledger.session import durable
 
 MIN_LINES = 2
 DOC = ["did", "_h"]
@@ -26,14 +27,14 @@ def line_ids(docs: DataFrame) -> DataFrame:
     sets = hashed.groupBy("_b").agg(F.sort_array(F.collect_set("line")).alias("set"), F.count("*").alias("n")).where("n > 1")
     names = stored(sets.select("_b", F.posexplode("set").alias("_o", "line"), (F.size("set") > 1).alias("clash"))
                    .select("_b", "_o", F.when(F.col("clash"), F.col("line")).alias("line")), "lines")
-    ranks = durable(names.orderBy("_b", "_o").select("_b", "_o", F.monotonically_increasing_id().alias("r")))
+    ranks = cut(names.orderBy("_b", "_o").select("_b", "_o", F.monotonically_increasing_id().alias("r")))
     clashing = names.where(F.col("line").isNotNull())
     if clashing.limit(1).count():
         told = hashed.join(clashing.select("_b").distinct(), "_b", "left_semi").join(clashing, ["_b", "line"]).select(*SUFFIX, "_b", "_o")
         keyed = hashed.join(clashing.select("_b").distinct(), "_b", "left_anti").select(*SUFFIX, "_b", F.lit(0).alias("_o")).union(told)
     else:
         keyed = hashed.select(*SUFFIX, "_b", F.lit(0).alias("_o"))
-    return durable(lookup(keyed, ranks, ["_b", "_o"], "pos").where(F.col("r").isNotNull()).select(*SUFFIX, "r"))
+    return cut(lookup(keyed, ranks, ["_b", "_o"], "pos").where(F.col("r").isNotNull()).select(*SUFFIX, "r"))
 
 
 def _at(ranks: DataFrame, shift, name: str) -> DataFrame:
@@ -47,10 +48,10 @@ def doubled(ranks: DataFrame, length: int) -> DataFrame:
     The order of the new ranks is that of (rank, rank ``length`` lines on): the suffix
     array by 2 * ``length`` lines, in which equal ranks are an interval of common prefix.
     """
-    pairs = durable(ranks.join(_at(ranks, length, "r2"), SUFFIX))
+    pairs = cut(ranks.join(_at(ranks, length, "r2"), SUFFIX))
     many = pairs.groupBy("r", "r2").agg(F.count("*").alias("n")).where("n > 1")
-    named = durable(many.orderBy("r", "r2").select("r", "r2", F.monotonically_increasing_id().alias("name")))
-    return durable(lookup(pairs, named, ["r", "r2"], "pos").where(F.col("name").isNotNull()).select(*SUFFIX, F.col("name").alias("r")))
+    named = cut(many.orderBy("r", "r2").select("r", "r2", F.monotonically_increasing_id().alias("name")))
+    return cut(lookup(pairs, named, ["r", "r2"], "pos").where(F.col("name").isNotNull()).select(*SUFFIX, F.col("name").alias("r")))
 
 
 def levels(first: DataFrame) -> list[DataFrame]:
@@ -62,25 +63,10 @@ def levels(first: DataFrame) -> list[DataFrame]:
     return out
 
 
-def longest_runs(tables: list[DataFrame]) -> DataFrame:
-    """(did, _h, pos, length): the longest run of lines from ``pos`` that stands elsewhere too.
-
-    The common prefix with the nearest neighbours in the suffix array: from the widest
-    table down, suffixes of a class that agree in the next 2^k lines go on together.
-    """
-    state = tables[0].select(*SUFFIX, F.lit(0).alias("length"), F.lit(0).cast("bigint").alias("cls"))
-    for k in range(len(tables) - 1, -1, -1):
-        seen = tables[k].select(*DOC, F.col("pos").alias("_at"), "r")
-        ahead = state.withColumn("_at", F.col("pos") + F.col("length")).join(seen, [*DOC, "_at"], "left").drop("_at")
-        ahead = durable(ahead)
-        key = ["cls", "length", "r"]
-        many = ahead.where(F.col("r").isNotNull()).groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
-        named = durable(many.select(*key, F.monotonically_increasing_id().alias("name")))
-        told = lookup(ahead, named, key, "pos")
-        went = F.col("name").isNotNull()
-        state = durable(told.select(*SUFFIX, F.when(went, F.col("length") + (1 << k)).otherwise(F.col("length")).alias("length"),
-                                    F.when(went, F.col("name") * 64 + k + 1).otherwise(F.col("cls")).alias("cls")))
-    return state.select(*SUFFIX, "length")
+def run_scales(tables: list[DataFrame]) -> DataFrame:
+    """(did, _h, run_scale): the widest interval a suffix of the document lies in, as a power of two."""
+    widths = [t.select(*DOC).distinct().withColumn("width", F.lit(1 << k).cast("bigint")) for k, t in enumerate(tables)]
+    return reduce(DataFrame.union, widths).groupBy(*DOC).agg(F.max("width").alias("run_scale"))
 
 
 def classes_of(tables: list[DataFrame], lines: int) -> DataFrame | None:
@@ -95,21 +81,21 @@ def classes_of(tables: list[DataFrame], lines: int) -> DataFrame | None:
         if current is None:
             current, length = tables[k], 1 << k
         else:
-            pairs = durable(current.join(_at(tables[k], length, "r2"), SUFFIX))
-            named = durable(pairs.groupBy("r", "r2").agg(F.count("*").alias("n")).where("n > 1").select(
+            pairs = cut(current.join(_at(tables[k], length, "r2"), SUFFIX))
+            named = cut(pairs.groupBy("r", "r2").agg(F.count("*").alias("n")).where("n > 1").select(
                 "r", "r2", F.monotonically_increasing_id().alias("name")))
-            current = durable(lookup(pairs, named, ["r", "r2"], "pos").where(F.col("name").isNotNull()).select(*SUFFIX, F.col("name").alias("r")))
+            current = cut(lookup(pairs, named, ["r", "r2"], "pos").where(F.col("name").isNotNull()).select(*SUFFIX, F.col("name").alias("r")))
             length += 1 << k
     return current
 
 
 def remove_repeats(docs: DataFrame, min_lines: int = MIN_LINES, with_text: bool = False) -> DataFrame:
-    """doc_id, n_lines, n_removed, longest_run, kept_sha256 and (``with_text``) kept_text per row.
+    """doc_id, n_lines, n_removed, run_scale, kept_sha256 and (``with_text``) kept_text per row.
 
     Lines end at newline characters. A run of ``min_lines`` or more lines that also stands
     earlier, by (doc_id, line number), is deleted; what remains is joined by newlines.
-    longest_run is the longest run of lines of the document that stands at another place
-    of the corpus too, 0 if none.
+    run_scale is the largest power of two such that a run of so many lines of the document
+    stands at another place of the corpus too, 0 if none.
 
     Null and empty texts have one empty line; a null doc_id comes first; rows that repeat
     id and text are one document and get the same result; runs may overlap their copy.
@@ -118,29 +104,24 @@ def remove_repeats(docs: DataFrame, min_lines: int = MIN_LINES, with_text: bool
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("did"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("_h", F.xxhash64("text"))
-    once = rows.groupBy(*DOC).agg(F.count("*").alias("n")).where("n > 1")
-    distinct = rows
-    if once.limit(1).count():
-        repeated = rows.join(once.select(*DOC), DOC, "left_semi").dropDuplicates(DOC)
-        distinct = rows.join(once.select(*DOC), DOC, "left_anti").union(repeated)
-    tables = levels(line_ids(distinct))
+    tables = levels(line_ids(once(rows, DOC)))
     grouped = classes_of(tables, min_lines)
     nothing = rows.sparkSession.createDataFrame([], "did bigint, _h bigint, gone array<int>")
     if grouped is None:
         gone = nothing
     else:
-        first = durable(grouped.groupBy("r").agg(F.min(F.struct(*SUFFIX)).alias("first")))
+        first = cut(grouped.groupBy("r").agg(F.min(F.struct(*SUFFIX)).alias("first")))
         later = lookup(grouped, first, "r", "pos").where(F.struct(*SUFFIX) != F.col("first"))
         covered = later.select(*DOC, F.explode(F.sequence(F.col("pos"), F.col("pos") + (min_lines - 1))).alias("pos")).distinct()
-        gone = durable(covered.groupBy(*DOC).agg(F.collect_list("pos").alias("gone")))
-    runs = longest_runs(tables).groupBy(*DOC).agg(F.max("length").alias("longest_run")) if tables else \
-        rows.sparkSession.createDataFrame([], "did bigint, _h bigint, longest_run int")
-    told = durable(gone.join(runs, DOC, "full"))
+        gone = cut(covered.groupBy(*DOC).agg(F.collect_list("pos").alias("gone")))
+    runs = run_scales(tables) if tables else \
+        rows.sparkSession.createDataFrame([], "did bigint, _h bigint, run_scale bigint")
+    told = cut(gone.join(runs, DOC, "full"))
     whole = rows.join(told, DOC, "left").withColumn("lines", F.split("text", "\n"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("gone", F.array().cast("array<int>")))
     text = F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n")
     return whole.select(
         F.when(F.col("did") != NO_ID, F.col("did")).alias("doc_id"), F.size("lines").cast("bigint").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"),
-        F.coalesce("longest_run", F.lit(0)).cast("bigint").alias("longest_run"), F.sha2(text, 256).alias("kept_sha256"),
+        F.coalesce("run_scale", F.lit(0).cast("bigint")).alias("run_scale"), F.sha2(text, 256).alias("kept_sha256"),
         *([text.alias("kept_text")] if with_text else []))

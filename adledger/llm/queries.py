@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adledger.llm import (
-    byte_bpe, chat_format, decontaminate, exact_dedup, line_dedup, quality, simhash, substring_dedup, toxicity,
+    byte_bpe, chat_format, decontaminate, exact_dedup, license_scan, line_dedup, quality, simhash, substring_dedup,
+    toxicity,
 )
 from adledger.llm.common import table, texts
 from adledger.plans.registry import Registry
@@ -128,7 +129,7 @@ islands AS (SELECT d1, count(*) AS n FROM (
   SELECT d1, d2, shift, p1 - row_number() OVER (PARTITION BY d1, d2, shift ORDER BY p1) AS island FROM pairs) GROUP BY d1, d2, shift, island),
 runs AS (SELECT d1 AS doc_id, max(n) AS longest FROM islands GROUP BY d1)
 SELECT d.doc_id, CAST(len(lines) AS BIGINT) AS n_lines, len(lines) - coalesce(n, 0) AS n_removed,
-       coalesce(longest, 0) AS longest_run, sha256(coalesce(kept, '')) AS kept_sha256
+       CAST(CASE WHEN longest IS NULL THEN 0 ELSE power(2, floor(log2(longest))) END AS BIGINT) AS run_scale, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN runs USING (doc_id)
 """
 
@@ -136,3 +137,49 @@ FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN runs USING (doc_id)
 @registry.add("op9_line_dedup", OP9_SQL)
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+WITH templates(license_id, text) AS (VALUES {values}),
+tw AS (SELECT license_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM templates),
+tc AS (SELECT license_id, word, count(*) AS tf FROM tw GROUP BY ALL),
+d AS (SELECT doc_id, source || '/' || lang AS dir, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS body, generate_subscripts(lines, 1) AS line FROM d),
+lw AS (SELECT doc_id, line, regexp_extract_all(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM l),
+n AS (SELECT count(*) AS n_lines FROM lw),
+w AS (SELECT doc_id, line, unnest(words) AS word FROM lw),
+p AS (SELECT * FROM w WHERE word IN (SELECT word FROM tc)),
+uses AS (SELECT word, count(*) AS uses FROM p GROUP BY word),
+idf AS (SELECT v.word, ln(1 + n_lines / (1 + coalesce(uses, 0))) AS idf, ln(1 + n_lines / 2) AS idf_other, coalesce(uses, 0) < n_lines * 0.01 AS rare
+  FROM (SELECT DISTINCT word FROM tc) v LEFT JOIN uses USING (word), n),
+tv AS (SELECT license_id, word, tf * idf AS w FROM tc JOIN idf USING (word)),
+tn AS (SELECT license_id, sqrt(sum(w * w)) AS norm FROM tv GROUP BY 1),
+target AS (SELECT license_id, word, w / norm AS w FROM tv JOIN tn USING (license_id)),
+units AS (
+  SELECT doc_id, line, word, count(*) AS tf FROM p GROUP BY ALL
+  UNION ALL SELECT doc_id, -1, word, count(*) FROM p GROUP BY ALL),
+total AS (SELECT doc_id, line, len(words) AS n FROM lw UNION ALL SELECT doc_id, -1, sum(len(words)) FROM lw GROUP BY 1),
+size AS (SELECT doc_id, line, sqrt(sum(tf * idf * tf * idf) + (any_value(n) - sum(tf)) * max(idf_other) * max(idf_other)) AS norm
+  FROM units JOIN idf USING (word) JOIN total USING (doc_id, line) GROUP BY doc_id, line HAVING bool_or(rare)),
+cosine AS (SELECT doc_id, line, license_id, round(sum(tf * idf * w) / any_value(norm), 6) AS similarity
+  FROM units JOIN idf USING (word) JOIN target USING (word) JOIN size USING (doc_id, line) GROUP BY doc_id, line, license_id),
+ranked AS (SELECT doc_id, line < 0 AS is_file, license_id, similarity,
+  row_number() OVER (PARTITION BY doc_id, line < 0 ORDER BY similarity DESC, license_id) AS n FROM cosine
+  WHERE similarity >= CASE WHEN line < 0 THEN 0.5 ELSE 0.8 END),
+own AS (SELECT * FROM ranked WHERE n = 1),
+covers AS (SELECT dir, license_id, similarity, row_number() OVER (PARTITION BY dir ORDER BY similarity DESC, license_id) AS n
+  FROM own JOIN d USING (doc_id) WHERE is_file)
+SELECT d.doc_id, coalesce(f.license_id, h.license_id, c.license_id) AS license_id,
+  CASE WHEN f.doc_id IS NOT NULL THEN 'file' WHEN h.doc_id IS NOT NULL THEN 'header' WHEN c.dir IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+  coalesce(f.similarity, h.similarity, c.similarity) AS similarity
+FROM d LEFT JOIN own f ON f.doc_id = d.doc_id AND f.is_file LEFT JOIN own h ON h.doc_id = d.doc_id AND NOT h.is_file
+LEFT JOIN covers c ON c.dir = d.dir AND c.n = 1
+""".format(values=", ".join("('{}', '{}')".format(*t) for t in license_scan.TEMPLATES))
+
+
+@registry.add("op10_license_scan", OP10_SQL)
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select("doc_id", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text")
+    return license_scan.scan(files, license_scan.templates(spark)).drop("_h")
