@@ -251,7 +251,6 @@ PROTECTED_FIELDS = [
 # --- availability -----------------------------------------------------------
 STATUS_TTL_SECONDS = 300
 MAX_REDIRECT_HOPS = 3
-BODY_LIMIT = 1_048_576
 GONE_PATTERNS = [
     r"anzeige\s+(?:wurde\s+)?(?:leider\s+)?nicht\s+gefunden",
     r"die\s+gesuchte\s+anzeige\s+ist\s+nicht\s+mehr\s+vorhanden",
@@ -308,6 +307,4 @@ DETAIL_FIELDS = [
     "tuv_until", "transmission", "body_style", "accident_status", "damage", "has_damage",
     "origin_country", "origin_confidence", "vin",
 ]
-HISTORY_LIMIT = 500
-SERIES_LIMIT = 200
 MISSING_PRICE_LAST = 999_999_999

@@ -137,11 +137,12 @@ def status_view(statuses: DataFrame, listings: DataFrame) -> DataFrame:
 
 
 def recent_statuses(
-    statuses: DataFrame, *, is_online: bool | None = None, limit: int = 100
+    statuses: DataFrame, *, is_online: bool | None = None, limit: int | None = None
 ) -> DataFrame:
-    """The latest checked statuses, newest first (a top-k report)."""
+    """The checked statuses, newest first; with ``limit`` a top-k report."""
     chosen = statuses if is_online is None else statuses.filter(F.col("is_online") == is_online)
-    return chosen.orderBy(F.col("last_checked_at").desc(), "listing_id").limit(limit)
+    ordered = chosen.orderBy(F.col("last_checked_at").desc(), "listing_id")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def health_summary(results: DataFrame) -> DataFrame:

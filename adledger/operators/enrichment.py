@@ -19,8 +19,8 @@ _RESULT = T.StructType([
 ])
 
 
-def enrichment_input(listings: DataFrame, *, max_images: int = 8) -> DataFrame:
-    """What a provider sees: texts, the first images and the non-empty known fields."""
+def enrichment_input(listings: DataFrame, *, max_images: int | None = None) -> DataFrame:
+    """What a provider sees: texts, the images (the first ``max_images`` if given) and the non-empty known fields."""
     def text(name: str) -> Column:
         column = F.col(name)
         if name == "risk_flags":
@@ -31,7 +31,7 @@ def enrichment_input(listings: DataFrame, *, max_images: int = 8) -> DataFrame:
     return listings.select(
         F.col("id").alias("listing_id"), "source", "title", "url",
         F.col("description_text").alias("description"),
-        F.slice("image_urls", 1, max_images).alias("image_urls"),
+        (F.col("image_urls") if max_images is None else F.slice("image_urls", 1, max_images)).alias("image_urls"),
         F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()).alias("known_fields"),
     )
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from adledger import lexicon as lx
 from adledger.operators.skew import lag_in_blocks, time_block
 
 # snapshots: listing_id, captured_at, id, price_eur, mileage_km, change_type
@@ -69,8 +68,10 @@ def collapse_unchanged(snapshots: DataFrame) -> DataFrame:
     )
 
 
-def last_entries(history: DataFrame, limit: int = lx.HISTORY_LIMIT) -> DataFrame:
-    """The latest ``limit`` entries per listing (cut down before the shuffle by Spark)."""
+def last_entries(history: DataFrame, limit: int | None = None) -> DataFrame:
+    """The latest ``limit`` entries per listing (cut down before the shuffle by Spark); all without one."""
+    if limit is None:
+        return history
     latest = W.partitionBy("listing_id").orderBy(
         F.col("captured_at").desc(), F.col("id").desc()
     )
@@ -79,10 +80,10 @@ def last_entries(history: DataFrame, limit: int = lx.HISTORY_LIMIT) -> DataFrame
     ).drop("_rn")
 
 
-def price_series(snapshots: DataFrame, limit: int = lx.SERIES_LIMIT) -> DataFrame:
+def price_series(snapshots: DataFrame, limit: int | None = None) -> DataFrame:
     """Points where the price differs from the previous priced snapshot.
 
-    At most ``limit`` points per listing, and none for a listing with a single one.
+    The first ``limit`` points per listing if one is given, and none for a listing with a single one.
     """
     priced = snapshots.filter("price_eur IS NOT NULL").select(
         "listing_id", "captured_at", "id", "price_eur"
@@ -96,7 +97,9 @@ def price_series(snapshots: DataFrame, limit: int = lx.SERIES_LIMIT) -> DataFram
     )
     numbered = points.withColumn(
         "point", F.row_number().over(W.partitionBy("listing_id").orderBy(*_order()))
-    ).filter(F.col("point") <= limit)
+    )
+    if limit is not None:
+        numbered = numbered.filter(F.col("point") <= limit)
     return numbered.withColumn(
         "_n", F.count("*").over(W.partitionBy("listing_id"))
     ).filter("_n >= 2").drop("_n")

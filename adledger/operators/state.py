@@ -56,11 +56,14 @@ def split_overrides(overrides: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def merge_overrides(stored: DataFrame, updates: DataFrame) -> DataFrame:
-    """Keyed last-wins union of override rows ``listing_id, field, value, updated_at``."""
-    both = stored.unionByName(updates)
+    """Keyed last-wins union of override rows ``listing_id, field, value, updated_at``.
+
+    At equal times an update beats a stored row, and the larger value another update.
+    """
+    both = stored.withColumn("_rank", F.lit(0)).unionByName(updates.withColumn("_rank", F.lit(1)))
     packed = F.struct("value")
     return both.groupBy("listing_id", "field").agg(
-        F.max_by(packed, "updated_at").alias("_v"), F.max("updated_at").alias("updated_at")
+        F.max_by(packed, F.struct("updated_at", "_rank", "value")).alias("_v"), F.max("updated_at").alias("updated_at")
     ).select("listing_id", "field", F.col("_v.value").alias("value"), "updated_at")
 
 

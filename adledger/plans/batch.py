@@ -42,7 +42,7 @@ class Run(NamedTuple):
 def run_listings(
     fresh: DataFrame, stored: DataFrame, captured_at: Column, *,
     overrides: DataFrame | None = None, provider=None, scoring: dict | None = None,
-    max_images: int = 8,
+    max_images: int | None = None,
 ) -> Run:
     """Resolve, enrich, score and store one batch of listings (with ``pos``).
 

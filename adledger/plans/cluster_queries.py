@@ -26,7 +26,7 @@ def _full(spark: SparkSession, sf_dir: str) -> DataFrame:
 # pages as listings: hosts repeat, so the host stands for a listing URL
 HOSTS = {
     "pos": "page_id", "id": "concat('h_', cast(page_id as string))",
-    "url": "substr(url, 1, 14)",
+    "url": "regexp_extract(url, '^https?://([^/?#]+)', 1)",
     "source_listing_id": "case page_id % 3 when 0 then concat('ka-', cast(page_id as string)) "
                          "when 1 then cast(page_id as string) end",
 }

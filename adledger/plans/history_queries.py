@@ -51,13 +51,13 @@ SERIES = """p AS (SELECT *, lag(price_eur) OVER w AS before, row_number() OVER w
   WHERE price_eur IS NOT NULL WINDOW w AS (PARTITION BY listing_id ORDER BY captured_at, id)),
 s AS (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY captured_at, id) AS point
   FROM p WHERE rn = 1 OR before <> price_eur),
-c AS (SELECT *, count(*) OVER (PARTITION BY listing_id) AS n FROM s WHERE point <= 30)"""
+c AS (SELECT *, count(*) OVER (PARTITION BY listing_id) AS n FROM s)"""
 
 
 @registry.add("o_win_3", f"""{E}, {SERIES} SELECT listing_id, id, {T('captured_at')} AS captured_at,
   price_eur, cast(point AS int) AS point FROM c WHERE n >= 2""")
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _show(history.price_series(events(spark, sf_dir), 30), "captured_at")
+    return _show(history.price_series(events(spark, sf_dir)), "captured_at")
 
 
 FLIPS = """f AS (SELECT *, lag(is_online) OVER (PARTITION BY listing_id ORDER BY captured_at, id)
@@ -167,17 +167,15 @@ def health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return availability.health_summary(results)
 
 
-@registry.add("o_agg_10", f"""{STATUS}, m AS (SELECT max(captured_at) AS newest FROM e)
-SELECT cast(greatest(0, round_even(least(300, min(300 - (epoch_us(newest + INTERVAL 60 SECOND)
-  - epoch_us(last_checked_at)) / 1e6)), 0)) AS int) AS cache_remaining_seconds
-FROM st, m WHERE last_checked_at > newest - INTERVAL 3 MINUTE""")
+@registry.add("o_agg_10", f"""{STATUS}, m AS (SELECT min(last_checked_at) AS oldest FROM st)
+SELECT cast(greatest(0, round_even(least(300, min(300 - (epoch_us(oldest + INTERVAL 60 SECOND)
+  - epoch_us(last_checked_at)) / 1e6)), 0)) AS int) AS cache_remaining_seconds FROM st, m""")
 def expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     statuses = _statuses(spark, sf_dir)
-    newest = statuses.agg(F.max("last_checked_at")).scalar()
-    recent = statuses.withColumn("now", newest + F.expr("INTERVAL 60 SECOND")).filter(
-        F.col("last_checked_at") > newest - F.expr("INTERVAL 3 MINUTE"))
+    oldest = statuses.agg(F.min("last_checked_at")).scalar()
+    timed = statuses.withColumn("now", oldest + F.expr("INTERVAL 60 SECOND"))
     return availability.cache_expiry(
-        recent.withColumn("last_checked_at", F.col("last_checked_at").cast("timestamp")),
+        timed.withColumn("last_checked_at", F.col("last_checked_at").cast("timestamp")),
         F.col("now").cast("timestamp"))
 
 

@@ -84,15 +84,13 @@ def page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add("o_src_13", r"""SELECT DISTINCT page_id AS page_no,
   regexp_extract(url, '^(https?://[^/?#]*)', 1) || link AS link
-FROM (SELECT page_id, url, unnest(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) AS link FROM pages)
-WHERE link LIKE '%th%'""")
+FROM (SELECT page_id, url, unnest(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) AS link FROM pages)""")
 def site_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links of the same host, here those with a given path part."""
+    """All links of the same host."""
     pages = table(spark, sf_dir, "pages").selectExpr("page_id AS page_no", "url", "html AS body")
     return cards.page_links(
         pages, r'href="(/[^"]*)"',
-        lambda link, page: (cards.authority(link) == cards.authority(page))
-        & cards.url_path(link).contains("th"),
+        lambda link, page: cards.authority(link) == cards.authority(page),
     ).select("page_no", "link")
 
 

@@ -41,8 +41,9 @@ def _drain(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
 @registry.add("o_str_2", f"""{hq.E}, {hq.FLIPS} SELECT listing_id, id, is_online FROM t""")
 def streamed_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     checks = _check_stream(spark, sf_dir)
-    flips = transitions.stream_transitions_grouped(checks)
-    return _drain(spark, flips, "transitions").select("listing_id", "id", "is_online")
+    store = StateStore(spark, work_path(spark, "checks"))
+    transitions.track_checks(checks, store, work_path(spark, "checks-offsets")).awaitTermination()
+    return store.read_log("transitions", transitions.TRANSITION).select("listing_id", "id", "is_online")
 
 
 @registry.add("o_str_3", f"""{hq.E} SELECT id, {hq.AGE} >= 300 AS due FROM e""")

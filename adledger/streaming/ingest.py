@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -12,24 +13,34 @@ from adledger.plans.batch import STATE, run_listings, run_pages, store_run
 from adledger.sources.exports import StateStore
 
 
-def _run_time(batch_id: int):
-    return F.current_timestamp()
+def batch_version(spark: SparkSession, checkpoint: str, batch_id: int) -> str:
+    """Name of a micro-batch: the query's own id, kept with its offsets, and the batch number.
+
+    A query with a new offsets folder counts from 0 again, but under a new id.
+    """
+    meta = spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()["value"]
+    return f"{json.loads(meta)['id']}-{batch_id:012d}"
+
+
+def _run_time(store: StateStore, version: str, captured_at: Callable | None, batch_id: int) -> Column:
+    """One fixed time per batch, also when it is repeated."""
+    return F.lit(store.time_of(version)) if captured_at is None else captured_at(batch_id)
 
 
 def ingest_listings(
     stream: DataFrame, store: StateStore, checkpoint: str, *,
-    captured_at: Callable = _run_time, **trigger,
+    captured_at: Callable | None = None, **trigger,
 ) -> StreamingQuery:
     """Upsert a stream of normalized listings; a repeated batch replaces its own rows.
 
-    The version is named after the batch, so a batch that is replayed after a lost
-    driver finds that it is already the current one and leaves the state alone.
+    The version is named after query and batch, so a batch that is replayed after a lost
+    driver finds that it has been applied and leaves the state alone.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
-        version = f"v{batch_id:012d}"
-        if store.version("listings") == version:
+        version = batch_version(store.spark, checkpoint, batch_id)
+        if version in store.committed("listings"):
             return
-        result = run_listings(batch, store.read("listings", STATE), captured_at(batch_id))
+        result = run_listings(batch, store.read("listings", STATE), _run_time(store, version, captured_at, batch_id))
         store_run(result.upsert, store, version)
 
     return stream.writeStream.foreachBatch(run).option(
@@ -39,14 +50,14 @@ def ingest_listings(
 
 def ingest_pages(
     stream: DataFrame, store: StateStore, checkpoint: str, *,
-    captured_at: Callable = _run_time, sources: list[str] | None = None, **trigger,
+    captured_at: Callable | None = None, sources: list[str] | None = None, **trigger,
 ) -> StreamingQuery:
     """Extract, normalize, resolve and store a stream of captured pages."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        version = f"v{batch_id:012d}"
-        if store.version("listings") == version:
+        version = batch_version(store.spark, checkpoint, batch_id)
+        if version in store.committed("listings"):
             return
-        run_pages(batch, store, captured_at(batch_id), version, sources=sources)
+        run_pages(batch, store, _run_time(store, version, captured_at, batch_id), version, sources=sources)
 
     return stream.writeStream.foreachBatch(run).option(
         "checkpointLocation", checkpoint

@@ -9,95 +9,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from adledger import lexicon as lx
 from adledger.operators.history import latest_status, status_transitions
 from adledger.sources.exports import StateStore
+from adledger.streaming.ingest import batch_version
 
-OUTPUT = "listing_id string, captured_at timestamp, id long, is_online boolean"
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+class _Expiry(StatefulProcessor):
+    """Keeps the last check time per listing; a processing-time timer reports it as stale.
 
-
-def _flips(batch: pd.DataFrame, last: bool | None) -> tuple[pd.DataFrame, bool | None]:
-    """Rows of one chunk that differ from the row before, and the flag after it."""
-    ordered = batch.sort_values(["captured_at", "id"], kind="stable")
-    before = ordered["is_online"].shift(1).astype(object)
-    if len(before):
-        before.iloc[0] = last
-    changed = ordered[[b is None or bool(b) != bool(n)
-                       for b, n in zip(before, ordered["is_online"])]]
-    after = bool(ordered["is_online"].iloc[-1]) if len(ordered) else last
-    return changed[["listing_id", "captured_at", "id", "is_online"]], after
-
-
-class _Transitions(StatefulProcessor):
-    """Keeps the last flag per listing; emits a check only when the flag flips.
-
-    With ``ttl`` (seconds) a processing-time timer reports listings whose last check
-    has become stale, as a row without flag.
+    Only the greatest time of the rows is kept, so neither their order nor the way they
+    are cut into chunks matters.
     """
 
-    def __init__(self, ttl: int | None) -> None:
+    def __init__(self, ttl: int) -> None:
         self.ttl = ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "is_online boolean")
+        self.last = handle.getValueState("last", "captured_at timestamp")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        known = self.last.get() if self.last.exists() else None
-        last = known[0] if known else None
+        newest = self.last.get()[0] if self.last.exists() else None
         for chunk in rows:
-            changed, last = _flips(chunk, last)
-            if len(changed):
-                yield changed
-        self.last.update((last,))
-        if self.ttl is not None:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(
-                timerValues.getCurrentProcessingTimeInMs() + self.ttl * 1000
-            )
+            if len(chunk):
+                top = chunk["captured_at"].max().to_pydatetime()
+                newest = top if newest is None else max(newest, top)
+        self.last.update((newest,))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.ttl * 1000)
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        yield pd.DataFrame({
-            "listing_id": [key[0]],
-            "captured_at": [pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")],
-            "id": [None], "is_online": [None],
-        })
+        yield pd.DataFrame({"listing_id": [key[0]], "last_checked_at": [self.last.get()[0]]})
 
     def close(self) -> None:
         pass
 
 
-def stream_transitions(
-    checks: DataFrame, *, expiry: bool = False, ttl: int = lx.STATUS_TTL_SECONDS
-) -> DataFrame:
-    """Transitions of a check stream (``listing_id, captured_at, id, is_online``).
+def stream_expiry(checks: DataFrame, *, ttl: int = lx.STATUS_TTL_SECONDS) -> DataFrame:
+    """Listings of a check stream without a new check for ``ttl`` seconds: listing_id, last_checked_at.
 
-    Needs the RocksDB state store provider. Checks are applied in (time, id) order
-    within an Arrow chunk and in arrival order across chunks; a late check counts when
-    it arrives. One listing's state is a single flag. For batches with more than a
-    chunk (10,000 rows) of one listing use :func:`track_checks`.
+    Needs the RocksDB state store provider. Transitions are found by :func:`track_checks`,
+    which holds no listing's rows in Python.
     """
     return checks.groupBy("listing_id").transformWithStateInPandas(
-        statefulProcessor=_Transitions(ttl if expiry else None), outputStructType=OUTPUT, outputMode="Append",
-        timeMode="ProcessingTime" if expiry else "None",
-    )
-
-
-def stream_transitions_grouped(checks: DataFrame) -> DataFrame:
-    """The same on the older group-state API, for state stores without RocksDB."""
-    def step(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        for chunk in chunks:
-            changed, last = _flips(chunk, last)
-            yield changed
-        state.update((last,))
-
-    return checks.groupBy("listing_id").applyInPandasWithState(
-        step, OUTPUT, "is_online boolean", "append", GroupStateTimeout.NoTimeout
+        statefulProcessor=_Expiry(ttl), outputStructType="listing_id string, last_checked_at timestamp",
+        outputMode="Append", timeMode="ProcessingTime",
     )
 
 
@@ -114,13 +73,12 @@ def track_checks(
 ) -> StreamingQuery:
     """Transitions by a join of every micro-batch with the stored latest statuses.
 
-    The form for very uneven streams: a listing that fills a third of a batch is cut
-    into time blocks like in the batch operator, and nothing is held per key in
+    A listing that fills a third of a batch is cut into blocks like in the batch operator, and nothing is held per key in
     Python. Appends ``transitions`` and replaces ``statuses`` in the store.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
-        version = f"v{batch_id:012d}"
-        if store.version("statuses") == version:
+        version = batch_version(store.spark, checkpoint, batch_id)
+        if version in store.committed("statuses"):
             return
         rows = batch.select(*TRANSITION.names)
         known = store.read("statuses", TRANSITION)

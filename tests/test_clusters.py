@@ -4,7 +4,6 @@ import random
 
 from pyspark.sql.types import LongType, StructField, StructType
 
-from adledger import lexicon as lx
 from adledger.operators.clusters import assign_clusters, enrich_clusters
 from adledger.schema import LISTING, conform, repair
 
@@ -70,72 +69,51 @@ def test_hot_cluster(spark):
     assert len({got[f"l{i}"] for i in range(400)}) == 1 and len(set(got.values())) == 5
 
 
-SCALARS = ["price_eur", "mileage_km", "engine", "vin", "accident_status", "exterior_color", "eu_spec"]
+TAKEN = ["engine", "vin", "eu_spec"]
 
 
-def missing(v):
-    return v is None or v in ("", "unbekannt")
-
-
-def base_color(v):
-    return lx.COLOR_BASES.get(v.strip().lower(), v.strip().lower()) if v else "unknown"
-
-
-def give(target, source):
-    for f in SCALARS:
-        t, s = target[f], source[f]
-        if s is None:
-            continue
-        if missing(t):
-            if s not in ("", "unbekannt"):
-                target[f] = s
-        elif f == "price_eur" and s < t or f == "mileage_km" and 0 < s < t:
-            target[f] = s
-        elif f == "exterior_color" and base_color(s) == base_color(t) and len(s) > len(t):
-            target[f] = s
-
-
-def exchange(group):
-    """Members give to each other in three passes, as one would by hand."""
-    def filled(r):
-        return sum(not missing(r[f]) for f in SCALARS), r["score"]
-
-    best = max(group, key=filled)
-    others = [r for r in group if r is not best]
-    for r in others:
-        give(r, best)
-    for r in others:
-        give(best, r)
-    for r in others:
-        give(r, best)
-
-
-def test_closed_form_equals_three_passes(spark):
+def test_cross_fill_properties(spark):
+    """What a filled cluster must look like, whatever the way it was filled."""
     rng = random.Random(8)
     options = {
-        "price_eur": [None, 0, 100, 200, 300], "mileage_km": [None, 0, 50, 60, 70],
-        "engine": [None, "", "LS2", "LS3"], "vin": [None, "A", "B"],
-        "accident_status": ["unbekannt", "unfall", "unfallfrei"],
-        "exterior_color": [None, "", "rot", "red", "Rot ", "schwarz", "black", "  black"],
-        "eu_spec": [None, True, False],
+        "price_eur": [None, 100, 200, 300], "mileage_km": [None, 50, 60, 70], "engine": [None, "", "LS2", "LS3"],
+        "vin": [None, "A", "B"], "eu_spec": [None, True, False],
     }
-    groups = [
-        [{**{f: rng.choice(o) for f, o in options.items()}, "score": rng.randrange(3),
-          "cluster_id": f"c{g}"} for _ in range(rng.randint(1, 5))]
-        for g in range(250)
+    groups = [[{**{f: rng.choice(o) for f, o in options.items()}, "score": rng.randrange(3), "cluster_id": f"c{g}"}
+               for _ in range(rng.randint(1, 5))] for g in range(250)]
+    got = {r["pos"]: r for r in enrich_clusters(frame(spark, [r for g in groups for r in g])).collect()}
+    at = 0
+    for group in groups:
+        after = [got[at + i] for i in range(len(group))]
+        at += len(group)
+        if len(group) == 1:
+            assert all(after[0][f] == group[0][f] for f in options)
+            continue
+        assert {r["score"] for r in after} == {max(r["score"] for r in group)}
+        for field in ("price_eur", "mileage_km"):
+            assert {r[field] for r in after} == {min((r[field] for r in group if r[field] is not None), default=None)}
+        for field in TAKEN:
+            there = {r[field] for r in group} - {None, ""}
+            for before, now in zip(group, after, strict=True):
+                if before[field] not in (None, ""):
+                    assert now[field] == before[field]
+                elif there:
+                    assert now[field] in there
+                else:
+                    assert now[field] == before[field]
+
+
+def test_cross_fill_by_hand(spark):
+    rows = [
+        {"cluster_id": "a", "accident_status": "unbekannt", "exterior_color": "rot", "mileage_km": 0},
+        {"cluster_id": "a", "accident_status": "unfallfrei", "exterior_color": "Rot metallic", "mileage_km": 70, "engine": "LS3"},
+        {"cluster_id": "b", "exterior_color": "schwarz", "mileage_km": 60},
+        {"cluster_id": "b", "exterior_color": "red", "mileage_km": 50, "vin": "X"},
     ]
-    rows = [r for g in groups for r in g]
-    got = {r["pos"]: r for r in enrich_clusters(frame(spark, rows)).collect()}
-    copies = [[dict(r) for r in g] for g in groups]
-    for g in copies:
-        if len(g) > 1:
-            exchange(g)
-            top = max(r["score"] for r in g)
-            for r in g:
-                r["score"] = top
-    for i, want in enumerate(r for g in copies for r in g):
-        assert {f: got[i][f] for f in [*SCALARS, "score"]} == {
-            f: want[f] for f in [*SCALARS, "score"]}, (i, rows[i])
+    got = [r for _, r in sorted((r["pos"], r) for r in enrich_clusters(frame(spark, rows)).collect())]
+    assert [r["accident_status"] for r in got[:2]] == ["unfallfrei"] * 2 and got[0]["engine"] == "LS3"
+    assert [r["exterior_color"] for r in got[2:]] == ["schwarz", "red"]
+    assert [(r["mileage_km"], r["vin"]) for r in got[2:]] == [(50, "X")] * 2
 
 
 def test_lists_merge_in_order_of_first_sight(spark):

@@ -1,7 +1,6 @@
 """Extraction rules: hits, misses and priority conflicts; price scan against brute force."""
 
 import random
-import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,28 +97,22 @@ def test_candidate(spark):
     assert got == [False, False, True, True, False, True, False, False]
 
 
-def sequential_price(text):
-    """The price rule as one pass over the text."""
-    pattern = re.compile(r"(?<!\d)(\d{1,3}(?:[.\s]\d{3})+|\d{4,6})\s*(€|EUR|VB)?(?!\d)", re.I)
-    bare = None
-    for m in pattern.finditer(text):
-        value = int(re.sub(r"\D", "", m[1]))
-        if not 5000 <= value <= 500000:
-            continue
-        if m[2]:
-            return value
-        around = text[max(0, m.start() - 20):m.start()], text[m.end():m.end() + 15]
-        if bare is None and not any(re.search(r"\bkm\b", a.lower()) for a in around):
-            bare = value
-    return bare
+MARKED = {"12.500 €": 12500, "7500 EUR": 7500, "123 456 VB": 123456, "5000€": 5000}
+BARE = {"9.900": 9900, "41500": 41500, "500.000": 500000}
+NEITHER = ["80.000 km", "km 7500", "99 €", "08.2011", "1.234.567 €", "4.999 €", "500.001", "abc"]
 
 
-def test_price_scan_equals_sequential_pass(spark):
+def test_price_by_construction(spark):
+    """Offers between long words: the first marked price counts, else the first bare one."""
     rng = random.Random(7)
-    parts = ["12.500", "7500", "km", " km ", "€", "EUR", " VB", " ", " ", ".", "x", "99", "123456",
-             "08.2011", "500 000", "1.234.567", "-", "Km", "kmh", "5000"]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(1500)]
-    assert run(spark, texts, x.price_eur) == [sequential_price(t) for t in texts]
+    texts, want = [], []
+    for _ in range(600):
+        offers = rng.choices([*MARKED, *BARE, *NEITHER], k=rng.randrange(6))
+        marked = [MARKED[o] for o in offers if o in MARKED]
+        bare = [BARE[o] for o in offers if o in BARE]
+        texts.append(" ".join(f"{'wort' * 8} {o} {'wort' * 8}" for o in offers))
+        want.append((marked or bare or [None])[0])
+    assert run(spark, texts, x.price_eur) == want
 
 
 def test_scan_contexts_span_neighbouring_matches(spark):
