@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from adledger.llm.common import join_on, stored
+from adledger.llm.common import cut, join_on, stored
+from adledger.operators.skew import lookup
 from adledger.session import durable
 
 BLOCK_BYTES = 4096
@@ -72,7 +73,7 @@ def identities(docs: DataFrame, normalize: Column | None = None, block_bytes: in
         keyed = join_on(keyed, told, [*carried, "pos"], "left")
     else:
         keyed = keyed.withColumn("_o", F.lit(0))
-    level = durable(keyed.withColumn("_o", F.coalesce("_o", F.lit(0))).join(names, ["_b", "_o"])
+    level = cut(keyed.withColumn("_o", F.coalesce("_o", F.lit(0))).join(names, ["_b", "_o"])
                     .select(*carried, "n_blocks", "copies", "pos", "name"))
     done = level.where(F.col("n_blocks") == 1)
     span = 1
@@ -82,9 +83,9 @@ def identities(docs: DataFrame, normalize: Column | None = None, block_bytes: in
         side = F.col("pos") % 2 == 0
         pairs = level.groupBy(*carried, "n_blocks", "copies", F.expr("pos div 2").cast("int").alias("pos")).agg(
             F.max(F.when(side, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(~side, F.col("name"))), F.lit(0)).alias("b"))
-        pairs = durable(pairs)
+        pairs = cut(pairs)
         named = _numbered(pairs.select("a", "b").distinct(), ["a", "b"])
-        level = durable(pairs.join(named, ["a", "b"]).select(*carried, "n_blocks", "copies", "pos", "name"))
+        level = cut(pairs.join(named, ["a", "b"]).select(*carried, "n_blocks", "copies", "pos", "name"))
         span *= 2
         done = done.union(level.where(F.col("n_blocks") <= span))
         level = level.where(F.col("n_blocks") > span)
@@ -102,7 +103,7 @@ def exact_groups(docs: DataFrame, normalize: Column | None = None, block_bytes:
     ids = durable(identities(docs, normalize, block_bytes))
     groups = ids.groupBy("n_blocks", "identity").agg(
         F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
-    out = ids.join(groups, ["n_blocks", "identity"])
+    out = lookup(ids, groups, ["n_blocks", "identity"], "doc_id")
     out = out.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_i") == 1)
     return out.select("doc_id", "keep_id", F.col("group_size").cast("bigint").alias("group_size"), kept.alias("kept"), "text_sha256", "_h")
