@@ -219,7 +219,7 @@ def ad_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _show_cards(cards.ad_cards(composed(spark, sf_dir, lx.KLEINANZEIGEN, KA_URL, AD_PAGE)))
 
 
-# no card elements at all, and filler longer than the last segment may reach
+# no card elements at all; the last segment runs to the end of the page
 SEGMENTS = f"""concat('<div><h2 class="t"><a class="l" href="/s-anzeige/one/', {ID}, '-216-1">Corvette <i>C6</i></a></h2>',
   cast({PRICE} as string), ' € eins<h2> <a href="/s-anzeige/two">C6 zwei</a> </h2>', repeat('x', 2900),
   ' nah ', repeat('y', 200), ' fern</div>')"""
@@ -229,7 +229,7 @@ SEGMENTS = f"""concat('<div><h2 class="t"><a class="l" href="/s-anzeige/one/', {
   'https://www.kleinanzeigen.de/s-anzeige/one/' || {ID} || '-216-1' AS url, 'Corvette C6' AS title,
   'Corvette C6 ' || {PRICE} || ' € eins' AS price_text FROM orders
 UNION ALL SELECT {K}, 'ka-fallback-1', 'https://www.kleinanzeigen.de/s-anzeige/two', 'C6 zwei',
-  'C6 zwei ' || repeat('x', 2900) || ' nah ' || repeat('y', 95) FROM orders""")
+  'C6 zwei ' || repeat('x', 2900) || ' nah ' || repeat('y', 200) || ' fern' FROM orders""")
 def segment_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = composed(spark, sf_dir, lx.KLEINANZEIGEN, KA_URL, SEGMENTS)
     return cards.ad_segment_cards(pages).select(

@@ -42,6 +42,14 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut lineage with a table in the shared folder: for the rounds of a loop, where a
+    checkpoint would carry on the size estimate of a plan that has one more join each round."""
+    path = work_path(df.sparkSession, "round")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores on an input of a few unsplittable files before costly row work.
 
