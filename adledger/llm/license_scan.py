@@ -75,7 +75,7 @@ def scan(files: DataFrame, known: DataFrame, header_cosine: float = HEADER_COSIN
         (F.coalesce("uses", F.lit(0)) < n_lines * rare_share).alias("rare")), "idf")
     weighted = counts.join(idf, "word").select("license_id", "word", (F.col("tf") * F.col("idf")).alias("w"))
     norms = weighted.groupBy("license_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    target = stored(weighted.join(norms, "license_id").select("license_id", "word", (F.col("w") / F.col("norm")).alias("w")), "target")
+    target = stored(weighted.join(norms, "license_id").select("license_id", "word", F.try_divide("w", "norm").alias("w")), "target")
 
     marked = durable(postings.join(idf.where("rare").select("word"), "word").select(*DOC).distinct())
     slot = F.pmod(F.xxhash64(*DOC), F.lit(FILTER_SLOTS))
@@ -93,7 +93,7 @@ def scan(files: DataFrame, known: DataFrame, header_cosine: float = HEADER_COSIN
         F.max("idf_other").alias("idf_other"), F.coalesce(F.max("rare"), F.lit(False)).alias("rare"))
     size = size.where("rare").select(*unit, F.sqrt(F.col("square") + (F.col("n") - F.col("inside")) * F.col("idf_other") * F.col("idf_other")).alias("norm"))
     dots = valued.where("word != ''").join(target, "word").groupBy(*unit, "license_id").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
-    cosine = dots.join(size, unit).select(*unit, "license_id", F.round(F.col("dot") / F.col("norm"), 6).alias("similarity"))
+    cosine = dots.join(size, unit).select(*unit, "license_id", F.round(F.try_divide("dot", "norm"), 6).alias("similarity"))
     order = F.struct((-F.col("similarity")).alias("least"), "license_id")
     best = cosine.withColumn("kind", F.when(F.col("line") < 0, "file").otherwise("header")).where(
         F.col("similarity") >= F.when(F.col("kind") == "file", file_cosine).otherwise(header_cosine))
