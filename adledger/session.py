@@ -20,7 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.sparkContext.getCheckpointDir()
     if known:
         return known
-    if not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
     return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
