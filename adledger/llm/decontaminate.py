@@ -50,7 +50,7 @@ def phrases(items: DataFrame, window_words: int = WINDOW_WORDS, id_col: str = "i
     windows = stored(windows.distinct(), "windows")
     named = stored(windows.select("window").distinct().orderBy("window").withColumn("wid", F.monotonically_increasing_id()), "named")
     terms = named.select("wid", F.size("window").alias("n_terms"), F.posexplode("window").alias("offset", "word"))
-    words = terms.select("word").union(items.sparkSession.createDataFrame([(LENGTH_TERM,)], "word string")).distinct()
+    words = terms.select("word").union(items.sparkSession.range(1).select(F.lit(LENGTH_TERM).alias("word"))).distinct()
     vocabulary = stored(words.orderBy("word").withColumn("term", F.monotonically_increasing_id()), "vocabulary")
     return Phrases(stored(windows.join(named, "window").select("wid", "item_id"), "items"), terms, vocabulary)
 

@@ -33,7 +33,10 @@ DOC = ["doc_id", "_h"]
 
 
 def templates(spark: SparkSession, rows: list[tuple[str, str]] | None = None) -> DataFrame:
-    return spark.createDataFrame(rows if rows is not None else TEMPLATES, "license_id string, text string")
+    """Templates as a table; the short forms above unless ``rows`` are given."""
+    known = [F.struct(F.lit(i).alias("license_id"), F.lit(t).alias("text")) for i, t in (TEMPLATES if rows is None else rows)]
+    held = F.array(*known) if known else F.array().cast("array<struct<license_id:string,text:string>>")
+    return spark.range(1).select(F.inline(held))
 
 
 def scan(files: DataFrame, known: DataFrame, header_cosine: float = HEADER_COSINE, file_cosine: float = FILE_COSINE,
@@ -61,7 +64,7 @@ def scan(files: DataFrame, known: DataFrame, header_cosine: float = HEADER_COSIN
     rows = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
     counts = known.select("license_id", F.explode(words_of(F.col("text"))).alias("word")).groupBy("license_id", "word").agg(F.count("*").alias("tf"))
     counts = stored(counts, "templates")
-    sentinel = files.sparkSession.createDataFrame([("",)], "word string")
+    sentinel = files.sparkSession.range(1).select(F.lit("").alias("word"))
     vocabulary = stored(counts.select("word").union(sentinel).distinct(), "terms")
     lines = once(rows, DOC).select(*DOC, F.posexplode(F.split("text", "\n")).alias("line", "body"))
     words = lines.select(*DOC, "line", F.posexplode(F.array_append(words_of(F.col("body")), F.lit(""))).alias("at", "word"))

@@ -106,7 +106,7 @@ def remove_repeats(docs: DataFrame, min_lines: int = MIN_LINES, with_text: bool
     rows = rows.withColumn("_h", F.xxhash64("text"))
     tables = levels(line_ids(once(rows, DOC)))
     grouped = classes_of(tables, min_lines)
-    nothing = rows.sparkSession.createDataFrame([], "did bigint, _h bigint, gone array<int>")
+    nothing = rows.limit(0).select(*DOC, F.array().cast("array<int>").alias("gone"))
     if grouped is None:
         gone = nothing
     else:
@@ -115,7 +115,7 @@ def remove_repeats(docs: DataFrame, min_lines: int = MIN_LINES, with_text: bool
         covered = later.select(*DOC, F.explode(F.sequence(F.col("pos"), F.col("pos") + (min_lines - 1))).alias("pos")).distinct()
         gone = cut(covered.groupBy(*DOC).agg(F.collect_list("pos").alias("gone")))
     runs = run_scales(tables) if tables else \
-        rows.sparkSession.createDataFrame([], "did bigint, _h bigint, run_scale bigint")
+        rows.limit(0).select(*DOC, F.lit(0).cast("bigint").alias("run_scale"))
     told = cut(gone.join(runs, DOC, "full"))
     whole = rows.join(told, DOC, "left").withColumn("lines", F.split("text", "\n"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("gone", F.array().cast("array<int>")))
