@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adledger.llm.common import components, join_on
+from adledger.operators.skew import lookup
 from adledger.session import durable
 
 RADIUS = 3
@@ -258,8 +259,8 @@ def near_groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius: int
     roots = durable(linked(nodes.select("fp"), radius).withColumnRenamed("node", "fp"))
     named = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     groups = named.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("size"))
-    by_fp = named.select("fp", "root").join(groups, "root").drop("root")
-    out = rows.join(by_fp, "fp")
+    by_fp = durable(lookup(named.select("fp", "root"), groups, "root", "fp").drop("root"))
+    out = lookup(rows, by_fp, "fp", "doc_id")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
                       (F.col("size") - 1).alias("n_links"), "_h")
 
