@@ -18,7 +18,8 @@ WINDOW_WORDS = 13
 CHUNK_WORDS = 1_500_000
 #: Hashes a bucket holds on average, at most; the number of buckets follows the input.
 BUCKET_LOAD = 1_000_000
-LEAST_BUCKET_BITS = {"probe": 10, "extend": 6}
+LEAST_BUCKET_BITS = {"probe": 10, "extend": 8}
+HITS_A_ROW = 32_768
 NO_ID = -(1 << 63)
 KNOWN_WORDS = 1_000_000
 U32, U64 = np.dtype("<u4"), np.dtype("<u8")
@@ -299,7 +300,9 @@ def _windows(candidates: DataFrame, window_words: int, bits: int) -> DataFrame:
             r = np.flatnonzero(repeat)
             if len(r):
                 r = r[np.argsort(who[r], kind="stable")]
-                out.append(rows_of(HITS, int(a[r[0]] & np.uint64((1 << bits) - 1)), who[r], a[r], None))
+                for at in range(0, len(r), HITS_A_ROW):  # spread over the buckets, whose numbers mean nothing to hits
+                    piece = r[at:at + HITS_A_ROW]
+                    out.append(rows_of(HITS, int(a[piece[0]] & np.uint64((1 << bits) - 1)), who[piece], a[piece], None))
             asks = np.flatnonzero(~repeat)
             found, bounds = _slices(a[asks], bits)
             for i, bucket in enumerate(found.tolist()):
