@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from adledger.llm.common import once, stored
@@ -26,8 +26,6 @@ TEMPLATES = [
 ]
 HEADER_COSINE = 0.8
 FILE_COSINE = 0.5
-#: A term is distinguishing if it fills less than this share of all lines.
-RARE_SHARE = 0.01
 FILTER_SLOTS = 1 << 17
 DOC = ["doc_id", "_h"]
 
@@ -39,14 +37,15 @@ def templates(spark: SparkSession, rows: list[tuple[str, str]] | None = None) ->
     return spark.range(1).select(F.inline(held))
 
 
-def scan(files: DataFrame, known: DataFrame, header_cosine: float = HEADER_COSINE, file_cosine: float = FILE_COSINE,
-         rare_share: float = RARE_SHARE) -> DataFrame:
+def scan(files: DataFrame, known: DataFrame, header_cosine: float = HEADER_COSINE, file_cosine: float = FILE_COSINE) -> DataFrame:
     """doc_id, license_id, origin, similarity and ``_h`` per row of ``files`` (doc_id, path, text).
 
     Vectors are word counts times ln(1 + lines / (1 + uses)), with lines and uses counted
-    over all texts; a word of no template weighs as one used once. A file's lines that hold
-    a distinguishing template word, and the file as a whole, are compared with every
-    template. origin is "file" if the whole text reaches ``file_cosine`` (it is a licence
+    over all texts; a word of no template weighs as one used once. A file's lines and the
+    file as a whole are compared with every template, save those whose words bound the cosine
+    under the limits: by Cauchy-Schwarz it is at most the norm of the unit template's weights
+    on shared words, so the lightest words of a template that stay under the lower limit
+    together lead to no match alone, however common or rare they are. origin is "file" if the whole text reaches ``file_cosine`` (it is a licence
     file and covers its directory and those below), else "header" if a line reaches
     ``header_cosine``, else "inherited" from the licence file in the nearest directory
     above, else "none" with null licence and similarity. Ties go to the smaller licence id;
@@ -74,13 +73,17 @@ def scan(files: DataFrame, known: DataFrame, header_cosine: float = HEADER_COSIN
     n_lines = F.lit(postings.where("word = ''").count())
     # one row per word of a template
     idf = stored(vocabulary.where("word != ''").join(uses, "word", "left").select(
-        "word", F.log(1 + n_lines / (1 + F.coalesce("uses", F.lit(0)))).alias("idf"), F.log(1 + n_lines / 2).alias("idf_other"),
-        (F.coalesce("uses", F.lit(0)) < n_lines * rare_share).alias("rare")), "idf")
+        "word", F.log(1 + n_lines / (1 + F.coalesce("uses", F.lit(0)))).alias("idf"), F.log(1 + n_lines / 2).alias("idf_other")), "weights")
     weighted = counts.join(idf, "word").select("license_id", "word", (F.col("tf") * F.col("idf")).alias("w"))
     norms = weighted.groupBy("license_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     target = stored(weighted.join(norms, "license_id").select("license_id", "word", F.try_divide("w", "norm").alias("w")), "target")
+    # a match needs a word beyond those whose squares add up to less than the square of the lower limit, less what rounding adds
+    lower = max(min(header_cosine, file_cosine) - 1e-6, 0.0) ** 2
+    lightest = Window.partitionBy("license_id").orderBy("w", "word").rowsBetween(Window.unboundedPreceding, 0)
+    needed = target.withColumn("light", F.sum(F.col("w") * F.col("w")).over(lightest)).where(F.col("light") >= lower).select("word").distinct()
+    idf = stored(idf.join(needed.withColumn("needed", F.lit(True)), "word", "left").na.fill(False, ["needed"]), "idf")
 
-    marked = durable(postings.join(idf.where("rare").select("word"), "word").select(*DOC).distinct())
+    marked = durable(postings.join(idf.where("needed").select("word"), "word").select(*DOC).distinct())
     slot = F.pmod(F.xxhash64(*DOC), F.lit(FILTER_SLOTS))
     slots = marked.select(slot.alias("slot")).distinct()
     near = postings.withColumn("slot", slot).join(F.broadcast(slots), "slot", "left_semi")  # FILTER_SLOTS rows at most
@@ -93,8 +96,8 @@ def scan(files: DataFrame, known: DataFrame, header_cosine: float = HEADER_COSIN
     valued = units.join(idf, "word", "left").withColumn("v", tf * F.col("idf"))
     size = valued.groupBy(*unit).agg(
         F.sum("n_words").alias("n"), F.coalesce(F.sum(tf), F.lit(0)).alias("inside"), F.coalesce(F.sum(F.col("v") * F.col("v")), F.lit(0.0)).alias("square"),
-        F.max("idf_other").alias("idf_other"), F.coalesce(F.max("rare"), F.lit(False)).alias("rare"))
-    size = size.where("rare").select(*unit, F.sqrt(F.col("square") + (F.col("n") - F.col("inside")) * F.col("idf_other") * F.col("idf_other")).alias("norm"))
+        F.max("idf_other").alias("idf_other"), F.coalesce(F.max("needed"), F.lit(False)).alias("needed"))
+    size = size.where("needed").select(*unit, F.sqrt(F.col("square") + (F.col("n") - F.col("inside")) * F.col("idf_other") * F.col("idf_other")).alias("norm"))
     dots = valued.where("word != ''").join(target, "word").groupBy(*unit, "license_id").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
     cosine = dots.join(size, unit).select(*unit, "license_id", F.round(F.try_divide("dot", "norm"), 6).alias("similarity"))
     order = F.struct((-F.col("similarity")).alias("least"), "license_id")

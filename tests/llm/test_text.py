@@ -2,7 +2,9 @@
 
 import hashlib
 import itertools
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -220,3 +222,48 @@ def test_licences(spark):
     none = license_scan.scan(files, license_scan.templates(spark, [])).collect()
     assert {r.origin for r in none} == {"none"}
     assert license_scan.scan(files.limit(0), license_scan.templates(spark)).count() == 0
+
+
+@pytest.mark.parametrize("n", [9, 300])
+def test_common_notice_is_found(spark, n):
+    """A notice in a third of all files, in a table of fewer than 100 lines and in a larger one."""
+    notice = "Released under the MIT License."
+    rows = [(i, f"d{i}/f.txt", notice if i % 6 == 0 else f"w{i} first\n{notice}\n" + f"x{i} y{i} z{i} " * 9 if i % 3 == 0
+             else f"plain words {i}\nthe end under the {i}") for i in range(n)]
+    files = spark.createDataFrame(rows, "doc_id bigint, path string, text string")
+    got = {r.doc_id: (r.license_id, r.origin, r.similarity) for r in license_scan.scan(files, license_scan.templates(spark)).collect()}
+    assert got == {i: ("MIT", "file" if i % 6 == 0 else "header", 1.0) if i % 3 == 0 else (None, "none", None) for i in range(n)}
+
+
+def plain_scan(rows, limits):
+    """Own licence of each file by comparing every line and file with every template, without any choice of candidates."""
+    known = [(t, Counter(bench_words(x))) for t, x in license_scan.TEMPLATES]
+    vocabulary = {w for _, c in known for w in c}
+    lines = [(i, bench_words(b)) for i, _, t in rows for b in t.split("\n")]
+    uses = Counter(w for _, ws in lines for w in ws)
+    idf = {w: math.log(1 + len(lines) / (1 + uses[w])) if w in vocabulary else math.log(1 + len(lines) / 2) for w in {*uses, *vocabulary}}
+    out = {}
+    for i, _, text in rows:
+        best = {}
+        for kind, units in (("file", [text]), ("header", text.split("\n"))):
+            for c in (Counter(bench_words(u)) for u in units):
+                # words of no template are summed as one dimension each use, as stated
+                norm = math.sqrt(sum((n * idf[w]) ** 2 if w in vocabulary else n * idf[w] ** 2 for w, n in c.items()))
+                for t, k in known:
+                    dot = sum(n * idf[w] * k[w] * idf[w] for w, n in c.items() if w in k)
+                    cosine = round(dot / norm / math.sqrt(sum((n * idf[w]) ** 2 for w, n in k.items())), 6) if dot else 0
+                    if cosine >= limits[kind]:
+                        best[kind] = min(best.get(kind, (0, "")), (-cosine, t))
+        out[i] = (best.get("file") or best.get("header") or (None, None))[1]
+    return out
+
+
+@pytest.mark.parametrize("limits", [(0.8, 0.5), (0.6, 0.3)])
+def test_licence_candidates_lose_no_match(spark, limits):
+    rng = random.Random(11)
+    pool = sorted({w for _, t in license_scan.TEMPLATES for w in bench_words(t)})
+    rows = [(i, f"d{i}/f", "\n".join(" ".join(rng.choice(pool) if rng.random() < 0.8 else f"o{rng.randrange(30)}" for _ in range(rng.randrange(1, 7)))
+             for _ in range(rng.randrange(1, 4)))) for i in range(250)]
+    files = spark.createDataFrame(rows, "doc_id bigint, path string, text string")
+    got = license_scan.scan(files, license_scan.templates(spark), *limits).collect()
+    assert {r.doc_id: r.license_id for r in got} == plain_scan(rows, dict(zip(("header", "file"), limits)))
