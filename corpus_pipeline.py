@@ -24,8 +24,9 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by SimHash (3-word shingles, 3 bits) the one with the smallest doc_id."""
-    return simhash.keep_one(docs)
+    """Of documents linked by SimHash (3-word shingles, 3 bits) or by a Jaccard similarity of 0.8
+    or more of their five-word shingles the one with the smallest doc_id."""
+    return simhash.keep_one(docs, set_words=5)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from adledger.llm import exact_dedup, line_dedup, simhash, substring_dedup
 from tests.llm.helpers import DOCS, ROWS, collected, docs, lowered, words
 
@@ -80,6 +81,38 @@ def test_simhash_groups(spark):
     assert simhash.near_groups(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_near_stage_drops_similar_texts(spark):
+    """Every pair with a five-word Jaccard similarity of 0.8 or more is linked, near the limit and in groups too."""
+    rng = random.Random(8)
+    rows = [(i, t) for i, t in ROWS if i is not None]
+    passage = [f"p{i}" for i in range(30)]
+    for g in range(30):
+        base = passage * (g % 3 == 0) + [f"v{rng.randrange(3000)}" for _ in range(rng.randrange(5, 120))]
+        for k in range(3 if g else 25):
+            near = list(base)
+            for _ in range(rng.randrange(0, 1 + len(base) // 40 + 1)):
+                near[rng.randrange(len(near))] = f"n{g}_{k}"
+            rows.append((100 + g * 30 + k, " ".join(near)))
+    sets = {}
+    for i, t in rows:
+        w = words(lowered(t))
+        sets[i] = {tuple(w[j:j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+    fp = {i: fingerprint(t) for i, t in rows}
+    root = {i: i for i in sets}
+    bits = dict(root)
+    changed = True
+    while changed:
+        changed = False
+        for a in root:
+            for b in root:
+                for r, near in ((bits, False), (root, True)):
+                    if r[a] > r[b] and ((fp[a] ^ fp[b]).bit_count() <= 3 or near and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) > 0):
+                        r[a], changed = r[b], True
+    assert len(set(root.values())) < len(set(bits.values()))
+    kept = corpus_pipeline.near_duplicates(spark, docs(spark, rows), "")
+    assert {r.doc_id for r in kept.collect()} == set(root.values())
+
+
 @pytest.mark.parametrize("radius", [1, 3, 4])
 def test_bit_slices(radius):
     rng = np.random.default_rng(radius)
