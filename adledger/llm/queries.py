@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adledger.llm import (
-    byte_bpe, chat_format, decontaminate, exact_dedup, license_scan, line_dedup, quality, simhash, substring_dedup,
-    toxicity,
+    byte_bpe, chat_format, decontaminate, exact_dedup, fill_in_middle, license_scan, line_dedup, merkle, mixing, quality,
+    simhash, substring_dedup, toxicity,
 )
 from adledger.llm.common import table, texts
 from adledger.plans.registry import Registry
@@ -183,3 +183,74 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     files = docs.select("doc_id", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text")
     return license_scan.scan(files, license_scan.templates(spark)).drop("_h")
+
+
+@registry.add("op11_mix_sources")
+def op11_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(table(spark, sf_dir, "documents"))
+
+
+def _merkle_sql(rounds: int = 10) -> str:
+    """Trees level by level, unrolled: enough for 8 ^ ``rounds`` documents a language."""
+    fields = " || ".join(
+        f"CASE WHEN {{0}} IS NULL THEN '-' ELSE CAST(strlen(CAST({{0}} AS VARCHAR)) AS VARCHAR) || ':' || CAST({{0}} AS VARCHAR) END".format(c)
+        for c in merkle.FIELDS)
+    changed = fields.replace("(text AS", f"(translate(text, '{merkle.UPPER}', '{merkle.LOWER}') AS")
+    crc = ("xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), "
+           "lambda d: CAST(ord(d) AS BIGINT))), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], "
+           "lambda x, y: xor(x // 2, 3988292384 * (x % 2)))))")
+    ctes = [f"""leaves AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos,
+  sha256({fields}) AS leaf, CASE WHEN {crc} % 3 = 0 THEN sha256({changed}) ELSE sha256({fields}) END AS claimed FROM documents),
+n0 AS (SELECT lang, pos, leaf AS h FROM leaves)"""]
+
+    def level(name: str, source: str, key: str) -> str:
+        """Siblings of each node of ``source``, and the next level; a lone node stays as it is."""
+        return f"""s{name} AS (SELECT {key}, pos, count(*) OVER (PARTITION BY {key}) AS n,
+  coalesce(string_agg(h, '') OVER (PARTITION BY {key}, pos // 8 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+  coalesce(string_agg(h, '') OVER (PARTITION BY {key}, pos // 8 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r, h FROM {source}),
+g{name} AS (SELECT {key}, pos // 8 AS pos, CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY pos)) END AS h
+  FROM s{name} GROUP BY {key}, pos // 8)"""
+
+    for i in range(rounds):
+        ctes.append(level(f"a{i}", "n0" if i == 0 else f"ga{i - 1}", "lang"))
+    ctes.append(f"""roots AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM ga{rounds - 1}),
+t0 AS (SELECT 0 AS one, tree AS pos, subroot AS h FROM roots)""")
+    for i in range(rounds // 2):
+        ctes.append(level(f"b{i}", "t0" if i == 0 else f"gb{i - 1}", "one"))
+    ctes.append("f0 AS (SELECT l.doc_id, l.lang, l.pos, l.leaf, r.subroot, r.tree, claimed AS d, '' AS proof FROM leaves l JOIN roots r ON l.lang IS NOT DISTINCT FROM r.lang)")
+    step = 0
+    for name, on in [*[(f"a{i}", f"s.lang IS NOT DISTINCT FROM f.lang AND s.pos = f.pos // {8 ** i}") for i in range(rounds)],
+                     *[(f"b{i}", f"s.pos = f.tree // {8 ** i}") for i in range(rounds // 2)]]:
+        ctes.append(f"f{step + 1} AS (SELECT f.* REPLACE (CASE WHEN s.n = 1 THEN f.d ELSE sha256(s.l || f.d || s.r) END AS d, f.proof || s.l || s.r AS proof) "
+                    f"FROM f{step} f JOIN s{name} s ON {on})")
+        step += 1
+    return f"""WITH {", ".join(ctes)} SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, d AS folded_root, d = h AS verified
+FROM f{step}, gb{rounds // 2 - 1}"""
+
+
+@registry.add("op12_merkle_manifest", _merkle_sql())
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 0
+    lowered = {"text": F.translate("text", merkle.UPPER, merkle.LOWER)}
+    return merkle.proofs(merkle.manifest(table(spark, sf_dir, "documents"), lowered, tampered))
+
+
+OP13_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS h FROM documents),
+k AS (SELECT *, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS x, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS y,
+  CAST('0x' || h[17:24] AS BIGINT) % 100 AS f, CAST('0x' || h[25:32] AS BIGINT) % 100 AS s FROM d),
+c AS (SELECT *, least(x, y) AS a, greatest(x, y) AS b, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+  OR f >= 90 THEN 'plain' WHEN s < 20 THEN 'spm' ELSE 'psm' END AS form FROM k),
+p AS (SELECT *, substr(t, 1, a) AS pre, substr(t, a + 1, b - a) AS mid, substr(t, b + 1) AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE t END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+@registry.add("op13_fill_in_middle", OP13_SQL)
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.transform(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"),
+                       F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_in_middle.restored(), 256).alias("restored_sha256"))

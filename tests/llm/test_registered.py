@@ -14,7 +14,7 @@ def con(sf_dir):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(registry.sql))
