@@ -28,6 +28,14 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have (names differ in more than case)."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def text_hash(column: str = "text") -> Column:
     return F.xxhash64(F.col(column))
 
@@ -39,10 +47,11 @@ def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
 
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Null-safe equi-join that keeps the keys once, from the left side."""
-    right = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
-    on = reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[f"_r_{k}"]) for k in keys])
+    named = {k: fresh(left, f"_r_{k}".lower()) for k in keys}
+    right = right.select(*[F.col(c).alias(named[c]) if c in keys else F.col(c) for c in right.columns])
+    on = reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[named[k]]) for k in keys])
     joined = left.join(right, on, how)
-    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_r_{k}" for k in keys])
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*named.values())
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from adledger.llm.common import join_on, stored
+from adledger.llm.common import fresh, join_on, stored
 from adledger.session import durable
 
 WINDOW_WORDS = 10
@@ -155,6 +155,7 @@ def contamination(docs: DataFrame, items: DataFrame, window_words: int = WINDOW_
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window_words: int = WINDOW_WORDS) -> DataFrame:
     """The rows of ``docs`` in which no window of an item occurs, columns unchanged."""
-    bad = contamination(docs, items, window_words).where("contaminated").select("doc_id", F.col("_h").alias("_bad_h")).distinct()
-    keyed = docs.withColumn("_bad_h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return join_on(keyed, durable(bad), ["doc_id", "_bad_h"], "left_anti").select(*docs.columns)
+    mark = fresh(docs, "_h")
+    bad = contamination(docs, items, window_words).where("contaminated").select("doc_id", F.col("_h").alias(mark)).distinct()
+    marked = docs.withColumn(mark, F.xxhash64(F.coalesce("text", F.lit(""))))
+    return join_on(marked, durable(bad), ["doc_id", mark], "left_anti").select(*docs.columns)

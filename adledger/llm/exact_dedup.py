@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from adledger.llm.common import cut, join_on, stored
+from adledger.llm.common import cut, fresh, join_on, stored
 from adledger.operators.skew import lookup
 from adledger.session import durable
 
@@ -112,12 +112,13 @@ def exact_groups(docs: DataFrame, normalize: Column | None = None, block_bytes:
 def drop_copies(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The input's columns, with one row (largest doc_id) of each group of equal texts."""
     groups = exact_groups(docs, block_bytes=block_bytes)
-    rows = durable(groups.groupBy("doc_id", F.col("_h").alias("_keep_h")).agg(
+    mark = fresh(docs, "_h")
+    rows = durable(groups.groupBy("doc_id", F.col("_h").alias(mark)).agg(
         F.max("kept").alias("_kept"), F.count("*").alias("_rows")).where("_kept"))
-    keyed = docs.withColumn("_keep_h", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    out = join_on(keyed, rows, ["doc_id", "_keep_h"], "left_semi")
+    keyed = docs.withColumn(mark, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    out = join_on(keyed, rows, ["doc_id", mark], "left_semi")
     repeated = rows.where("_rows > 1")
     if repeated.limit(1).count():
-        once = join_on(keyed, repeated, ["doc_id", "_keep_h"], "left_semi").dropDuplicates(["doc_id", "_keep_h"])
-        out = join_on(out, repeated, ["doc_id", "_keep_h"], "left_anti").union(once)
+        once = join_on(keyed, repeated, ["doc_id", mark], "left_semi").dropDuplicates(["doc_id", mark])
+        out = join_on(out, repeated, ["doc_id", mark], "left_anti").union(once)
     return out.select(*docs.columns)

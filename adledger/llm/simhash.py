@@ -10,14 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adledger.llm.common import components, cut, join_on, stored
+from adledger.llm.common import components, cut, fresh, join_on
+from adledger.llm.set_links import set_nodes, similar_links, widened
 from adledger.operators.skew import lookup
 from adledger.session import durable
 
 RADIUS = 3
 SHINGLE_WORDS = 3
-#: Least Jaccard similarity of linked sets, as a fraction.
-SIMILAR = (4, 5)
 BANDS = 6
 BUCKET_LIMIT = 2048
 BLOCK = 4096
@@ -52,24 +51,20 @@ def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS) -> int:
     return sum(1 << i for i in np.flatnonzero(2 * set_bits > len(hashes)).tolist())
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, set_words: int | None = None) -> DataFrame:
-    """(doc_id, _h, fp bigint) per row; a null text has no words. With ``set_words`` also the
-    ascending distinct hashes of the shingles of so many words."""
+def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+    """(doc_id, _h, fp bigint) per row; a null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            told = [t.as_py() or "" for t in batch.column(2)]
-            fps = np.array([fingerprint(t, shingle_words) for t in told], np.uint64)
-            columns, names = [batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["doc_id", "_h", "fp"]
-            if set_words:
-                sets = [np.unique(shingle_hashes(t, set_words).view(np.int64)) for t in told]
-                columns.append(pa.array(sets, pa.list_(pa.int64())))
-                names.append("shingles")
-            yield pa.RecordBatch.from_arrays(columns, names)
+            fps = np.array([fingerprint(t.as_py() or "", shingle_words) for t in batch.column(2)], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["doc_id", "_h", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
-                       F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, _h bigint, fp bigint" + (", shingles array<bigint>" if set_words else ""))
+    return keyed(docs).mapInArrow(run, "doc_id bigint, _h bigint, fp bigint")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, _h, text) with ``_h`` the text's hash."""
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"), "text")
 
 
 def planes_of(fps: np.ndarray) -> np.ndarray:
@@ -259,59 +254,6 @@ def linked(distinct: DataFrame, radius: int = RADIUS, bands: int = BANDS, bucket
     return components(edges)
 
 
-def similar_links(sets: DataFrame, roots: DataFrame) -> DataFrame:
-    """(u, v) fingerprints of pairs of texts with a Jaccard similarity of at least ``SIMILAR``.
-
-    ``sets`` has t (unique), fp and shingles (ascending, distinct); ``roots`` (fp, root) what is
-    linked already. With the links given, the components are those of all such pairs.
-    Two texts that similar share a shingle among the first n - ceil(0.8 n) + 1 of each one's n
-    in any common order. The order of the hashes, which needs no counts, leaves the texts that
-    share one at all; for these the order is by number of texts, rarest first. All texts that
-    share such a shingle are compared with one of them, then every two that still have different
-    roots, so a group of copies makes no pairs of its own. Pairs are verified on whole sets.
-    """
-    num, den = SIMILAR
-    size = F.size("shingles")
-    sets = sets.withColumn("n", size).withColumn("first", size - F.floor((size * num + (den - 1)) / den).cast("int") + 1).where("n > 0")
-    head = sets.select("t", F.explode(F.slice("shingles", F.lit(1), F.col("first"))).alias("x"))
-    shared = cut(head.groupBy("x").agg(F.count("*").alias("uses")).where("uses > 1"))
-    some = cut(head.join(shared, "x").select("t").distinct())
-    every = sets.join(some, "t").select("t", "fp", "n", "first", F.explode("shingles").alias("x"))
-    shared = cut(every.groupBy("x").agg(F.count("*").alias("uses")).where("uses > 1"))
-    told = every.join(shared, "x").groupBy("t", "fp", "n", "first").agg(
-        F.sort_array(F.collect_list(F.struct("uses", "x"))).alias("by_use"))
-    # the shingles of this text alone come before all shared ones
-    left = F.greatest(F.col("first") - F.col("n") + F.size("by_use"), F.lit(0))
-    members = cut(told.select("t", "fp", "n", F.explode(F.slice("by_use", F.lit(1), left)["x"]).alias("x")))
-
-    def placed(roots: DataFrame) -> DataFrame:
-        """Members of the shingles that still have several roots."""
-        rooted = lookup(members, roots, "fp", "t").withColumn("root", F.coalesce("root", "fp"))
-        pivots = rooted.groupBy("x").agg(F.min(F.struct("root", "t", "fp", "n")).alias("pivot"), F.max("root").alias("other"))
-        return lookup(rooted, cut(pivots.where("pivot.root <> other")), "x", "t").where("pivot is not null")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Pairs (t, fp, n, t2, fp2, n2) of sufficient similarity as (u, v)."""
-        pairs = cut(pairs.where((F.least("n", "n2") * den >= F.greatest("n", "n2") * num)).distinct())
-        of = sets.join(pairs.select("t").union(pairs.select("t2")).distinct(), "t", "left_semi").select("t", "shingles")
-        of = cut(of)
-        both = lookup(lookup(pairs, of, "t", "t2"), of.select(F.col("t").alias("t2"), F.col("shingles").alias("shingles2")), "t2", "t")
-        common = F.size(F.array_intersect("shingles", "shingles2"))
-        return cut(both.where(common * (num + den) >= (F.col("n") + F.col("n2")) * num).select(F.col("fp").alias("u"), F.col("fp2").alias("v")))
-
-    star = placed(roots).where(F.col("root") != F.col("pivot.root"))
-    found = verified(star.select("t", "fp", "n", F.col("pivot.t").alias("t2"), F.col("pivot.fp").alias("fp2"), F.col("pivot.n").alias("n2")))
-    rest = cut(placed(widened(roots, found)).select("x", "t", "fp", "n", "root"))
-    other = rest.select("x", *[F.col(c).alias(f"{c}2") for c in ("t", "fp", "n", "root")])
-    return found.union(verified(rest.join(other, "x").where("root < root2").select("t", "fp", "n", "t2", "fp2", "n2")))
-
-
-def widened(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """Roots (fp, root) of the components by ``roots`` and further ``links`` (u, v)."""
-    edges = roots.select(F.col("fp").alias("u"), F.col("root").alias("v")).union(links.select("u", "v"))
-    return cut(components(edges).withColumnRenamed("node", "fp"))
-
-
 def near_groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS, set_words: int | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id, n_links, and ``_h``; one row per input row.
 
@@ -323,13 +265,17 @@ def near_groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius: int
     Jaccard similarity of 0.8 or more are linked too. Works for an empty table; other
     columns are ignored.
     """
-    rows = fingerprints(docs, shingle_words, set_words)
-    rows = stored(rows.withColumn("t", F.monotonically_increasing_id()), "shingles") if set_words else durable(rows)
+    rows = durable(fingerprints(docs, shingle_words))
     nodes = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     roots = durable(linked(nodes.select("fp"), radius).withColumnRenamed("node", "fp"))
     if set_words:
-        roots = widened(roots, similar_links(rows.select("t", "fp", "shingles"), roots))
-        rows = rows.select("doc_id", "_h", "fp")
+        def shingler(text: str) -> np.ndarray:
+            return shingle_hashes(text, set_words)
+
+        texts = keyed(docs)
+        sets = cut(set_nodes(texts, shingler).distinct())
+        with_sets = cut(join_on(rows.distinct(), sets, ["doc_id", "_h"]))
+        roots = widened(roots, similar_links(texts, with_sets, shingler, roots))
     named = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     groups = named.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("size"))
     by_fp = durable(lookup(named.select("fp", "root"), groups, "root", "fp").drop("root"))
@@ -346,6 +292,7 @@ def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius: int =
     """
     groups = near_groups(docs, shingle_words, radius, set_words)
     drop = groups.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    drop = durable(drop.select("doc_id", F.col("_h").alias("_drop_h")).distinct())
-    keyed = docs.withColumn("_drop_h", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    return join_on(keyed, drop, ["doc_id", "_drop_h"], "left_anti").select(*docs.columns)
+    mark = fresh(docs, "_h")
+    drop = durable(drop.select("doc_id", F.col("_h").alias(mark)).distinct())
+    marked = docs.withColumn(mark, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    return join_on(marked, drop, ["doc_id", mark], "left_anti").select(*docs.columns)

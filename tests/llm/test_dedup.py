@@ -9,8 +9,8 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from adledger.llm import exact_dedup, line_dedup, simhash, substring_dedup
-from tests.llm.helpers import DOCS, ROWS, collected, docs, lowered, words
+from adledger.llm import decontaminate, exact_dedup, line_dedup, set_links, simhash, substring_dedup
+from tests.llm.helpers import DOCS, ROWS, collected, docs, lowered, near_roots, words
 
 
 def sha(text):
@@ -81,8 +81,10 @@ def test_simhash_groups(spark):
     assert simhash.near_groups(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def test_near_stage_drops_similar_texts(spark):
+@pytest.mark.parametrize("cell", [512, 3])
+def test_near_stage_drops_similar_texts(spark, monkeypatch, cell):
     """Every pair with a five-word Jaccard similarity of 0.8 or more is linked, near the limit and in groups too."""
+    monkeypatch.setattr(set_links, "CELL", cell)
     rng = random.Random(8)
     rows = [(i, t) for i, t in ROWS if i is not None]
     passage = [f"p{i}" for i in range(30)]
@@ -93,26 +95,34 @@ def test_near_stage_drops_similar_texts(spark):
             for _ in range(rng.randrange(0, 1 + len(base) // 40 + 1)):
                 near[rng.randrange(len(near))] = f"n{g}_{k}"
             rows.append((100 + g * 30 + k, " ".join(near)))
-    sets = {}
-    for i, t in rows:
-        w = words(lowered(t))
-        sets[i] = {tuple(w[j:j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
-    fp = {i: fingerprint(t) for i, t in rows}
-    root = {i: i for i in sets}
-    bits = dict(root)
-    changed = True
-    while changed:
-        changed = False
-        for a in root:
-            for b in root:
-                for r, near in ((bits, False), (root, True)):
-                    if r[a] > r[b] and ((fp[a] ^ fp[b]).bit_count() <= 3 or near and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) > 0):
-                        r[a], changed = r[b], True
+    root, bits = near_roots(rows)
     assert len(set(root.values())) < len(set(bits.values()))
     kept = corpus_pipeline.near_duplicates(spark, docs(spark, rows), "")
     assert {r.doc_id for r in kept.collect()} == set(root.values())
 
 
+def test_sketches_never_rule_out_a_similar_pair():
+    rng = np.random.default_rng(1)
+    for n in (1, 5, 60, 90, 91, 700, 3000):
+        a = rng.integers(-2 ** 63, 2 ** 63, n)
+        for share in (0, .05, .1, .3, 1):
+            b = np.unique(np.concatenate([a[int(n * share):], rng.integers(-2 ** 63, 2 ** 63, int(n * share * rng.random()))]))
+            differ = len(np.setxor1d(a, b))
+            assert set_links.apart(set_links.sketch_of(a), set_links.sketch_of(b)) <= differ
+
+
+def test_filters_keep_columns_of_their_own_names(spark):
+    """Input columns that are called like the operators' marks come back as they were."""
+    frame = spark.createDataFrame([(1, "a b", 11, 21, 31, 41), (2, "a b", 12, 22, 32, 42), (3, "c d e f", 13, 23, 33, 43)],
+                                  "doc_id bigint, text string, _h int, _keep_h int, _drop_h int, _r_doc_id int")
+    want = [(2, 12, 22, 32, 42), (3, 13, 23, 33, 43)]
+    columns = ["doc_id", "_h", "_keep_h", "_drop_h", "_r_doc_id"]
+    assert collected(exact_dedup.drop_copies(frame), *columns) == want
+    assert collected(simhash.keep_one(frame.where("doc_id > 1"), set_words=5), *columns) == want
+    items = spark.createDataFrame([(1, "a b")], "item_id bigint, text string")
+    assert collected(decontaminate.drop_contaminated(frame, items), *columns) == want[1:]
+
+
 @pytest.mark.parametrize("radius", [1, 3, 4])
 def test_bit_slices(radius):
     rng = np.random.default_rng(radius)

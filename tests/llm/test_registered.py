@@ -3,9 +3,10 @@
 import pytest
 
 import corpus_pipeline
-from adledger.llm import exact_dedup, simhash
+from adledger.llm import exact_dedup
 from adledger.llm.queries import registry
 from tests.check import compare, duck
+from tests.llm.helpers import near_roots
 
 
 @pytest.fixture(scope="module")
@@ -39,7 +40,8 @@ def test_pipeline_stages(spark, sf_dir):
     assert {(r.doc_id,) for r in distinct.select("doc_id").collect()} == {
         (r.doc_id,) for r in exact_dedup.exact_groups(good).where("kept").collect()}
     near = corpus_pipeline.near_duplicates(spark, distinct, sf_dir).cache()
-    assert near.count() == simhash.near_groups(distinct).select("component_id").distinct().count()
+    roots, _ = near_roots([(r.doc_id, r.text) for r in distinct.select("doc_id", "text").collect()])
+    assert {r.doc_id for r in near.select("doc_id").collect()} == set(roots.values()) and near.count() == len(set(roots.values()))
     clean = corpus_pipeline.benchmark_decontamination(spark, near, sf_dir)
     ids = corpus_pipeline.token_ids(spark, clean, sf_dir)
     for frame in (good, distinct, near, clean):
