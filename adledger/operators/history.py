@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from adledger.operators.skew import lag_in_blocks, time_block
+from adledger.operators.scan import PART, in_ranges, part_starts, running
+from adledger.operators.skew import lag_in_blocks
+from adledger.session import written
 
 # snapshots: listing_id, captured_at, id, price_eur, mileage_km, change_type
 
@@ -15,21 +17,25 @@ def _order() -> list[Column]:
     return [F.col("captured_at"), F.col("id")]
 
 
+def _ranged(rows: DataFrame, order: list[Column] | None = None) -> DataFrame:
+    """Rows in range partitions of (listing, time): a listing of any length is spread by its order."""
+    return in_ranges(rows, ["listing_id"], order or _order())
+
+
 def collapse_unchanged(snapshots: DataFrame) -> DataFrame:
     """Consecutive ``unchanged`` snapshots become one entry; others pass through.
 
-    Runs are found inside hour blocks first. Only the first and the last run of a
-    block can continue in a neighbour, so stitching looks at two rows per block and
-    never at a whole long history in one task.
+    Runs are found inside range partitions first. Only the first and the last run of a
+    listing in a partition can continue in a neighbour, so stitching looks at two rows per
+    partition and never at a whole long history in one task.
     """
     calm = F.col("change_type") == "unchanged"
-    blocked = snapshots.withColumn("_block", time_block("captured_at"))
-    inside = W.partitionBy("listing_id", "_block").orderBy(*_order())
+    inside = W.partitionBy("listing_id", PART).orderBy(*_order())
     starts = ~(calm & F.coalesce(F.lag(calm).over(inside), F.lit(False)))
     local = (
-        blocked.withColumn("_start", starts.cast("int"))
+        _ranged(snapshots).withColumn("_start", starts.cast("int"))
         .withColumn("_run", F.sum("_start").over(inside))
-        .groupBy("listing_id", "_block", "_run")
+        .groupBy("listing_id", PART, "_run")
         .agg(
             F.min_by(F.struct("change_type", "price_eur", "mileage_km"),
                      F.struct(*_order())).alias("head"),
@@ -38,11 +44,11 @@ def collapse_unchanged(snapshots: DataFrame) -> DataFrame:
             F.count("*").alias("count"),
         )
     )
-    per_block = W.partitionBy("listing_id", "_block")
-    edge = (F.col("_run") == 1) | (F.col("_run") == F.max("_run").over(per_block))
+    per_part = W.partitionBy("listing_id", PART)
+    edge = (F.col("_run") == 1) | (F.col("_run") == F.max("_run").over(per_part))
     local = local.withColumn("_edge", edge)
     stitched = W.partitionBy(
-        "listing_id", F.when(~F.col("_edge"), F.col("_block")), "_edge"
+        "listing_id", F.when(~F.col("_edge"), F.col(PART)), "_edge"
     ).orderBy("begin")
     local_calm = F.col("head.change_type") == "unchanged"
     continues = (
@@ -53,7 +59,7 @@ def collapse_unchanged(snapshots: DataFrame) -> DataFrame:
         local.withColumn("_new", (~continues).cast("int"))
         .withColumn("_group", F.sum("_new").over(stitched))
         .groupBy(
-            "listing_id", "_edge", F.when(~F.col("_edge"), F.col("_block")).alias("_b"), "_group"
+            "listing_id", "_edge", F.when(~F.col("_edge"), F.col(PART)).alias("_b"), "_group"
         )
         .agg(
             F.min_by("head", "begin").alias("head"), F.min("begin").alias("begin"),
@@ -85,24 +91,16 @@ def price_series(snapshots: DataFrame, limit: int | None = None) -> DataFrame:
 
     The first ``limit`` points per listing if one is given, and none for a listing with a single one.
     """
-    priced = snapshots.filter("price_eur IS NOT NULL").select(
-        "listing_id", "captured_at", "id", "price_eur"
-    )
+    priced = _ranged(snapshots.filter("price_eur IS NOT NULL").select("listing_id", "captured_at", "id", "price_eur"))
     lagged = lag_in_blocks(
-        priced, "listing_id", time_block("captured_at"), _order(),
-        {"_before": F.col("price_eur")}, first_flag="_first",
-    )
-    points = lagged.filter(F.col("_first") | (F.col("_before") != F.col("price_eur"))).drop(
-        "_first", "_before"
-    )
-    numbered = points.withColumn(
-        "point", F.row_number().over(W.partitionBy("listing_id").orderBy(*_order()))
-    )
-    if limit is not None:
-        numbered = numbered.filter(F.col("point") <= limit)
-    return numbered.withColumn(
-        "_n", F.count("*").over(W.partitionBy("listing_id"))
-    ).filter("_n >= 2").drop("_n")
+        priced, "listing_id", F.col(PART), _order(), {"_before": F.col("price_eur")}, first_flag="_first")
+    points = written(lagged.filter(F.col("_first") | (F.col("_before") != F.col("price_eur"))).drop("_first", "_before"))
+    # counts per listing and partition give both the number of a point and the number of all
+    starts = part_starts(points, ["listing_id"])
+    starts = starts.withColumn("_n", F.sum("_sum").over(W.partitionBy("listing_id")))
+    numbered = running(points, starts, ["listing_id"], _order(), "point").filter("_n >= 2").drop("_n")
+    numbered = numbered.withColumn("point", (F.col("point") + 1).cast("int"))
+    return numbered if limit is None else numbered.filter(F.col("point") <= limit)
 
 
 def history_summary(snapshots: DataFrame) -> DataFrame:
@@ -130,9 +128,9 @@ def history_summary(snapshots: DataFrame) -> DataFrame:
 def status_transitions(checks: DataFrame) -> DataFrame:
     """Checks that are the first of their listing or flip ``is_online``."""
     lagged = lag_in_blocks(
-        checks, "listing_id", time_block("captured_at"), _order(),
+        _ranged(checks), "listing_id", F.col(PART), _order(),
         {"_before": F.col("is_online")}, first_flag="_first",
-    )
+    ).drop(PART)
     return lagged.filter(
         F.col("_first") | ~F.col("_before").eqNullSafe(F.col("is_online"))
     ).drop("_first", "_before")
@@ -162,11 +160,11 @@ def timeline(history: DataFrame, transitions: DataFrame) -> DataFrame:
         .alias("change_type"),
         F.lit(None).cast("int").alias("price_eur"), F.lit(None).cast("int").alias("mileage_km"),
     )
+    order = [F.col("captured_at"), F.col("origin"), F.col("id")]
     lagged = lag_in_blocks(
-        changes.unionByName(events), "listing_id", time_block("captured_at"),
-        [F.col("captured_at"), F.col("origin"), F.col("id")],
+        _ranged(changes.unionByName(events), order), "listing_id", F.col(PART), order,
         {"_price": F.col("price_eur"), "_km": F.col("mileage_km")}, first_flag="_first",
-    )
+    ).drop(PART)
     return lagged.withColumns({
         "price_delta": F.col("price_eur") - F.col("_price"),
         "mileage_delta": F.col("mileage_km") - F.col("_km"),

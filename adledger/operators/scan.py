@@ -39,18 +39,20 @@ def running(ranged: DataFrame, starts: DataFrame, keys: list[str], order: list[C
     """Rows with ``name``: the sum of ``value`` (or number) of the rows before them in their keys.
 
     ``starts`` is :func:`part_starts`, perhaps with further columns, which the rows get too.
-    ``keys`` must not be null here.
     """
     inside = W.partitionBy(*keys, PART).orderBy(*order)
     if value is None:
         local = F.row_number().over(inside) - 1
     else:
         local = F.coalesce(F.sum(value).over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    rows = ranged.withColumn("_local", local).join(starts.drop("_sum"), [*keys, PART])
-    return rows.withColumn(name, (F.col("_local") + F.col("_start")).cast("bigint")).drop("_local", "_start", PART)
+    rows = ranged.withColumn("_local", local)
+    other = starts.drop("_sum").withColumnsRenamed({k: f"_at_{k}" for k in [*keys, PART]})
+    on = [rows[k].eqNullSafe(other[f"_at_{k}"]) for k in [*keys, PART]]
+    joined = rows.join(other, on).withColumn(name, (F.col("_local") + F.col("_start")).cast("bigint"))
+    return joined.drop("_local", "_start", PART, *[f"_at_{k}" for k in [*keys, PART]])
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "place") -> DataFrame:
-    """Rows with their place from 0 along ``order`` among the rows of the same (non-null) ``keys``."""
+    """Rows with their place from 0 along ``order`` among the rows of the same ``keys``."""
     ranged = in_ranges(df, keys, order)
     return running(ranged, part_starts(ranged, keys), keys, order, name)

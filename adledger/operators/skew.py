@@ -92,10 +92,5 @@ def lag_in_blocks(
     }).drop("_block", "_now", "_prev", "_rn", "_last", "_edge_prev", "_edge_rn")
 
 
-def time_block(ts: str) -> Column:
-    """Hour number of a timestamp: the block for histories ordered by time."""
-    return F.date_trunc("hour", ts)
-
-
 def pos_block(pos: str) -> Column:
     return F.floor(F.col(pos) / POSITIONS_PER_BLOCK)

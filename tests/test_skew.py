@@ -2,9 +2,10 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from adledger.operators import history
+from adledger.operators import history, scan
 from adledger.operators.dedupe import dedupe_urls, greedy_distinct
 from adledger.operators.skew import has_partner, lag_in_blocks, lookup
 
@@ -61,6 +62,63 @@ def snapshots(spark, rows):
     return df.withColumn("captured_at", F.timestamp_seconds(F.unix_timestamp(start) + F.col("m") * 60))
 
 
+@pytest.fixture
+def many_parts(spark):
+    """Small frames stay in as many range partitions as there are shuffle partitions."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.unset(key)
+
+
+def test_running_sums_cross_partitions(spark, many_parts):
+    rng = random.Random(9)
+    rows = [(None if rng.random() < .2 else k, i, rng.randrange(9)) for i, k in enumerate(hot_keys(rng, 900))]
+    df = spark.createDataFrame(rows, "k string, pos long, v int").repartition(5)
+    ranged = scan.in_ranges(df, ["k"], [F.col("pos")])
+    parts = {r["k"]: r["n"] for r in ranged.groupBy("k").agg(F.countDistinct(scan.PART).alias("n")).collect()}
+    assert parts["hot"] > 2
+    got = scan.running(ranged, scan.part_starts(ranged, ["k"], F.col("v")), ["k"], [F.col("pos")], "before", F.col("v"))
+    sums, want, places = {}, {}, {}
+    for k, pos, v in rows:
+        want[pos] = (sums.get(k, 0), places.get(k, 0))
+        sums[k], places[k] = sums.get(k, 0) + v, places.get(k, 0) + 1
+    placed = {r["pos"]: r["place"] for r in scan.numbered(df, ["k"], [F.col("pos")]).collect()}
+    assert {r["pos"]: (r["before"], placed[r["pos"]]) for r in got.collect()} == want
+
+
+def test_one_listing_with_all_checks_in_one_hour_is_spread(spark, many_parts):
+    """Equal to a loop, with one listing and one timestamp for nearly all rows."""
+    rng = random.Random(10)
+    rows = [("hot" if rng.random() < .9 else "cold", 5 if rng.random() < .9 else 6, i, rng.choice([None, 1, 2]), i,
+             rng.choice(["unchanged", "unchanged", "unchanged", "price_change"])) for i in range(2000)]
+    df = snapshots(spark, rows).withColumn("is_online", F.col("id") % 7 < 4)
+    ranged = history._ranged(df)
+    sizes = [r["count"] for r in ranged.groupBy("listing_id", scan.PART).count().collect()]
+    assert len(sizes) >= 8 and max(sizes) < 700
+    ordered = sorted(rows, key=lambda r: (r[1], r[2]))
+    flips, last, runs, calm = [], {}, {}, {}
+    for k, _, i, price, _, kind in ordered:
+        online = i % 7 < 4
+        if last.get(k) != online:
+            flips.append(i)
+        last[k] = online
+        if kind == "unchanged" and calm.get(k) is not None:
+            runs[calm[k]] += 1
+        else:
+            runs[i] = 1
+            calm[k] = i if kind == "unchanged" else None
+    assert sorted(r["id"] for r in history.status_transitions(df).collect()) == sorted(flips)
+    assert {r["id"]: r["count"] for r in history.collapse_unchanged(df).collect()} == runs
+    series, seen = {}, {}
+    for k, _, i, price, _, _ in ordered:
+        if price is not None and seen.get(k) != price:
+            seen[k] = price
+            series.setdefault(k, []).append(i)
+    assert sorted((r["listing_id"], r["point"], r["id"]) for r in history.price_series(df).collect()) == sorted(
+        (k, n + 1, i) for k, s in series.items() if len(s) > 1 for n, i in enumerate(s))
+
+
 def test_collapse_unchanged_equals_loop(spark):
     rows = snapshot_rows(random.Random(4), 1500)
     got = sorted((r["listing_id"], r["id"], r["count"], r["change_type"], r["price_eur"])
