@@ -179,7 +179,7 @@ def manifest(docs: DataFrame, claimed: dict[str, Column] | None = None, claimed_
         F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")).alias("lang"),
         leaf_digest(fields).alias("leaf"),
         F.when(F.lit(False) if claimed_where is None else claimed_where, leaf_digest(fields, claimed)).alias("claimed"))
-    ranged = in_ranges(both, ["lang"], _order())
+    ranged = in_ranges(stored(both, "digests"), ["lang"], _order())
     starts = part_starts(ranged, ["lang"])
     sizes = stored(starts.groupBy("lang").agg(F.sum("_sum").alias("n")), "sizes")
     trees = stored(numbered(sizes, [], [F.col("lang")], "tree"), "trees")
