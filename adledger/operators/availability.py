@@ -9,6 +9,8 @@ from adledger import lexicon as lx
 from adledger.functions.availability import is_gone_page, is_stale
 from adledger.functions.identity import identity_token, url_join
 from adledger.functions.text import blank_to_null
+from adledger.operators.skew import lookup
+from adledger.session import written
 
 
 def _captured(captures: DataFrame) -> DataFrame:
@@ -32,57 +34,62 @@ def _captured(captures: DataFrame) -> DataFrame:
     )
 
 
-def classify_checks(checks: DataFrame, captures: DataFrame) -> DataFrame:
+def resolve_redirects(hops: DataFrame, limit: int | None = None) -> DataFrame:
+    """Where chains of redirects end: (url, first, target, hops, looped) from (url, next_url), one row per url.
+
+    Pointer doubling: a row that still points at another redirecting page takes over that
+    page's own pointer, so after r rounds it is 2^r hops ahead, and a chain of 40 takes six.
+    A pointer that has made more hops than there are pages is in a loop or leads into one.
+    With ``limit`` no chain is followed beyond so many hops; ``hops`` of longer ones is some
+    number above it. Finished rows rest; a page that many lead to is looked up by salted keys.
+    """
+    start = hops.select("url", F.col("next_url").alias("first"), F.col("next_url").alias("target"), F.lit(1).cast("bigint").alias("hops"))
+    most = start.count() if limit is None else limit
+    onward = start.select(F.col("url").alias("target"), F.lit(True).alias("_more"))
+    known = written(lookup(start, onward, "target", "url").withColumn("open", F.coalesce("_more", F.lit(False))).drop("_more"))
+    reached = 1
+    while reached <= most and not known.filter("open").isEmpty():
+        step = known.select(F.col("url").alias("target"), F.col("target").alias("_to"), F.col("hops").alias("_by"), F.col("open").alias("_on"))
+        ahead = lookup(known.filter("open"), step, "target", "url").select(
+            "url", "first", F.col("_to").alias("target"), (F.col("hops") + F.col("_by")).alias("hops"), F.col("_on").alias("open"))
+        known = written(known.filter("NOT open").unionByName(ahead))
+        reached *= 2
+    return known.withColumnRenamed("open", "looped")
+
+
+def classify_checks(checks: DataFrame, captures: DataFrame, *, max_pages: int | None = lx.MAX_REDIRECT_HOPS) -> DataFrame:
     """Verdict per check ``(listing_id, url, checked_at)`` from captured pages.
 
-    Redirects that keep the offer's identity are followed through the capture table,
-    at most three pages deep; every other redirect means the offer is gone.
+    Redirects that keep the offer's identity are followed through the capture table, over at
+    most ``max_pages`` pages (None: to the end); every other redirect means the offer is gone.
+    A chain without an end in reach is a "redirect loop".
     Adds ``http_status, error_message, final_url, is_online``.
     """
-    table = _captured(captures)
-    hops = lx.MAX_REDIRECT_HOPS
-
-    def step(n: int) -> DataFrame:
-        return table.select(
-            F.col("url").alias(f"u{n}"), F.col("next_url").alias(f"next{n}"),
-            F.col("status").alias(f"status{n}"), F.col("error").alias(f"error{n}"),
-            F.lit(True).alias(f"seen{n}"),
-        )
-
-    df = checks.withColumn("u0", blank_to_null(F.col("url"))).join(step(0), "u0", "left")
-    for n in range(1, hops):
-        df = df.withColumn(f"u{n}", F.col(f"next{n - 1}")).join(step(n), f"u{n}", "left")
-
-    # fold from the last hop to the first: outcome of the page fetched at depth n
-    outcome = F.struct(
-        F.lit(None).cast("int").alias("status"), F.lit("redirect loop").alias("error"),
-        F.lit(None).cast("string").alias("final"),
-    )
-    for n in reversed(range(hops)):
-        deeper = outcome
-        followed = F.struct(
-            deeper["status"].alias("status"), deeper["error"].alias("error"),
-            F.when(deeper["status"].between(200, 299),
-                   F.coalesce(deeper["final"], F.col(f"next{n}"))).otherwise(F.col(f"next{n}"))
-            .alias("final"),
-        )
-        here = F.struct(
-            F.col(f"status{n}").alias("status"),
-            F.when(F.col(f"seen{n}").isNull(), F.lit("not captured"))
-            .otherwise(F.col(f"error{n}")).alias("error"),
-            F.when(F.col(f"status{n}").between(200, 299), F.col(f"u{n}")).alias("final"),
-        )
-        outcome = F.when(F.col(f"next{n}").isNotNull(), followed).otherwise(here)
-    empty = F.struct(
-        F.lit(None).cast("int").alias("status"), F.lit("empty URL").alias("error"),
-        F.lit(None).cast("string").alias("final"),
-    )
-    df = df.withColumn("_out", F.when(blank_to_null(F.col("url")).isNull(), empty).otherwise(outcome))
-    return df.select(
-        *checks.columns, F.col("_out.status").alias("http_status"),
-        F.col("_out.error").alias("error_message"), F.col("_out.final").alias("final_url"),
-        F.coalesce(F.col("_out.status").between(200, 299), F.lit(False)).alias("is_online"),
-    )
+    table = written(_captured(captures))  # bodies are read once
+    limit = None if max_pages is None else max_pages - 1
+    jumps = resolve_redirects(table.filter(F.col("next_url").isNotNull()).select("url", "next_url"), limit)
+    ends = table.select(F.col("url").alias("target"), F.col("status").alias("_status"), F.col("error").alias("_error"), F.lit(True).alias("_seen"))
+    # a chain cut by the limit may still point at a redirecting page
+    lost = F.col("looped") if limit is None else F.col("looped") | (F.col("hops") > limit)
+    status = F.when(~lost, F.col("_status"))
+    followed = lookup(jumps, ends, "target", "url").select(
+        "url", status.alias("status"),
+        F.when(lost, F.lit("redirect loop")).when(F.col("_seen").isNull(), F.lit("not captured")).otherwise(F.col("_error")).alias("error"),
+        F.when(status.between(200, 299), F.col("target")).otherwise(F.col("first")).alias("final"))
+    direct = table.filter(F.col("next_url").isNull()).select(
+        "url", "status", "error", F.when(F.col("status").between(200, 299), F.col("url")).alias("final"))
+    verdicts = direct.unionByName(followed).withColumnRenamed("url", "_url").withColumn("_known", F.lit(True))
+    asked = checks.withColumn("_url", blank_to_null(F.col("url")))
+    found = lookup(asked.filter(F.col("_url").isNotNull()), verdicts, "_url", "listing_id")
+    blank = asked.filter(F.col("_url").isNull())
+    told = found.select(
+        *checks.columns, F.col("status").alias("http_status"),
+        F.when(F.col("_known").isNull(), F.lit("not captured")).otherwise(F.col("error")).alias("error_message"),
+        F.col("final").alias("final_url"),
+    ).unionByName(blank.select(
+        *checks.columns, F.lit(None).cast("int").alias("http_status"), F.lit("empty URL").alias("error_message"),
+        F.lit(None).cast("string").alias("final_url")))
+    return told.withColumn("is_online", F.coalesce(F.col("http_status").between(200, 299), F.lit(False)))
 
 
 def due_checks(listings: DataFrame, statuses: DataFrame, now: Column, *, force: bool = False):

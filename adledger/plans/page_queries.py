@@ -7,6 +7,7 @@ state what must be found; the given page table serves where its markup suffices.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from adledger import lexicon as lx
@@ -444,3 +445,33 @@ def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def adopted_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").selectExpr(f"concat('q_', {ID}) AS id", f"{_hop(0)} AS url")
     return availability.adopt_urls(rows, _verdicts(spark, sf_dir)).select("id", "url")
+
+
+def _offer_page(order: str) -> str:
+    return f"concat('https://p', cast({order} as string), '.example/s/', cast(o_custkey as string), '-216-1')"
+
+
+# pages of an offer (customer) lead from order to order; the last one answers, is gone, or leads back
+MOVED = f"""SELECT *, lead({K}) OVER w AS onward, first_value({K}) OVER w AS head FROM orders
+  WINDOW w AS (PARTITION BY o_custkey ORDER BY {K})"""
+MOVED_PAGES = {
+    "url": _offer_page(K),
+    "http_status": "cast(case when onward is not null or o_custkey % 3 = 2 then 301 when o_custkey % 3 = 1 then 404 else 200 end as int)",
+    "location_header": f"case when onward is not null then {_offer_page('onward')} when o_custkey % 3 = 2 then {_offer_page('head')} end",
+}
+
+
+@registry.add("o_ups_7_chains", f"""WITH m AS ({MOVED}), c AS (SELECT *, max({K}) OVER (PARTITION BY o_custkey) AS tail FROM m)
+SELECT 'q_' || {K} AS listing_id, cast(CASE o_custkey % 3 WHEN 0 THEN 200 WHEN 1 THEN 404 END AS int) AS http_status,
+  CASE WHEN o_custkey % 3 = 2 THEN 'redirect loop' END AS error_message,
+  CASE WHEN o_custkey % 3 = 0 THEN {_offer_page('tail')} WHEN onward IS NOT NULL THEN {_offer_page('onward')}
+    WHEN o_custkey % 3 = 2 THEN {_offer_page('head')} END AS final_url, o_custkey % 3 = 0 AS is_online FROM c""")
+def followed_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains and loops of any length, followed to the end."""
+    orders = table(spark, sf_dir, "orders")
+    own = W.partitionBy("o_custkey").orderBy(K)
+    moved = orders.withColumns({"onward": F.lead(K).over(own), "head": F.first(K).over(own)})
+    captures = project(moved, MOVED_PAGES).selectExpr(
+        "*", "'Corvette' AS body", "false AS confirmed", "cast(null as string) AS error")
+    checks = orders.selectExpr(f"concat('q_', {ID}) AS listing_id", f"{_offer_page(K)} AS url")
+    return availability.classify_checks(checks, captures, max_pages=None).drop("url")

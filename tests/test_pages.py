@@ -130,6 +130,39 @@ def test_checks_without_url_or_capture(spark):
                    "c": (410, "not found body", False)}
 
 
+def page(offer, at, to=None, status=None):
+    """Page ``at`` of an offer; ``to`` is the page it leads to."""
+    url = "https://p{}.example/s/{}-216-1".format
+    return (url(at, offer), status or (301 if to is not None else 200), None if to is None else url(to, offer), "Corvette", False, None)
+
+
+CAPTURED = "url string, http_status int, location_header string, body string, confirmed boolean, error string"
+
+
+def test_long_chains_and_loops(spark, monkeypatch):
+    chain = [page(1, n, n + 1) for n in range(40)] + [page(1, 40)]
+    # a loop of five with a tail of three, a page that leads to itself, one to nowhere, one that is gone at the end
+    loop = [page(2, n, n + 1) for n in range(7)] + [page(2, 7, 3)]
+    rest = [page(3, 0, 0), page(4, 0, 99), page(5, 0, 1), page(5, 1, status=404)]
+    captures = spark.createDataFrame(chain + loop + rest, CAPTURED)
+    checks = spark.createDataFrame([(r[0], r[0]) for r in chain + loop + rest] + [("blank", None)] * 50, "listing_id string, url string")
+    writes = []
+    monkeypatch.setattr(availability, "written", lambda df, plain=availability.written: writes.append(1) or plain(df))
+    hops = availability.resolve_redirects(spark.createDataFrame([(r[0], r[2]) for r in chain if r[2]], "url string, next_url string"))
+    got = {r["url"]: (r["target"], r["hops"], r["looped"]) for r in hops.collect()}
+    assert got == {r[0]: (chain[-1][0], 40 - n, False) for n, r in enumerate(chain[:-1])} and len(writes) == 1 + 6
+    told = {r["listing_id"]: (r["http_status"], r["error_message"], r["final_url"])
+            for r in availability.classify_checks(checks, captures, max_pages=None).collect()}
+    want = {r[0]: (200, None, chain[-1][0]) for r in chain}
+    want |= {r[0]: (None, "redirect loop", r[2]) for r in loop + rest[:1]}
+    want |= {rest[1][0]: (None, "not captured", rest[1][2]), rest[2][0]: (404, None, rest[2][2]), rest[3][0]: (404, None, None),
+             "blank": (None, "empty URL", None)}
+    assert told == want
+    # three pages at most: two redirects are followed
+    short = {r["listing_id"]: r["error_message"] for r in availability.classify_checks(checks, captures).collect()}
+    assert [short[r[0]] for r in chain[36:]] == ["redirect loop", "redirect loop", None, None, None]
+
+
 def test_staleness(spark):
     df = spark.createDataFrame([("2024-01-01 00:00:00",), ("2024-01-01 00:05:00",), (None,), ("?",)], "t string")
     now = F.lit("2024-01-01 00:06:40").cast("timestamp")
