@@ -12,17 +12,25 @@ from adledger import lexicon as lx
 from adledger import schema
 from adledger.operators.skew import lag_in_blocks, lookup, pos_block
 from adledger.operators.validation import with_historical_flags
+from adledger.session import written
 
 SNAPSHOT_FIELDS = ["listing_id", "captured_at", "price_eur", "mileage_km", "change_type",
                    "payload_json"]
 
 
 class Upsert(NamedTuple):
-    """Outcome of a batch: the stored rows, the next state and the snapshots to append."""
+    """Outcome of a batch: the stored rows, the next state, the snapshots to append, and of the
+    next state only the rows with an id of the batch."""
 
     stored: DataFrame
     state: DataFrame
     snapshots: DataFrame
+    changed: DataFrame
+
+    def merged_into(self, rows: DataFrame) -> DataFrame:
+        """``rows`` of the old state with those of the batch in place of theirs."""
+        kept = rows.join(self.changed.select("id"), "id", "left_anti")
+        return self.changed.unionByName(kept.select(*self.changed.columns))
 
 
 # --- overrides --------------------------------------------------------------
@@ -159,21 +167,19 @@ def upsert(
     """One run: overrides, outlier check against the state before the batch, change
     typing, next state (last row per id, kept rows for absent ids) and snapshots.
 
-    ``stored`` carries ``created_at`` and ``last_seen_at``; absent listings stay.
+    ``stored`` carries ``created_at`` and ``last_seen_at``; absent listings stay. ``pos`` is unique;
+    the typed rows are written once for the state and the snapshots.
     """
     rows = fresh if overrides is None else apply_overrides(fresh, overrides)
-    typed = type_changes(with_historical_flags(rows, stored), stored)
-    columns = [c for c in typed.columns if c != "pos"]
-    latest = typed.groupBy("id").agg(
-        F.max_by(F.struct(*[c for c in columns if c != "id"]), "pos").alias("_row")
-    ).select("id", "_row.*")
+    typed = written(type_changes(with_historical_flags(rows, stored), stored))
+    last = typed.groupBy("id").agg(F.max("pos").alias("pos"))
     since = stored.select("id", F.col("created_at").alias("_since"))
-    written = latest.join(since, "id", "left").select(
-        *columns, F.coalesce("_since", captured_at).alias("created_at"),
+    changed = typed.join(last, ["id", "pos"], "left_semi").join(since, "id", "left").select(
+        *[c for c in typed.columns if c != "pos"], F.coalesce("_since", captured_at).alias("created_at"),
         captured_at.alias("last_seen_at"),
     )
-    untouched = stored.join(latest.select("id"), "id", "left_anti").select(*written.columns)
-    return Upsert(typed, written.unionByName(untouched), snapshot_rows(typed, captured_at))
+    result = Upsert(typed, stored, snapshot_rows(typed, captured_at), changed)
+    return result._replace(state=result.merged_into(stored))
 
 
 def apply_override_batch(

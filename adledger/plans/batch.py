@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from adledger import schema
 from adledger.operators.clusters import assign_clusters, enrich_clusters
+from adledger.operators.dedupe import dedupe_urls
 from adledger.operators.enrichment import call_provider, enrichment_input, merge_results
 from adledger.operators.scoring import with_score
 from adledger.operators.state import Upsert, upsert
 from adledger.operators.validation import crawl_quality, quality_message
 from adledger.session import durable
-from adledger.sources.exports import StateStore
 from adledger.sources.pages import extract_listings, split_pages
+from adledger.sources.state_table import BUCKETS, BatchFolder, Staged
 
 STATE = T.StructType([
     *schema.LISTING.fields,
@@ -61,23 +63,30 @@ def run_listings(
 
 
 def run_pages(
-    pages: DataFrame, store: StateStore, captured_at: Column, version: str, *,
+    pages: DataFrame, folder: BatchFolder, captured_at: Column, version: str, *,
     sources: list[str] | None = None, overrides: DataFrame | None = None, provider=None,
     scoring: dict | None = None,
 ) -> DataFrame:
     """A whole run over captured pages; returns its warnings (``scope, message``)."""
     usable, problems = split_pages(pages, sources)
-    run = run_listings(
-        durable(extract_listings(usable, scoring=scoring)), store.read("listings", STATE),
-        captured_at, overrides=overrides, provider=provider, scoring=scoring,
-    )
-    store_run(run.upsert, store, version)
+    listings = durable(extract_listings(usable, scoring=scoring))
+    store_run(folder, version, lambda: run_listings(
+        listings, folder.state.read(), captured_at, overrides=overrides, provider=provider, scoring=scoring))
     return problems.select(
         F.col("source").alias("scope"), F.concat_ws(": ", "url", "problem").alias("message")
-    ).unionByName(run.warnings.select("scope", quality_message().alias("message")))
+    ).unionByName(crawl_quality(dedupe_urls(listings)).select("scope", quality_message().alias("message")))
+
+
+def listing_folder(spark: SparkSession, root: str, buckets: int = BUCKETS) -> BatchFolder:
+    """State of listings with a log of their snapshots."""
+    return BatchFolder(spark, root, STATE, "id", buckets)
+
 
+def store_run(folder: BatchFolder, version: str, run: Callable[[], Run]) -> None:
+    """Apply a run: its snapshots, and the buckets of the state that hold its ids."""
+    def compute() -> Staged:
+        result = run().upsert
+        touched = folder.state.near(result.stored, "id")
+        return Staged(result.merged_into(touched), snapshots=result.snapshots)
 
-def store_run(result: Upsert, store: StateStore, version: str) -> None:
-    """Write snapshots first and switch the state last."""
-    store.append("snapshots", result.snapshots, version, partition="captured_at")
-    store.replace("listings", result.state, version)
+    folder.apply(version, compute)

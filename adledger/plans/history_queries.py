@@ -10,7 +10,6 @@ from adledger.operators import availability, history
 from adledger.operators.clusters import unknown_ids
 from adledger.plans.bindings import EVENTS, INSTANT_SQL, events, instant, sql
 from adledger.plans.registry import Registry
-from adledger.streaming.transitions import windowed_counts
 
 registry = Registry()
 E = f"WITH e AS ({sql(EVENTS, 'events')})"
@@ -209,11 +208,3 @@ def never_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat('u_', cast(o_custkey as string)) AS listing_id")
     checked = events(spark, sf_dir).select(F.col("listing_id").alias("id")).distinct()
     return unknown_ids(shop, checked).withColumnRenamed("id", "listing_id")
-
-
-@registry.add("o_str_5", f"""{E} SELECT {T("date_trunc('hour', captured_at)")} AS window_start,
-  count(*) FILTER (WHERE is_online) AS online, count(*) FILTER (WHERE NOT is_online) AS offline
-FROM e GROUP BY 1""")
-def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _show(windowed_counts(events(spark, sf_dir)), "window_start")
-

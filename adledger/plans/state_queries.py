@@ -11,8 +11,9 @@ from adledger import lexicon as lx
 from adledger import schema
 from adledger.functions import identity
 from adledger.operators import enrichment, state
+from adledger.operators.validation import crawl_quality
 from adledger.plans import listing_queries as lq
-from adledger.plans.batch import SNAPSHOT, STATE, store_run
+from adledger.plans.batch import SNAPSHOT, Run, listing_folder, store_run
 from adledger.plans.bindings import K, LISTINGS, listings, sql, table, with_lists
 from adledger.plans.registry import Registry
 from adledger.session import spread, work_path
@@ -98,14 +99,18 @@ def fresh_with_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add("o_snk_4", f"{STATE_SQL}")
 def stored_and_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The state as read from a versioned store after the second run was written."""
+    """The state as read from its table after the second run was put in place, twice."""
     fresh, stored = _runs(spark, sf_dir)
-    store = exports.StateStore(spark, work_path(spark, "state"))
-    store.replace("listings", stored, "v1")
-    result = state.upsert(fresh, store.read("listings", STATE), _now())
-    store_run(result, store, "v2")
-    log = store.read_log("snapshots", SNAPSHOT).select(F.col("listing_id").alias("id")).distinct()
-    known = store.read("listings", STATE)
+    folder = listing_folder(spark, work_path(spark, "state"))
+    folder.state.put(stored)
+
+    def run() -> Run:
+        return Run(state.upsert(fresh, folder.state.read(), _now()), crawl_quality(fresh))
+
+    for _ in range(2):
+        store_run(folder, "second", run)
+    log = folder.log("snapshots", SNAPSHOT).select(F.col("listing_id").alias("id")).distinct()
+    known = folder.state.read()
     written = known.join(log, "id", "left_semi")
     return written.unionByName(known.join(log, "id", "left_anti")).select(*STATE_COLUMNS)
 

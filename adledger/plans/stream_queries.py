@@ -6,14 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adledger import schema
-from adledger.functions.availability import is_stale
+from adledger.plans import cluster_queries as cq
 from adledger.plans import history_queries as hq
-from adledger.plans import listing_queries as lq
-from adledger.plans.batch import SNAPSHOT, STATE
-from adledger.plans.bindings import EVENTS, listings, table
+from adledger.plans.batch import SNAPSHOT, listing_folder
+from adledger.plans.bindings import EVENTS, instant, pairs, table
 from adledger.plans.registry import Registry
 from adledger.session import work_path
-from adledger.sources.exports import StateStore
 from adledger.streaming import ingest, transitions
 
 registry = Registry()
@@ -40,51 +38,61 @@ def _drain(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
 
 @registry.add("o_str_2", f"""{hq.E}, {hq.FLIPS} SELECT listing_id, id, is_online FROM t""")
 def streamed_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checks = _check_stream(spark, sf_dir)
-    store = StateStore(spark, work_path(spark, "checks"))
-    transitions.track_checks(checks, store, work_path(spark, "checks-offsets")).awaitTermination()
-    return store.read_log("transitions", transitions.TRANSITION).select("listing_id", "id", "is_online")
+    folder = transitions.check_folder(spark, work_path(spark, "checks"))
+    transitions.track_checks(_check_stream(spark, sf_dir), folder, work_path(spark, "checks-offsets")).awaitTermination()
+    return folder.log("transitions", transitions.TRANSITION).select("listing_id", "id", "is_online")
 
 
-@registry.add("o_str_3", f"""{hq.E} SELECT id, {hq.AGE} >= 300 AS due FROM e""")
+# what a watermark ten minutes behind the newest check has passed
+PASSED = "(SELECT max(captured_at) - INTERVAL 10 MINUTE FROM e)"
+
+
+@registry.add("o_str_3", f"""{hq.E}, g AS (SELECT *, lead(captured_at) OVER (PARTITION BY listing_id ORDER BY captured_at, id) AS onward FROM e)
+SELECT listing_id, {hq.T('captured_at')} AS last_checked_at FROM g
+WHERE (onward IS NULL OR onward - captured_at >= INTERVAL 300 SECOND) AND captured_at + INTERVAL 300 SECOND <= {PASSED}""")
 def streamed_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checks = _check_stream(spark, sf_dir).select(
-        "id", is_stale(F.date_format("captured_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"),
-                       F.lit(hq.NOW).cast("timestamp")).alias("due"))
-    return _drain(spark, checks, "stale")
+    """Listings that went stale, by event time: every time that no check came for 300 seconds."""
+    stale = _drain(spark, transitions.stream_expiry(_check_stream(spark, sf_dir)), "stale")
+    return stale.withColumn("last_checked_at", instant("last_checked_at"))
+
+
+@registry.add("o_str_5", f"""{hq.E} SELECT {hq.T("date_trunc('hour', captured_at)")} AS window_start,
+  count(*) FILTER (WHERE is_online) AS online, count(*) FILTER (WHERE NOT is_online) AS offline
+FROM e GROUP BY date_trunc('hour', captured_at) HAVING date_trunc('hour', captured_at) + INTERVAL 1 HOUR <= {PASSED}""")
+def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the windows that the watermark has closed."""
+    counts = _drain(spark, transitions.windowed_counts(_check_stream(spark, sf_dir)), "counts")
+    return counts.withColumn("window_start", instant("window_start"))
+
 
+# a run over all pairs; then one over the odd rows only, whose cluster is found in the state
+CLUSTERED = f"""{cq.CASCADE}, own AS (SELECT id, pos, source, price_eur, coalesce(cluster, 'singleton_' || k_full) AS cluster_id FROM c_legacy),
+z AS (SELECT *, min(price_eur) OVER (PARTITION BY cluster_id) AS least FROM own)"""
 
-@registry.add("o_str_1", f"{lq.Q} SELECT id, 'new' AS change_type, cast(1 AS bigint) AS snapshots FROM q")
+
+@registry.add("o_str_1", f"""{CLUSTERED} SELECT id, cluster_id, least AS price_eur, 'new' AS change_type,
+  cast(1 AS bigint) AS snapshots FROM z""")
 def streamed_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings arrive as a stream; state and snapshots are read back."""
-    store = _ingested(spark, sf_dir, runs=1)
-    snaps = store.read_log("snapshots", SNAPSHOT).groupBy(F.col("listing_id").alias("id")).agg(
-        F.count("*").alias("snapshots"))
-    return store.read("listings", STATE).join(snaps, "id").select("id", "change_type", "snapshots")
+    return _ingested(spark, sf_dir, ["true"])
 
 
-@registry.add("o_str_4", f"""{lq.Q} SELECT id, 'unchanged' AS change_type, cast(2 AS bigint) AS snapshots FROM q""")
+@registry.add("o_str_4", f"""{CLUSTERED} SELECT id, cluster_id,
+  CASE WHEN source = 'Kleinanzeigen' THEN price_eur ELSE least END AS price_eur,
+  CASE WHEN source <> 'Kleinanzeigen' THEN 'new' WHEN price_eur <> least THEN 'price_change' ELSE 'unchanged' END AS change_type,
+  cast(CASE WHEN source = 'Kleinanzeigen' THEN 2 ELSE 1 END AS bigint) AS snapshots FROM z""")
 def repeated_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same listings twice: no duplicate state row, everything unchanged."""
-    store = _ingested(spark, sf_dir, runs=2)
-    snaps = store.read_log("snapshots", SNAPSHOT).groupBy(F.col("listing_id").alias("id")).agg(
-        F.count("*").alias("snapshots"))
-    return store.read("listings", STATE).join(snaps, "id").select("id", "change_type", "snapshots")
-
-
-def _ingested(spark: SparkSession, sf_dir: str, *, runs: int) -> StateStore:
-    inbox = work_path(spark, "inbox")
-    store = StateStore(spark, work_path(spark, "store"))
-    offsets = work_path(spark, "offsets")
-    # one cluster per listing keeps values apart, so a repeated run changes nothing
-    rows = listings(spark, sf_dir).withColumns({
-        "vin": F.lit(None).cast("string"), "location_raw": F.col("id"),
-        "trim": F.col("id"), "engine": F.col("id"), "change_type": F.lit("new"),
-        "hidden": F.lit(False)})
-    fresh = schema.conform(rows.drop("cluster_id"), keep=("pos",))
-    for _ in range(runs):
-        fresh.write.mode("append").parquet(inbox)
-        stream = spark.readStream.schema(fresh.schema).parquet(inbox)
-        ingest.ingest_listings(stream, store, offsets).awaitTermination()
-    return store
+    """Odd rows arrive again: one state row each, their stored clusters adopted, prices against those of the cluster."""
+    return _ingested(spark, sf_dir, ["true", "source = 'Kleinanzeigen'"])
 
+
+def _ingested(spark: SparkSession, sf_dir: str, arrivals: list[str]) -> DataFrame:
+    inbox, offsets = work_path(spark, "inbox"), work_path(spark, "offsets")
+    folder = listing_folder(spark, work_path(spark, "listings"))
+    fresh = schema.conform(pairs(spark, sf_dir), keep=("pos",)).drop("cluster_id")
+    for some in arrivals:
+        fresh.filter(some).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(fresh.schema).parquet(inbox)
+        ingest.ingest_listings(stream, folder, offsets).awaitTermination()
+    snaps = folder.log("snapshots", SNAPSHOT).groupBy(F.col("listing_id").alias("id")).agg(F.count("*").alias("snapshots"))
+    return folder.state.read().join(snaps, "id").select("id", "cluster_id", "price_eur", "change_type", "snapshots")

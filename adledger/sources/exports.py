@@ -1,10 +1,8 @@
-"""Sinks: feed payload as JSON, CSV, text feed; versioned state and snapshots."""
+"""Sinks: feed payload as JSON, CSV and text feed."""
 
 from __future__ import annotations
 
-from datetime import UTC, datetime
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,88 +64,3 @@ def markdown_blocks(listings: DataFrame) -> DataFrame:
 
 def write_markdown(listings: DataFrame, path: str) -> None:
     markdown_blocks(listings).orderBy("rank").select("value").write.mode("overwrite").text(path)
-
-
-class StateStore:
-    """Versioned Parquet state below one folder of shared storage.
-
-    A write is its own folder and counts once an empty marker file named after it exists;
-    markers are only ever added, each by one atomic create, so a job lost at any point
-    leaves the state it found. The newest marker names the current state. Versions should
-    be unique to a run and batch (:func:`adledger.streaming.ingest.batch_version`); repeating
-    one replaces its own files. Of replaced states the last ``keep`` stay.
-    """
-
-    def __init__(self, spark: SparkSession, root: str, keep: int = 2) -> None:
-        self.spark, self.root, self.keep = spark, root.rstrip("/"), keep
-
-    def _path(self, *parts: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
-
-    def _fs(self):
-        return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _names(self, *parts: str) -> list[str]:
-        path = self._path(*parts)
-        fs = self._fs()
-        return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
-
-    def committed(self, table: str) -> list[str]:
-        """Versions written to the end, oldest first: file names, never table data."""
-        return [name.split("~", 1)[1] for name in self._names(table, "_markers")]
-
-    def _commit(self, table: str, version: str) -> None:
-        done = self.committed(table)
-        if version not in done:
-            self._fs().create(self._path(table, "_markers", f"{len(done):012d}~{version}"), False).close()
-
-    def version(self, table: str) -> str | None:
-        """Name of the current version; an error if there is data that no marker speaks for."""
-        done = self.committed(table)
-        if done:
-            return done[-1]
-        if any(name.startswith("state=") for name in self._names(table)) and not self._names(table, "_first"):
-            raise RuntimeError(f"{self.root}/{table} holds states but no marker")
-        return None
-
-    def read(self, table: str, empty: T.StructType) -> DataFrame:
-        version = self.version(table)
-        if version is None:
-            return self.spark.createDataFrame([], empty)
-        return self.spark.read.schema(empty).parquet(f"{self.root}/{table}/state={version}")
-
-    def replace(self, table: str, df: DataFrame, version: str) -> None:
-        first = self._path(table, "_first")
-        if not self.committed(table) and not self._fs().exists(first):
-            self._fs().create(self._path(table, "_first", version), True).close()
-        df.write.mode("overwrite").parquet(f"{self.root}/{table}/state={version}")
-        self._commit(table, version)
-        self._fs().delete(first, True)
-        for old in self.committed(table)[: -self.keep]:
-            self._fs().delete(self._path(table, f"state={old}"), True)
-
-    def append(self, table: str, df: DataFrame, version: str, *, partition: str) -> None:
-        day = F.to_date(partition)
-        df.withColumn("run_date", day).write.mode("overwrite").partitionBy("run_date").parquet(
-            f"{self.root}/{table}/batch={version}"
-        )
-        self._commit(table, version)
-
-    def read_log(self, table: str, columns: T.StructType) -> DataFrame:
-        """Rows of all committed batches; ``batch`` and ``run_date`` prune partitions."""
-        whole = T.StructType([*columns.fields, T.StructField("run_date", T.DateType()), T.StructField("batch", T.StringType())])
-        done = [f"{self.root}/{table}/batch={v}" for v in self.committed(table)]
-        if not done:
-            return self.spark.createDataFrame([], whole)
-        return self.spark.read.schema(whole).option("basePath", f"{self.root}/{table}").parquet(*done)
-
-    def time_of(self, version: str) -> datetime:
-        """The time at which ``version`` was first asked for; the same when it is repeated."""
-        for name in self._names("_times"):
-            at, known = name.split("~", 1)
-            if known == version:
-                return datetime.fromtimestamp(int(at) / 1e6, UTC)
-        now = datetime.now(UTC)
-        micros = int(now.timestamp() * 1e6)
-        self._fs().create(self._path("_times", f"{micros}~{version}"), False).close()
-        return datetime.fromtimestamp(micros / 1e6, UTC)

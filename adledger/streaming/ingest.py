@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from adledger.plans.batch import STATE, run_listings, run_pages, store_run
-from adledger.sources.exports import StateStore
+from adledger.plans.batch import run_listings, run_pages, store_run
+from adledger.sources.state_table import BatchFolder
 
 
 def batch_version(spark: SparkSession, checkpoint: str, batch_id: int) -> str:
@@ -22,26 +23,24 @@ def batch_version(spark: SparkSession, checkpoint: str, batch_id: int) -> str:
     return f"{json.loads(meta)['id']}-{batch_id:012d}"
 
 
-def _run_time(store: StateStore, version: str, captured_at: Callable | None, batch_id: int) -> Column:
-    """One fixed time per batch, also when it is repeated."""
-    return F.lit(store.time_of(version)) if captured_at is None else captured_at(batch_id)
+def _run_time(captured_at: Callable | None, batch_id: int) -> Column:
+    """One time for all rows of a batch."""
+    return F.lit(datetime.now(UTC)) if captured_at is None else captured_at(batch_id)
 
 
 def ingest_listings(
-    stream: DataFrame, store: StateStore, checkpoint: str, *,
+    stream: DataFrame, folder: BatchFolder, checkpoint: str, *,
     captured_at: Callable | None = None, **trigger,
 ) -> StreamingQuery:
-    """Upsert a stream of normalized listings; a repeated batch replaces its own rows.
+    """Upsert a stream of normalized listings; a repeated batch has no further effect.
 
-    The version is named after query and batch, so a batch that is replayed after a lost
-    driver finds that it has been applied and leaves the state alone.
+    A batch is named after query and batch number; what it staged under that name is put in
+    place again if the driver was lost in between.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
-        version = batch_version(store.spark, checkpoint, batch_id)
-        if version in store.committed("listings"):
-            return
-        result = run_listings(batch, store.read("listings", STATE), _run_time(store, version, captured_at, batch_id))
-        store_run(result.upsert, store, version)
+        at = _run_time(captured_at, batch_id)
+        store_run(folder, batch_version(folder.spark, checkpoint, batch_id),
+                  lambda: run_listings(batch, folder.state.read(), at))
 
     return stream.writeStream.foreachBatch(run).option(
         "checkpointLocation", checkpoint
@@ -49,15 +48,13 @@ def ingest_listings(
 
 
 def ingest_pages(
-    stream: DataFrame, store: StateStore, checkpoint: str, *,
+    stream: DataFrame, folder: BatchFolder, checkpoint: str, *,
     captured_at: Callable | None = None, sources: list[str] | None = None, **trigger,
 ) -> StreamingQuery:
     """Extract, normalize, resolve and store a stream of captured pages."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        version = batch_version(store.spark, checkpoint, batch_id)
-        if version in store.committed("listings"):
-            return
-        run_pages(batch, store, _run_time(store, version, captured_at, batch_id), version, sources=sources)
+        version = batch_version(folder.spark, checkpoint, batch_id)
+        run_pages(batch, folder, _run_time(captured_at, batch_id), version, sources=sources)
 
     return stream.writeStream.foreachBatch(run).option(
         "checkpointLocation", checkpoint

@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from adledger import schema
 from adledger.operators import filters, scoring, state, validation
-from adledger.plans.batch import STATE, run_listings
-from adledger.sources.exports import StateStore
+from adledger.plans.batch import SNAPSHOT, STATE, Run, listing_folder, run_listings, store_run
 from tests.test_clusters import CAR, frame
 
 
@@ -158,13 +157,21 @@ def test_quality_reports_silent_sources(spark):
     assert sorted((r["scope"], r["actual"], r["expected"]) for r in got) == [("A", 2, 3), ("B", 0, 1)]
 
 
-def test_state_store_versions(spark, tmp_path):
-    store = StateStore(spark, str(tmp_path))
-    assert store.version("listings") is None and store.read("listings", STATE).count() == 0
-    for name, n in (("v1", 1), ("v2", 2)):
-        result = state.upsert(frame(spark, [{"id": f"x{i}"} for i in range(n)]), empty_state(spark), first_of_may())
-        store.append("snapshots", result.snapshots, name, partition="captured_at")
-        store.replace("listings", result.state, name)
-    assert store.version("listings") == "v2" and store.read("listings", STATE).count() == 2
-    log = store.read_log("snapshots", STATE)
-    assert log.count() == 3 and log.select("run_date").distinct().count() == 1
+def test_state_table_rewrites_only_touched_buckets(spark, tmp_path):
+    folder = listing_folder(spark, str(tmp_path / "f"), buckets=8)
+    assert folder.state.read().count() == 0
+
+    def apply(version, ids, price):
+        rows = frame(spark, [{"id": i, "price_eur": price} for i in ids])
+        store_run(folder, version, lambda: Run(state.upsert(rows, folder.state.read(), first_of_may()), rows))
+
+    apply("one", [f"x{i}" for i in range(40)], 10)
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "f/state").rglob("*.parquet")}
+    assert len({p.parent.name for p in before}) == 8
+    apply("two", ["x7", "new"], 20)
+    kept = [p for p in before if p.exists() and p.stat().st_mtime_ns == before[p]]
+    assert len({p.parent.name for p in kept}) >= 6
+    got = {r["id"]: (r["price_eur"], r["change_type"]) for r in folder.state.read().collect()}
+    assert len(got) == 41 and got["x7"] == (20, "price_change") and got["new"] == (20, "new") and got["x8"] == (10, "new")
+    log = folder.log("snapshots", SNAPSHOT)
+    assert log.count() == 42 and {r["batch"] for r in log.select("batch").distinct().collect()} == {"one", "two"}

@@ -1,14 +1,17 @@
 """Streams equal their batch forms over several micro-batches."""
 
-import time
+import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.readwriter import DataFrameWriter
 
 from adledger import lexicon as lx
 from adledger.operators import history
-from adledger.plans.batch import SNAPSHOT, STATE
+from adledger.plans.batch import SNAPSHOT, listing_folder
 from adledger.plans.bindings import events
-from adledger.sources.exports import StateStore
+from adledger.sources.state_table import BatchFolder, Staged
 from adledger.streaming import ingest, transitions
 from tests.test_pages import pages
 
@@ -41,11 +44,11 @@ def ids(df):
 
 
 def test_transitions_through_the_status_table(spark, sf_dir, tmp_path):
-    store = StateStore(spark, str(tmp_path / "store"))
-    transitions.track_checks(inbox(spark, sf_dir, tmp_path), store, str(tmp_path / "cp")).awaitTermination()
-    assert ids(store.read_log("transitions", transitions.TRANSITION)) == ids(
+    folder = transitions.check_folder(spark, str(tmp_path / "store"), buckets=8)
+    transitions.track_checks(inbox(spark, sf_dir, tmp_path), folder, str(tmp_path / "cp")).awaitTermination()
+    assert ids(folder.log("transitions", transitions.TRANSITION)) == ids(
         history.status_transitions(checks(spark, sf_dir)))
-    latest = {r["listing_id"]: r["is_online"] for r in store.read("statuses", transitions.TRANSITION).collect()}
+    latest = {r["listing_id"]: r["is_online"] for r in folder.state.read().collect()}
     want = {r["listing_id"]: r["is_online"] for r in history.latest_status(checks(spark, sf_dir)).collect()}
     assert latest == want
 
@@ -56,31 +59,52 @@ def test_one_listing_with_many_checks_in_a_batch(spark, tmp_path):
         "id", ((F.col("id") / 1000).cast("long") % 2 == 0).alias("is_online"))
     source = str(tmp_path / "in")
     rows.orderBy(F.xxhash64("id")).coalesce(1).write.parquet(source)
-    store = StateStore(spark, str(tmp_path / "store"))
-    transitions.track_checks(spark.readStream.schema(rows.schema).parquet(source), store, str(tmp_path / "cp")).awaitTermination()
-    got = ids(store.read_log("transitions", transitions.TRANSITION))
+    folder = transitions.check_folder(spark, str(tmp_path / "store"))
+    transitions.track_checks(spark.readStream.schema(rows.schema).parquet(source), folder, str(tmp_path / "cp")).awaitTermination()
+    got = ids(folder.log("transitions", transitions.TRANSITION))
     assert got == ids(history.status_transitions(rows)) and len(got) == 30
 
 
-def test_expiry_timer_reports_stale_listings(spark, sf_dir, tmp_path):
-    stream = transitions.stream_expiry(inbox(spark, sf_dir, tmp_path), ttl=1)
-    out = str(tmp_path / "out")
-    query = stream.writeStream.format("parquet").option("path", out).option(
-        "checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
-    want = {r["listing_id"]: r["at"] for r in checks(spark, sf_dir).groupBy("listing_id").agg(F.max("captured_at").alias("at")).collect()}
-    got = {}
-    try:
-        # timers keep the query busy, so wait for the outcome instead of for idleness
-        for _ in range(40):
-            time.sleep(1)
-            if query.lastProgress is not None and query.isActive:
-                rows = spark.read.schema(stream.schema).parquet(out).groupBy("listing_id").agg(F.max("last_checked_at").alias("at")).collect()
-                got = {r["listing_id"]: r["at"] for r in rows}
-                if got == want:
-                    break
-    finally:
-        query.stop()
-    assert got == want
+CHECKS = "listing_id string, captured_at timestamp, id bigint, is_online boolean"
+
+
+def at(minutes):
+    return dt.datetime(2024, 3, 1, tzinfo=dt.UTC) + dt.timedelta(minutes=minutes)
+
+
+def streamed(spark, tmp_path, batches, make):
+    """Rows that a stream of the given batches, (listing, minute, online) each, has put out."""
+    source, out, cp = (str(tmp_path / n) for n in ("rows", "out", "cp"))
+    n = 0
+    for batch in batches:
+        rows = [(k, at(m), n + i, online) for i, (k, m, online) in enumerate(batch)]
+        n += len(rows)
+        spark.createDataFrame(rows, CHECKS).coalesce(1).write.mode("append").parquet(source)
+        stream = make(spark.readStream.schema(CHECKS).parquet(source))
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", cp).trigger(
+            availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+@pytest.mark.parametrize("cuts", [[6], [2, 4], [1, 1, 1, 1, 1, 1]])
+def test_expiry_reports_each_stale_time_once(spark, tmp_path, cuts):
+    """However the checks are cut into batches; within the watermark their order does not matter."""
+    rows = [("a", 0, True), ("b", 1, True), ("a", 4, True), ("b", 9, True), ("a", 20, True), ("c", 60, True)]
+    batches, done = [], 0
+    for n in cuts:
+        batches.append(rows[done:done + n])
+        done += n
+    got = streamed(spark, tmp_path, batches, lambda s: transitions.stream_expiry(s, ttl=300, delay="10 minutes"))
+    want = {("a", 4), ("b", 1), ("b", 9), ("a", 20)}
+    assert sorted((r["listing_id"], r["last_checked_at"]) for r in got.collect()) == sorted(
+        (k, at(m).replace(tzinfo=None)) for k, m in want)
+
+
+def test_counts_drop_rows_later_than_the_watermark(spark, tmp_path):
+    batches = [[("a", 5, True), ("a", 70, False)], [("b", 61, True), ("b", 10, True)], [("c", 300, True)], [("d", 65, True)]]
+    got = streamed(spark, tmp_path, batches, transitions.windowed_counts)
+    # 70 - 10 has closed the first hour before its row of minute 10 comes; 65 comes after all
+    assert sorted((r["window_start"].hour, r["online"], r["offline"]) for r in got.collect()) == [(0, 1, 0), (1, 1, 1)]
 
 
 def test_windowed_counts_stream(spark, sf_dir, tmp_path):
@@ -95,61 +119,63 @@ def test_windowed_counts_stream(spark, sf_dir, tmp_path):
 def test_pages_become_state(spark, tmp_path):
     ad = "<article><a href='/de/d/{i}'>Corvette C6 LS3 | {i}</a><b class='_i2QOc'>{p} €</b></article>"
     source = str(tmp_path / "pages")
-    store = StateStore(spark, str(tmp_path / "store"))
+    folder = listing_folder(spark, str(tmp_path / "store"))
     for run, price in enumerate(("41.000", "39.500")):
         body = ad.format(i=1, p=price) + ad.format(i=2, p="50.000")
         pages(spark, [{"source": lx.AUTOUNCLE, "body": body}]).write.mode("append").parquet(source)
         stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
-        ingest.ingest_pages(stream, store, str(tmp_path / "cp")).awaitTermination()
+        ingest.ingest_pages(stream, folder, str(tmp_path / "cp")).awaitTermination()
     got = {r["source_listing_id"]: (r["price_eur"], r["change_type"], r["previous_price_eur"])
-           for r in store.read("listings", STATE).collect()}
+           for r in folder.state.read().collect()}
     assert got == {"1": (39500, "price_change", 41000), "2": (50000, "unchanged", None)}
-    assert store.read_log("snapshots", SNAPSHOT).count() == 4
+    assert folder.log("snapshots", SNAPSHOT).count() == 4
+
+
+class Lost(Exception):
+    pass
+
+
+@pytest.mark.parametrize("lost_at", ["log", "staged", "put"])
+def test_batches_survive_a_loss_at_each_write(spark, tmp_path, monkeypatch, lost_at):
+    """A batch that is lost at any write and repeated leaves what one that was not lost would have left."""
+    def counts(folder, version, n):
+        rows = spark.range(n).select(F.concat(F.lit("k"), "id").alias("id"), F.lit(n).alias("n"))
+        known = folder.state.near(rows, "id").withColumnRenamed("n", "_n")
 
+        def compute():
+            return Staged(rows.join(known, "id", "full").select("id", (F.coalesce("n", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("n")),
+                          seen=rows.withColumn("captured_at", F.current_timestamp()))
 
-def test_store_survives_a_loss_at_each_write(spark, tmp_path):
-    store = StateStore(spark, str(tmp_path / "store"))
-    schema = "id bigint"
-    empty = spark.createDataFrame([], schema).schema
+        folder.apply(version, compute)
 
-    def state(n):
-        return spark.range(n).select("id")
+    columns = T.StructType([T.StructField("id", T.StringType()), T.StructField("n", T.IntegerType())])
+    folder = BatchFolder(spark, str(tmp_path / "f"), columns, "id", buckets=4)
+    counts(folder, "one", 5)
+    plain = DataFrameWriter.parquet
 
-    def rows():
-        return store.read("t", empty).count()
+    def parquet(self, path, *args, **kwargs):
+        kind = "put" if path.endswith("/state") else "staged" if "/staged/" in path else "log" if "/seen/" in path else ""
+        if kind == lost_at:
+            raise Lost
+        return plain(self, path, *args, **kwargs)
 
-    assert rows() == 0
-    store.replace("t", state(3), "run-0")
-    commit, store._commit = store._commit, lambda *a: (_ for _ in ()).throw(OSError("lost"))
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
     for _ in range(2):
-        try:
-            store.replace("t", state(5), "run-1")
-        except OSError:
-            pass
-        assert rows() == 3 and store.version("t") == "run-0"
-    store._commit = commit
-    store.replace("t", state(5), "run-1")
-    store.replace("t", state(7), "run-2")
-    assert rows() == 7 and store.committed("t") == ["run-0", "run-1", "run-2"]
-    assert sorted(p.name for p in (tmp_path / "store/t").glob("state=*")) == ["state=run-1", "state=run-2"]
-    assert store.time_of("run-1") == store.time_of("run-1") < store.time_of("run-2")
-    for marker in (tmp_path / "store/t/_markers").iterdir():
-        marker.unlink()
-    try:
-        rows()
-    except RuntimeError:
-        pass
-    else:
-        raise AssertionError("a lost marker must not read as an empty state")
-
-
-def test_a_new_stream_does_not_repeat_batch_names(spark, sf_dir, tmp_path):
-    store = StateStore(spark, str(tmp_path / "store"))
-    schema = "listing_id string, captured_at timestamp, id bigint, is_online boolean"
+        with pytest.raises(Lost):
+            counts(folder, "two", 3)
+    monkeypatch.setattr(DataFrameWriter, "parquet", plain)
+    assert {r["id"]: r["n"] for r in folder.state.read().collect()} == {f"k{i}": 5 for i in range(5)}
+    for _ in range(3):
+        counts(folder, "two", 3)
+    assert {r["id"]: r["n"] for r in folder.state.read().collect()} == {f"k{i}": 5 + 3 * (i < 3) for i in range(5)}
+    assert folder.log("seen", columns).count() == 8
+
+
+def test_a_new_stream_does_not_repeat_batch_names(spark, tmp_path):
+    folder = transitions.check_folder(spark, str(tmp_path / "store"))
     for n, name in enumerate(("a", "b")):
         source = str(tmp_path / f"in{n}")
-        spark.createDataFrame([(name, None, n, True)], schema).withColumn("captured_at", F.current_timestamp()).write.parquet(source)
-        stream = spark.readStream.schema(schema).parquet(source)
-        transitions.track_checks(stream, store, str(tmp_path / f"cp{n}")).awaitTermination()
-    assert store.read("statuses", transitions.TRANSITION).count() == 2
-    assert store.read_log("transitions", transitions.TRANSITION).count() == 2
+        spark.createDataFrame([(name, at(n), n, True)], CHECKS).write.parquet(source)
+        stream = spark.readStream.schema(CHECKS).parquet(source)
+        transitions.track_checks(stream, folder, str(tmp_path / f"cp{n}")).awaitTermination()
+    assert folder.state.read().count() == folder.log("transitions", transitions.TRANSITION).count() == 2
