@@ -44,7 +44,7 @@ def has_partner(key: Column, row_id: str) -> tuple[dict[str, Column], Column]:
     return steps, answer
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str | list[str], row_id: str) -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, key: str | list[str], row_id: str | Column) -> DataFrame:
     """Left join of ``rows`` with a ``table`` that has one row per key.
 
     Looks up each distinct (key, salt) once and brings the hits back to the rows
