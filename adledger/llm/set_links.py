@@ -9,14 +9,14 @@ read for candidate pairs only. A text without words has no set and no link.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adledger.llm.common import components, cut, join_on
+from adledger.llm.common import components, cut, join_on, once
 from adledger.operators.skew import lookup
 
 #: Least Jaccard similarity of linked sets, as a fraction.
@@ -26,10 +26,11 @@ USE_SLOTS = 1 << 16
 READ_SLOTS = 1 << 18
 #: Members of a shingle that are compared in one cell.
 CELL = 512
-SKETCH_BITS = (64, 1024)
+SKETCH_BITS = (64, 1 << 16)
+CELL_BITS = 512
+LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
-NODE = "doc_id bigint, _h bigint, sid bigint, n int, sketch binary"
-Shingler = Callable[[str], np.ndarray]
+NODE = "doc_id bigint, _h bigint, sid bigint, n int, sketch binary, small binary"
 
 
 def needed(n: int | np.ndarray) -> int | np.ndarray:
@@ -43,6 +44,37 @@ def prefix_length(n: int) -> int:
     return n + -(n * num) // den + 1
 
 
+class WordHashes(dict):
+    """XXH64 of words, remembered for a batch of texts."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        self[word] = value = xxhash.xxh64_intdigest(word, 7)
+        return value
+
+
+def shingles_of(text: str, size: int, hashes: WordHashes) -> np.ndarray:
+    """Hashes of all runs of ``size`` words, A-Z lower-cased; of all words if there are fewer.
+
+    A run's hash is a polynomial of its words' hashes modulo 2^64, mixed; it depends on nothing else.
+    """
+    words = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
+    if len(hashes) > 1 << 20:
+        hashes.clear()
+    told = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    if not len(told):
+        return told
+    size = min(size, len(told))
+    runs = np.zeros(len(told) - size + 1, np.uint64)
+    for j in range(size):
+        runs *= np.uint64(0x9E3779B97F4A7C15)
+        runs += told[j:len(told) - size + 1 + j]
+    runs ^= runs >> np.uint64(29)
+    runs *= np.uint64(0xBF58476D1CE4E5B9)
+    return runs ^ (runs >> np.uint64(32))
+
+
 def sketch_of(values: np.ndarray) -> bytes:
     """Parity of the elements by a few bits of their hash: two sets differ in at least as many
     elements as their sketches in bits. The size follows the set's."""
@@ -62,35 +94,45 @@ def apart(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def _sets(shingler: Shingler, column: pa.Array) -> Iterator[np.ndarray]:
+def _sets(size: int, column: pa.Array) -> Iterator[np.ndarray]:
+    hashes = WordHashes()
     for text in column:
-        yield np.unique(shingler(text.as_py() or "").view(np.int64))
+        yield np.unique(shingles_of(text.as_py() or "", size, hashes).view(np.int64))
+
+
+def small(sketch: bytes) -> bytes:
+    """The sketch folded to at most CELL_BITS, for rows that come in numbers."""
+    x = np.frombuffer(sketch, np.uint8)
+    while len(x) * 8 > CELL_BITS:
+        x = x[: len(x) // 2] ^ x[len(x) // 2:]
+    return x.tobytes()
 
 
-def set_nodes(docs: DataFrame, shingler: Shingler) -> DataFrame:
-    """(doc_id, _h, sid, n, sketch): name of the row's set (the same for equal sets), its size and sketch."""
+def set_nodes(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, _h, sid, n, sketch, small): name of the row's set (the same for equal sets), its size and sketches."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
             sids, sizes, sketches = [], [], []
-            for s in _sets(shingler, batch.column(2)):
+            for s in _sets(size, batch.column(2)):
                 sids.append(xxhash.xxh64_intdigest(s.tobytes(), len(s)))
                 sizes.append(len(s))
                 sketches.append(sketch_of(s))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1), pa.array(np.array(sids, np.uint64).view(np.int64)),
-                pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary())], ["doc_id", "_h", "sid", "n", "sketch"])
+                pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.array(map(small, sketches), pa.binary())],
+                ["doc_id", "_h", "sid", "n", "sketch", "small"])
 
     return docs.select("doc_id", "_h", "text").mapInArrow(run, NODE)
 
 
-def slot_uses(docs: DataFrame, shingler: Shingler) -> np.ndarray:
+def slot_uses(docs: DataFrame, size: int) -> np.ndarray:
     """Sets that use each slot: USE_SLOTS numbers, whatever the input."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uses = np.zeros(USE_SLOTS, np.int64)
         for batch in batches:
-            for s in _sets(shingler, batch.column(0)):
+            for s in _sets(size, batch.column(0)):
                 uses += np.bincount(s & (USE_SLOTS - 1), minlength=USE_SLOTS)
         slots = np.flatnonzero(uses)
         for at in range(0, len(slots), 8192):
@@ -104,14 +146,14 @@ def slot_uses(docs: DataFrame, shingler: Shingler) -> np.ndarray:
     return table
 
 
-def prefixes(docs: DataFrame, shingler: Shingler, uses: np.ndarray) -> DataFrame:
+def prefixes(docs: DataFrame, size: int, uses: np.ndarray) -> DataFrame:
     """(x, sid, n, pos): the first shingles of each set in the common order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
             held: list[tuple[np.ndarray, int, int]] = []
-            for s in _sets(shingler, batch.column(0)):
+            for s in _sets(size, batch.column(0)):
                 if len(s):
                     first = np.lexsort((s, uses[s & (USE_SLOTS - 1)]))[: prefix_length(len(s))]
                     held.append((s[first], xxhash.xxh64_intdigest(s.tobytes(), len(s)), len(s)))
@@ -135,7 +177,7 @@ def possible(n: np.ndarray, pos: np.ndarray, n2: np.ndarray, pos2: np.ndarray) -
 def compare_cells(rows: DataFrame) -> DataFrame:
     """(sid, n, sid2, n2): pairs inside each (x, i, j) cell that have different roots and may be similar.
 
-    ``rows``: x, i, j, side, n, pos, sid, root, sketch. A cell is bounded by the caller. In a
+    ``rows``: x, i, j, side, n, pos, sid, root, small. A cell is bounded by the caller. In a
     cell of two blocks (i < j) only members of different ``side`` are compared. Rows of a cell
     are sorted by size and compared at distances 1, 2, ... until sizes are too far apart.
     """
@@ -164,8 +206,8 @@ def compare_cells(rows: DataFrame) -> DataFrame:
 
         def done(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             table = pa.Table.from_batches(parts).combine_chunks()
-            at = {c: np.asarray(table[c]) for c in table.column_names if c != "sketch"}
-            found = list(dict.fromkeys(pairs(at, table["sketch"]))) if table.num_rows else []
+            at = {c: np.asarray(table[c]) for c in table.column_names if c != "small"}
+            found = list(dict.fromkeys(pairs(at, table["small"]))) if table.num_rows else []
             columns = zip(*found, strict=True) if found else ((), (), (), ())
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["sid", "n", "sid2", "n2"])
@@ -192,7 +234,7 @@ def compare_cells(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "sid bigint, n int, sid2 bigint, n2 int")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingler: Shingler) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """The ``pairs`` (sid, n, sid2, n2) of sufficient similarity, by whole sets.
 
     Sets are made again for documents that pass a hash filter of fixed size; a full filter
@@ -206,36 +248,38 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingler: Shin
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(_sets(shingler, batch.column(2)))
+            sets = list(_sets(size, batch.column(2)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "_h", "shingles"])
 
     slots = wanted.select(slot()).distinct()
     read = docs.select("doc_id", "_h", "text", slot()).join(F.broadcast(slots), "_slot", "left_semi")  # at most READ_SLOTS rows
     made = read.select("doc_id", "_h", "text").mapInArrow(run, "doc_id bigint, _h bigint, shingles array<bigint>")
-    of = cut(join_on(made, wanted, ["doc_id", "_h"]).groupBy("sid").agg(F.first("shingles").alias("shingles")))
-    both = lookup(pairs, of, "sid", "sid2")
-    both = lookup(both, of.select(F.col("sid").alias("sid2"), F.col("shingles").alias("shingles2")), "sid2", "sid")
+    of = once(cut(join_on(made, wanted, ["doc_id", "_h"]).select("sid", "shingles")), ["sid"])
+    sides = pairs.select("sid", "sid2", F.explode(F.array("sid", "sid2")).alias("_of"))
+    # a set that many pairs ask for is copied in as many tasks as there are salts
+    both = lookup(sides, of.withColumnRenamed("sid", "_of"), "_of", F.xxhash64("sid", "sid2"))
+    both = both.groupBy("sid", "sid2").agg(F.min("shingles").alias("a"), F.max("shingles").alias("b"))
     num, den = SIMILAR
-    common = F.size(F.array_intersect("shingles", "shingles2"))
-    return both.where(common * (num + den) >= (F.col("n") + F.col("n2")) * num).select("sid", "sid2")
+    common, total = F.size(F.array_intersect("a", "b")), F.size("a") + F.size("b")
+    return both.where(common * (num + den) >= total * num).select("sid", "sid2")
 
 
-def similar_links(docs: DataFrame, rows: DataFrame, shingler: Shingler, roots: DataFrame) -> DataFrame:
+def similar_links(docs: DataFrame, rows: DataFrame, size: int, roots: DataFrame) -> DataFrame:
     """(u, v) between the ``fp`` of texts that are linked by equal or similar sets.
 
-    ``docs``: doc_id, _h, text. ``rows``: the same documents as doc_id, _h, fp, sid, n, sketch.
+    ``docs``: doc_id, _h, text. ``rows``: the same documents as doc_id, _h, fp, sid, n, sketch, small.
     ``roots`` (fp, root): what is linked already. With the links given, the components are those
     of all similar pairs. All members of a shared shingle are compared with the one of the
     smallest root first, so a group of near copies is linked without comparing every two;
     then those that still have different roots, in cells of bounded size.
     """
     rows = rows.where("n > 0")
-    nodes = cut(rows.groupBy("sid").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("sketch").alias("sketch"),
-                                        F.min(F.struct("doc_id", "_h")).alias("_key")).select("sid", "fp", "n", "sketch", "_key.*"))
+    nodes = cut(rows.groupBy("sid").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("small").alias("small"),
+                                        F.min(F.struct("doc_id", "_h")).alias("_key")).select("sid", "fp", "n", "sketch", "small", "_key.*"))
     same = rows.select("sid", "fp").distinct().join(nodes.select("sid", F.col("fp").alias("v")), "sid").where("fp <> v")
     same = cut(same.select(F.col("fp").alias("u"), "v"))
-    uses = slot_uses(docs, shingler)
-    head = prefixes(docs, shingler, uses)
+    uses = slot_uses(docs, size)
+    head = prefixes(docs, size, uses)
     shared = cut(head.groupBy("x").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a < b").select("x"))
     members = cut(head.join(shared, "x").select("x", "sid", "n", "pos").distinct())
     fp_of, sketch_by = nodes.select("sid", "fp"), nodes.select("sid", "sketch")
@@ -270,14 +314,14 @@ def similar_links(docs: DataFrame, rows: DataFrame, shingler: Shingler, roots: D
     star = star.where((overlap * (num + den) >= (F.col("n") + F.col("n2")) * num) & (F.least("n", "n2") * den >= F.greatest("n", "n2") * num))
     star = sketched(cut(star.select("sid", "n", "sid2", "n2").distinct()))
     one = star.groupBy("sid", "n").agg(F.min(F.struct("sid2", "n2")).alias("_to")).select("sid", "n", "_to.*")
-    first = same.union(links(verified(one, docs, nodes, shingler)))
+    first = same.union(links(verified(one, docs, nodes, size)))
     rest = mixed(widened(roots, first)).withColumn("_k", F.ceil(F.col("m") / F.lit(CELL)).cast("int"))
     rest = rest.withColumn("side", F.pmod(F.xxhash64("sid"), F.col("_k")).cast("int"))
     rest = rest.select("x", "sid", "n", "pos", "root", "side", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_other"))
-    rest = lookup(rest, sketch_by, "sid", "x").select("x", F.least("side", "_other").alias("i"), F.greatest("side", "_other").alias("j"), "side", "n", "pos", "sid", "root", "sketch")
+    rest = lookup(rest, nodes.select("sid", "small"), "sid", "x").select("x", F.least("side", "_other").alias("i"), F.greatest("side", "_other").alias("j"), "side", "n", "pos", "sid", "root", "small")
     second = compare_cells(rest).select(*[F.when(F.col("sid") <= F.col("sid2"), F.col(a)).otherwise(F.col(b)).alias(a) for a, b in
                                           (("sid", "sid2"), ("n", "n2"), ("sid2", "sid"), ("n2", "n"))]).distinct()
-    return first.union(links(verified(second, docs, nodes, shingler)))
+    return first.union(links(verified(sketched(cut(second)), docs, nodes, size)))
 
 
 def widened(roots: DataFrame, links: DataFrame) -> DataFrame:

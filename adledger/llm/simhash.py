@@ -269,13 +269,10 @@ def near_groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius: int
     nodes = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     roots = durable(linked(nodes.select("fp"), radius).withColumnRenamed("node", "fp"))
     if set_words:
-        def shingler(text: str) -> np.ndarray:
-            return shingle_hashes(text, set_words)
-
         texts = keyed(docs)
-        sets = cut(set_nodes(texts, shingler).distinct())
+        sets = cut(set_nodes(texts, set_words).distinct())
         with_sets = cut(join_on(rows.distinct(), sets, ["doc_id", "_h"]))
-        roots = widened(roots, similar_links(texts, with_sets, shingler, roots))
+        roots = widened(roots, similar_links(texts, with_sets, set_words, roots))
     named = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     groups = named.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("size"))
     by_fp = durable(lookup(named.select("fp", "root"), groups, "root", "fp").drop("root"))
