@@ -9,6 +9,7 @@ from adledger import lexicon as lx
 from adledger.functions.availability import is_gone_page, is_stale
 from adledger.functions.identity import identity_token, url_join
 from adledger.functions.text import blank_to_null
+from adledger.operators.graph import follow
 from adledger.operators.skew import lookup
 from adledger.session import written
 
@@ -34,29 +35,6 @@ def _captured(captures: DataFrame) -> DataFrame:
     )
 
 
-def resolve_redirects(hops: DataFrame, limit: int | None = None) -> DataFrame:
-    """Where chains of redirects end: (url, first, target, hops, looped) from (url, next_url), one row per url.
-
-    Pointer doubling: a row that still points at another redirecting page takes over that
-    page's own pointer, so after r rounds it is 2^r hops ahead, and a chain of 40 takes six.
-    A pointer that has made more hops than there are pages is in a loop or leads into one.
-    With ``limit`` no chain is followed beyond so many hops; ``hops`` of longer ones is some
-    number above it. Finished rows rest; a page that many lead to is looked up by salted keys.
-    """
-    start = hops.select("url", F.col("next_url").alias("first"), F.col("next_url").alias("target"), F.lit(1).cast("bigint").alias("hops"))
-    most = start.count() if limit is None else limit
-    onward = start.select(F.col("url").alias("target"), F.lit(True).alias("_more"))
-    known = written(lookup(start, onward, "target", "url").withColumn("open", F.coalesce("_more", F.lit(False))).drop("_more"))
-    reached = 1
-    while reached <= most and not known.filter("open").isEmpty():
-        step = known.select(F.col("url").alias("target"), F.col("target").alias("_to"), F.col("hops").alias("_by"), F.col("open").alias("_on"))
-        ahead = lookup(known.filter("open"), step, "target", "url").select(
-            "url", "first", F.col("_to").alias("target"), (F.col("hops") + F.col("_by")).alias("hops"), F.col("_on").alias("open"))
-        known = written(known.filter("NOT open").unionByName(ahead))
-        reached *= 2
-    return known.withColumnRenamed("open", "looped")
-
-
 def classify_checks(checks: DataFrame, captures: DataFrame, *, max_pages: int | None = lx.MAX_REDIRECT_HOPS) -> DataFrame:
     """Verdict per check ``(listing_id, url, checked_at)`` from captured pages.
 
@@ -67,7 +45,8 @@ def classify_checks(checks: DataFrame, captures: DataFrame, *, max_pages: int |
     """
     table = written(_captured(captures))  # bodies are read once
     limit = None if max_pages is None else max_pages - 1
-    jumps = resolve_redirects(table.filter(F.col("next_url").isNotNull()).select("url", "next_url"), limit)
+    jumps = follow(table.filter(F.col("next_url").isNotNull()).select(F.col("url").alias("node"), F.col("next_url").alias("next")), limit)
+    jumps = jumps.withColumnRenamed("node", "url")
     ends = table.select(F.col("url").alias("target"), F.col("status").alias("_status"), F.col("error").alias("_error"), F.lit(True).alias("_seen"))
     # a chain cut by the limit may still point at a redirecting page
     lost = F.col("looped") if limit is None else F.col("looped") | (F.col("hops") > limit)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from adledger import lexicon as lx
 from adledger.functions import availability as rules
 from adledger.functions import identity
-from adledger.operators import availability
+from adledger.operators import availability, graph
 from adledger.schema import PAGE
 from adledger.sources import cards
 from adledger.sources.markup import Tree, with_markup
@@ -147,9 +147,9 @@ def test_long_chains_and_loops(spark, monkeypatch):
     captures = spark.createDataFrame(chain + loop + rest, CAPTURED)
     checks = spark.createDataFrame([(r[0], r[0]) for r in chain + loop + rest] + [("blank", None)] * 50, "listing_id string, url string")
     writes = []
-    monkeypatch.setattr(availability, "written", lambda df, plain=availability.written: writes.append(1) or plain(df))
-    hops = availability.resolve_redirects(spark.createDataFrame([(r[0], r[2]) for r in chain if r[2]], "url string, next_url string"))
-    got = {r["url"]: (r["target"], r["hops"], r["looped"]) for r in hops.collect()}
+    monkeypatch.setattr(graph, "written", lambda df, plain=graph.written: writes.append(1) or plain(df))
+    hops = graph.follow(spark.createDataFrame([(r[0], r[2]) for r in chain if r[2]], "node string, next string"))
+    got = {r["node"]: (r["target"], r["hops"], r["looped"]) for r in hops.collect()}
     assert got == {r[0]: (chain[-1][0], 40 - n, False) for n, r in enumerate(chain[:-1])} and len(writes) == 1 + 6
     told = {r["listing_id"]: (r["http_status"], r["error_message"], r["final_url"])
             for r in availability.classify_checks(checks, captures, max_pages=None).collect()}

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from adledger.operators import history, scan
+from adledger.operators import graph, history, scan
 from adledger.operators.dedupe import dedupe_urls, greedy_distinct
 from adledger.operators.skew import has_partner, lag_in_blocks, lookup
 
@@ -150,6 +150,59 @@ def test_price_series_equals_loop(spark):
     assert got == sorted(want)
 
 
+def greedy_loop(rows):
+    ids, urls, want = set(), set(), []
+    for pos, source, i, u in rows:
+        if (source, i) not in ids and u not in urls:
+            ids.add((source, i)), urls.add(u), want.append(pos)
+    return want
+
+
+KEYS = "pos long, source string, source_listing_id string, url string"
+
+
+@pytest.mark.parametrize("settle", [0, 5, 1000])
+def test_greedy_distinct_settles_components(spark, settle):
+    """Small components, chains and a hot url, with and without further rounds."""
+    rng = random.Random(settle)
+    rows = [("s", f"i{rng.randrange(300)}", "hot" if rng.random() < .3 else f"u{rng.randrange(300)}") for _ in range(400)]
+    rows += [("c", f"i{i // 2}", f"u{(i + 1) // 2}") for i in range(41)]
+    rng.shuffle(rows)
+    rows = [(n, *r) for n, r in enumerate(rows)]
+    got = greedy_distinct(spark.createDataFrame(rows, KEYS), settle=settle)
+    assert sorted(r["pos"] for r in got.collect()) == greedy_loop(rows)
+
+
+def test_greedy_distinct_on_a_long_chain(spark, monkeypatch):
+    """100,000 rows, each sharing one key with the next: rounds follow the logarithm."""
+    n, rounds = 100_000, []
+    monkeypatch.setattr(graph, "follow", lambda p, plain=graph.follow: rounds.append(1) or plain(p))
+    order = list(range(n))
+    random.Random(3).shuffle(order)
+    place = {i: p for p, i in enumerate(order)}
+    rows = [(place[i], "s", f"i{i // 2}", f"u{(i + 1) // 2}") for i in range(n)]
+    got = {r["pos"] for r in greedy_distinct(spark.createDataFrame(rows, KEYS)).select("pos").collect()}
+    assert got == set(greedy_loop(sorted(rows))) and len(rounds) <= 17
+
+
+def test_components_equal_union_find(spark):
+    rng = random.Random(12)
+    edges = [(rng.randrange(500), rng.randrange(500)) for _ in range(330)] + [(1000, 1000 + i) for i in range(300)] + [(2000 + i, 2001 + i) for i in range(200)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {x: find(x) for x in root if any(x in e and e[0] != e[1] for e in edges)}
+    assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 def test_greedy_distinct_equals_loop(spark):
     rng = random.Random(6)
     rows = [(i, "s", f"i{rng.randrange(12) if rng.random() < .7 else 0}", f"u{rng.randrange(12)}")
