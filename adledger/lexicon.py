@@ -308,3 +308,9 @@ DETAIL_FIELDS = [
     "origin_country", "origin_confidence", "vin",
 ]
 MISSING_PRICE_LAST = 999_999_999
+
+# --- fixed values: lines of the text feed -----------------------------------
+
+FEED_TITLE = "# Neue C6 Corvette-Angebote — %s"
+FEED_COUNTS = "Aktive Treffer: **%s** · Neu: **%s** · Preisänderungen: **%s**"
+FEED_EMPTY = "Keine C6-Corvette-Angebote gefunden oder Quellen waren blockiert."

@@ -428,7 +428,10 @@ def _csv_sql(c: str) -> str:
 
 @registry.add("o_snk_2", f"{Q} SELECT {', '.join(_csv_sql(c) for c in lx.CSV_COLUMNS)} FROM q")
 def csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exports.csv_rows(schema.conform(listings(spark, sf_dir)))
+    """Written as CSV and read back."""
+    path, rows = work_path(spark, "csv"), schema.conform(listings(spark, sf_dir))
+    exports.write_csv(rows, path)
+    return spark.read.schema(exports.csv_rows(rows).schema).options(**exports.CSV_OPTIONS).csv(path)
 
 
 def _line(prefix: str, value: str) -> str:
@@ -458,7 +461,11 @@ MARKDOWN_SQL = "concat_ws(chr(10), " + ", ".join([
 
 @registry.add("o_snk_3", f"""{Q}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC,
   coalesce(price_eur, 0) DESC, coalesce(price_eur, 999999999), id) AS rank FROM q)
-SELECT rank, {MARKDOWN_SQL} AS value FROM r""")
+SELECT cast(rank AS int) AS rank, rtrim(substr({MARKDOWN_SQL}, 4), chr(10)) AS value FROM r
+UNION ALL SELECT 0, '# Neue C6 Corvette-Angebote — {RUN_AT}' || chr(10) || chr(10) || 'Aktive Treffer: **' || count(*) || '** · Neu: **'
+  || count(*) FILTER (WHERE change_type = 'new') || '** · Preisänderungen: **' || count(*) FILTER (WHERE change_type = 'price_change') || '**' FROM q""")
 def markdown_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exports.markdown_blocks(schema.conform(listings(spark, sf_dir)))
-
+    """Written as text with its head and read back block by block."""
+    path = work_path(spark, "feed-text")
+    exports.write_markdown(schema.conform(listings(spark, sf_dir)), path, F.lit(RUN_AT))
+    return exports.read_blocks(spark, path)

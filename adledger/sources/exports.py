@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,10 +51,13 @@ def csv_rows(listings: DataFrame) -> DataFrame:
     return listings.select(*[flat(c) for c in lx.CSV_COLUMNS])
 
 
+#: Quotes inside a value are doubled.
+CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"'}
+
+
 def write_csv(listings: DataFrame, path: str) -> None:
-    csv_rows(listings.orderBy(*feed_order())).write.mode("overwrite").option(
-        "header", True
-    ).csv(path)
+    """The export columns in feed order; files of the folder follow each other by name."""
+    csv_rows(listings.orderBy(*feed_order())).write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
 
 
 def markdown_blocks(listings: DataFrame) -> DataFrame:
@@ -62,5 +65,27 @@ def markdown_blocks(listings: DataFrame) -> DataFrame:
     return ranked(listings, feed_order()).select("rank", markdown_block().alias("value"))
 
 
-def write_markdown(listings: DataFrame, path: str) -> None:
-    markdown_blocks(listings).orderBy("rank").select("value").write.mode("overwrite").text(path)
+def feed_lines(listings: DataFrame, generated_at: Column) -> DataFrame:
+    """The whole text feed as (place, value): head at 0, a block per listing, or one line if there is none."""
+    head = F.concat_ws("\n", F.format_string(lx.FEED_TITLE, generated_at.cast("string")), F.lit(""), F.format_string(
+        lx.FEED_COUNTS, "total_active", "new_listings", "price_changes"), F.lit(""))
+
+    def line(place: int, value: Column) -> Column:
+        return F.struct(F.lit(place).cast("bigint").alias("place"), value.alias("value"))
+
+    lines = F.when(F.col("total_active") == 0, F.array(line(0, head), line(1, F.lit(lx.FEED_EMPTY)))).otherwise(F.array(line(0, head)))
+    blocks = markdown_blocks(listings).select(F.col("rank").cast("bigint").alias("place"), "value")
+    return feed_summary(listings).select(F.inline(lines)).unionByName(blocks)
+
+
+def write_markdown(listings: DataFrame, path: str, generated_at: Column) -> None:
+    """The text feed, sorted in range partitions; files of the folder follow each other by name."""
+    feed_lines(listings, generated_at).orderBy("place").select("value").write.mode("overwrite").text(path)
+
+
+def read_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """(rank, value) of a written text feed; the head has rank 0."""
+    parts = spark.read.option("lineSep", "\n## ").text(path)
+    number = F.regexp_extract("value", r"^(?:## )?(\d+)\. ", 1)
+    text = F.rtrim(F.regexp_replace("value", "^## ", ""), F.lit("\n"))
+    return parts.select(F.coalesce(F.nullif(number, F.lit("")).cast("int"), F.lit(0)).alias("rank"), text.alias("value"))

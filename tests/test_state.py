@@ -1,12 +1,15 @@
 """Upsert, overrides, quality and history quartiles on hand-worked cases."""
 
+import csv
 import datetime as dt
 
 from pyspark.sql import functions as F
 
+from adledger import lexicon as lx
 from adledger import schema
 from adledger.operators import filters, scoring, state, validation
 from adledger.plans.batch import SNAPSHOT, STATE, Run, listing_folder, run_listings, store_run
+from adledger.sources import exports
 from tests.test_clusters import CAR, frame
 
 
@@ -175,3 +178,24 @@ def test_state_table_rewrites_only_touched_buckets(spark, tmp_path):
     assert len(got) == 41 and got["x7"] == (20, "price_change") and got["new"] == (20, "new") and got["x8"] == (10, "new")
     log = folder.log("snapshots", SNAPSHOT)
     assert log.count() == 42 and {r["batch"] for r in log.select("batch").distinct().collect()} == {"one", "two"}
+
+
+def test_written_feeds(spark, tmp_path):
+    """Content of the files themselves: head, order, quoting, and the line of an empty feed."""
+    rows = frame(spark, [{"id": "a", "title": 'He said "hi", twice', "score": 10, "price_eur": 5, "inference_notes": ["x, y", "z"], "change_type": "new"},
+                         {"id": "b", "title": "Best", "score": 90, "price_eur": None, "change_type": "price_change"}])
+
+    def text(name):
+        return "".join(p.read_text() for p in sorted((tmp_path / name).glob("part-*")))
+
+    exports.write_markdown(rows, str(tmp_path / "md"), F.lit("2024-05-01"))
+    lines = text("md").split("\n")
+    assert lines[0] == "# Neue C6 Corvette-Angebote — 2024-05-01" and lines[2] == "Aktive Treffer: **2** · Neu: **1** · Preisänderungen: **1**"
+    assert [x for x in lines if x.startswith("## ")] == ["## 1. Best — k.A.", '## 2. He said "hi", twice — 5 €']
+    exports.write_markdown(rows.limit(0), str(tmp_path / "none"), F.lit("2024-05-01"))
+    assert text("none").split("\n")[-2] == "Keine C6-Corvette-Angebote gefunden oder Quellen waren blockiert."
+    exports.write_csv(rows, str(tmp_path / "csv"))
+    parts = [list(csv.DictReader(p.open(newline=""))) for p in sorted((tmp_path / "csv").glob("part-*"))]
+    told = [r for part in parts for r in part]
+    assert [r["id"] for r in told] == ["b", "a"] and list(told[0]) == list(lx.CSV_COLUMNS)
+    assert told[1]["title"] == 'He said "hi", twice' and told[1]["inference_notes"] == "['x, y', 'z']" and told[0]["price_eur"] == ""
