@@ -120,7 +120,9 @@ l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS p F
 g AS (SELECT doc_id, p, line, lead(line) OVER (PARTITION BY doc_id ORDER BY p) AS nxt FROM l),
 dup AS (SELECT doc_id, p FROM (
   SELECT doc_id, p, row_number() OVER (PARTITION BY line, nxt ORDER BY doc_id, p) AS n FROM g WHERE nxt IS NOT NULL) WHERE n > 1),
-gone AS (SELECT DISTINCT doc_id, unnest([p, p + 1]) AS p FROM dup),
+one AS (SELECT doc_id, p FROM (
+  SELECT doc_id, p, line, row_number() OVER (PARTITION BY line ORDER BY doc_id, p) AS n FROM l) WHERE n > 1 AND length(line) >= 20),
+gone AS (SELECT doc_id, unnest([p, p + 1]) AS p FROM dup UNION SELECT doc_id, p FROM one),
 kept AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.p) AS kept, count(*) AS n
   FROM l ANTI JOIN gone ON l.doc_id = gone.doc_id AND l.p = gone.p GROUP BY l.doc_id),
 pairs AS (SELECT a.doc_id AS d1, a.p AS p1, b.doc_id AS d2, b.p - a.p AS shift
@@ -151,7 +153,7 @@ n AS (SELECT count(*) AS n_lines FROM lw),
 w AS (SELECT doc_id, line, unnest(words) AS word FROM lw),
 p AS (SELECT * FROM w WHERE word IN (SELECT word FROM tc)),
 uses AS (SELECT word, count(*) AS uses FROM p GROUP BY word),
-idf AS (SELECT v.word, ln(1 + n_lines / (1 + coalesce(uses, 0))) AS idf, ln(1 + n_lines / 2) AS idf_other, coalesce(uses, 0) < n_lines * 0.01 AS rare
+idf AS (SELECT v.word, ln(1 + n_lines / (1 + coalesce(uses, 0))) AS idf, ln(1 + n_lines / 2) AS idf_other
   FROM (SELECT DISTINCT word FROM tc) v LEFT JOIN uses USING (word), n),
 tv AS (SELECT license_id, word, tf * idf AS w FROM tc JOIN idf USING (word)),
 tn AS (SELECT license_id, sqrt(sum(w * w)) AS norm FROM tv GROUP BY 1),
@@ -161,7 +163,7 @@ units AS (
   UNION ALL SELECT doc_id, -1, word, count(*) FROM p GROUP BY ALL),
 total AS (SELECT doc_id, line, len(words) AS n FROM lw UNION ALL SELECT doc_id, -1, sum(len(words)) FROM lw GROUP BY 1),
 size AS (SELECT doc_id, line, sqrt(sum(tf * idf * tf * idf) + (any_value(n) - sum(tf)) * max(idf_other) * max(idf_other)) AS norm
-  FROM units JOIN idf USING (word) JOIN total USING (doc_id, line) GROUP BY doc_id, line HAVING bool_or(rare)),
+  FROM units JOIN idf USING (word) JOIN total USING (doc_id, line) GROUP BY doc_id, line),
 cosine AS (SELECT doc_id, line, license_id, round(sum(tf * idf * w) / any_value(norm), 6) AS similarity
   FROM units JOIN idf USING (word) JOIN target USING (word) JOIN size USING (doc_id, line) GROUP BY doc_id, line, license_id),
 ranked AS (SELECT doc_id, line < 0 AS is_file, license_id, similarity,

@@ -7,9 +7,11 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from adledger.llm import decontaminate, exact_dedup, line_dedup, set_links, simhash, substring_dedup
+from adledger.operators import skew
 from tests.llm.helpers import DOCS, ROWS, collected, docs, lowered, near_roots, words
 
 
@@ -198,24 +200,39 @@ def test_substring_dedup(spark, monkeypatch):
     assert substring_dedup.repeated_words(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_line_at_one_place_of_many_documents_is_spread(spark):
+    """The salt follows document and line: a line that opens 3,000 documents is no single group."""
+    rows = docs(spark, [(i, f"the same first line of all\nown line {i}") for i in range(3000)])
+    named = rows.select(F.col("doc_id").alias("did"), F.xxhash64("text").alias("_h"), F.lit(0).alias("pos"))
+    sizes = [r["count"] for r in named.groupBy(skew.salt_of(line_dedup._salt())).count().collect()]
+    assert max(sizes) < 40
+    got = line_dedup.remove_repeats(rows).groupBy("n_removed").count().collect()
+    assert {r["n_removed"]: r["count"] for r in got} == {0: 1, 1: 2999}
+
+
 @pytest.mark.parametrize("min_lines", [1, 2, 3])
 def test_line_dedup(spark, min_lines):
     rng = random.Random(min_lines)
-    rows = [(i, "\n".join(rng.choice("abcd") for _ in range(rng.randrange(0, 9)))) for i in range(1, 25)]
+    kinds = ["a", "b", "c", "d", "long line of at least twenty characters", "Δ" * 20, "x" * 19]
+    rows = [(i, "\n".join(rng.choice(kinds) for _ in range(rng.randrange(0, 9)))) for i in range(1, 25)]
+    rows += [(40, "\n".join(f"passage {i}" for i in range(70))), (41, "\n".join(["other", *(f"passage {i}" for i in range(70)), "end"]))]
     rows += [(30, None), (31, ""), (32, "q\nq\nq\nq\nq"), (None, "a\nb\nc"), (33, "z\n" + "a\nb\nc"), (34, "unique line"), (34, "unique line")]
     got = collected(line_dedup.remove_repeats(docs(spark, rows), min_lines, with_text=True), "doc_id", "n_lines", "n_removed", "run_scale", "kept_text")
     keyed = {((-1 if i is None else i), t or ""): (t or "").split("\n") for i, t in rows}
     first = {}
     for (i, t), lines in sorted(keyed.items()):
-        for p in range(len(lines) - min_lines + 1):
-            first.setdefault(tuple(lines[p:p + min_lines]), (i, t, p))
-    seen = Counter(tuple(x[p:p + n]) for x in keyed.values() for n in (1, 2, 4, 8) for p in range(len(x) - n + 1))
+        for n in {1, min_lines}:
+            for p in range(len(lines) - n + 1):
+                first.setdefault(tuple(lines[p:p + n]), (i, t, p))
+    scales = (1, 2, 4, 8, 16, 32, 64)
+    seen = Counter(tuple(x[p:p + n]) for x in keyed.values() for n in scales for p in range(len(x) - n + 1))
     want = []
     for i, t in rows:
         key = (-1 if i is None else i, t or "")
         lines = keyed[key]
         gone = {q for p in range(len(lines) - min_lines + 1) if first[tuple(lines[p:p + min_lines])] != (*key, p) for q in range(p, p + min_lines)}
-        scale = max((n for n in (1, 2, 4, 8) for p in range(len(lines) - n + 1) if seen[tuple(lines[p:p + n])] > 1), default=0)
+        gone |= {p for p, x in enumerate(lines) if len(x) >= 20 and first[(x,)] != (*key, p)}
+        scale = max((n for n in scales for p in range(len(lines) - n + 1) if seen[tuple(lines[p:p + n])] > 1), default=0)
         want.append((i, len(lines), len(gone), scale, "\n".join(x for q, x in enumerate(lines) if q not in gone)))
     assert got == sorted(want, key=repr)
 
