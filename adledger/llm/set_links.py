@@ -28,7 +28,6 @@ READ_SLOTS = 1 << 18
 CELL = 512
 SKETCH_BITS = (64, 1 << 16)
 CELL_BITS = 512
-LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 NODE = "doc_id bigint, _h bigint, sid bigint, n int, sketch binary, small binary"
 
@@ -44,35 +43,51 @@ def prefix_length(n: int) -> int:
     return n + -(n * num) // den + 1
 
 
-class WordHashes(dict):
-    """XXH64 of words, remembered for a batch of texts."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        self[word] = value = xxhash.xxh64_intdigest(word, 7)
-        return value
-
-
-def shingles_of(text: str, size: int, hashes: WordHashes) -> np.ndarray:
+class RunHasher:
     """Hashes of all runs of ``size`` words, A-Z lower-cased; of all words if there are fewer.
 
-    A run's hash is a polynomial of its words' hashes modulo 2^64, mixed; it depends on nothing else.
+    Words end at ASCII white space. A word's hash is a polynomial of its bytes modulo 2^64, taken
+    from one running sum over the text and the inverse powers of an odd base; a run's hash is a
+    polynomial of its words' hashes, mixed. So it depends on the words alone, and the work is a
+    few passes over the text's bytes. Two runs of a text may share a hash by chance like in any
+    64-bit hash; it never hides an equal run.
     """
-    words = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
-    if len(hashes) > 1 << 20:
-        hashes.clear()
-    told = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    if not len(told):
-        return told
-    size = min(size, len(told))
-    runs = np.zeros(len(told) - size + 1, np.uint64)
-    for j in range(size):
-        runs *= np.uint64(0x9E3779B97F4A7C15)
-        runs += told[j:len(told) - size + 1 + j]
-    runs ^= runs >> np.uint64(29)
-    runs *= np.uint64(0xBF58476D1CE4E5B9)
-    return runs ^ (runs >> np.uint64(32))
+
+    def __init__(self, size: int) -> None:
+        self.size = size
+        self.byte = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+        self.byte[65:91] = self.byte[97:123]
+        self.gap = np.zeros(256, bool)
+        self.gap[[32, *range(9, 14)]] = True
+        self.powers = self.inverse = np.ones(1, np.uint64)
+
+    def _reach(self, n: int) -> None:
+        if len(self.powers) < n:
+            base = 0x9E3779B97F4A7C15
+            for name, step in (("powers", base), ("inverse", pow(base, -1, 1 << 64))):
+                row = np.full(n + n // 4, step, np.uint64)
+                row[0] = 1
+                setattr(self, name, np.cumprod(row))
+
+    def __call__(self, text: str) -> np.ndarray:
+        body = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        self._reach(len(body))
+        edge = np.diff(np.concatenate([[True], self.gap[body], [True]]).astype(np.int8))
+        starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        if not len(starts):
+            return np.empty(0, np.uint64)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.byte[body] * self.powers[: len(body)])])
+        told = (sums[ends] - sums[starts]) * self.inverse[starts]
+        told ^= told >> np.uint64(31)
+        told *= np.uint64(0x94D049BB133111EB)
+        size = min(self.size, len(told))
+        runs = np.zeros(len(told) - size + 1, np.uint64)
+        for j in range(size):
+            runs *= np.uint64(0x9E3779B97F4A7C15)
+            runs += told[j:len(told) - size + 1 + j]
+        runs ^= runs >> np.uint64(29)
+        runs *= np.uint64(0xBF58476D1CE4E5B9)
+        return runs ^ (runs >> np.uint64(32))
 
 
 def sketch_of(values: np.ndarray) -> bytes:
@@ -95,9 +110,9 @@ def apart(a: bytes, b: bytes) -> int:
 
 
 def _sets(size: int, column: pa.Array) -> Iterator[np.ndarray]:
-    hashes = WordHashes()
+    hasher = RunHasher(size)
     for text in column:
-        yield np.unique(shingles_of(text.as_py() or "", size, hashes).view(np.int64))
+        yield np.unique(hasher(text.as_py() or "").view(np.int64))
 
 
 def small(sketch: bytes) -> bytes:
@@ -151,7 +166,7 @@ def prefixes(docs: DataFrame, size: int, uses: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in batches:
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             held: list[tuple[np.ndarray, int, int]] = []
             for s in _sets(size, batch.column(0)):
                 if len(s):
@@ -247,7 +262,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int) ->
         return F.pmod(F.xxhash64("doc_id", "_h"), F.lit(READ_SLOTS)).alias("_slot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             sets = list(_sets(size, batch.column(2)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "_h", "shingles"])
 
