@@ -145,7 +145,7 @@ def assign_clusters(listings: DataFrame, existing: DataFrame | None = None) -> D
     ``listings`` needs a ``pos`` column (arrival order). ``existing`` is the stored
     state; it is only read.
     """
-    unique = dedupe_urls(listings)
+    unique = durable(dedupe_urls(listings))
     keyed = with_match_keys(unique, title=True).select("pos", "vin", *lx.KEY_LEVELS, "title")
     clustered = cascade(keyed)
     if existing is not None:
@@ -235,40 +235,60 @@ def _longest_spellings(listings: DataFrame, color: str) -> DataFrame:
     )
 
 
-def cluster_values(listings: DataFrame) -> DataFrame:
-    """One row per cluster with everything its members receive.
+#: Fields whose value comes from the best member, or else from the first that knows it.
+_FETCHED = [f for f in lx.CROSS_FILL_FIELDS if f != "price_eur"]
+
+
+def _member_order() -> Column:
+    """The order by which the best member is the greatest, as one number that hash aggregates hold.
 
-    ``best_<field>`` is the value the best member ends with; lists and score are
-    merged over all members. Every aggregate combines on the map side.
+    Filled fields and score in the upper digits, below them the place from the end; ``pos`` is
+    below 10^18.
     """
-    members = listings.filter(F.coalesce("cluster_id", F.lit("")) != "")
-    order = F.struct(filled_count(), F.coalesce("score", F.lit(0)), -F.col("pos"))
+    rank = filled_count().cast("bigint") * F.lit(1 << 33) + F.coalesce("score", F.lit(0)).cast("bigint") + F.lit(1 << 31)
+    place = (F.lit(10 ** 18 - 1).cast("bigint") - F.col("pos")).cast("decimal(18,0)")
+    return rank.cast("decimal(19,0)") * F.lit(10 ** 18).cast("decimal(19,0)") + place
 
-    def first_known(field: str) -> Column:
-        value = known(field)
-        return F.min_by(value, F.when(value.isNotNull(), F.col("pos")))
 
+def _known_mask() -> Column:
+    """Bit i is set where the member knows field i of ``_FETCHED``."""
+    bits = [F.when(known(f).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i, f in enumerate(_FETCHED)]
+    return reduce(lambda x, y: x.bitwiseOR(y), bits)
+
+
+def cluster_values(listings: DataFrame) -> DataFrame:
+    """One row per cluster of two or more with the scalars its members receive.
+
+    ``best_<field>`` is the value the best member ends with. The aggregate sees numbers only:
+    the best member's position and known fields, and the first position at which each field is
+    known. The values themselves are then fetched from the few rows at those positions.
+    """
+    members = listings.filter(F.coalesce("cluster_id", F.lit("")) != "")
     km = F.col("mileage_km")
     grouped = members.groupBy("cluster_id").agg(
-        F.count("*").alias("members"),
-        F.max_by(F.struct("pos", *lx.CROSS_FILL_FIELDS), order).alias("best"),
-        F.min("price_eur").alias("least_price"),
-        F.min(F.when(km > 0, km)).alias("least_km"),
+        F.count("*").alias("members"), F.max_by("pos", _member_order()).alias("best_pos"),
+        F.max_by(_known_mask(), _member_order()).alias("mask"),
+        F.min("price_eur").alias("least_price"), F.min(F.when(km > 0, km)).alias("least_km"),
         F.max("score").alias("best_score"),
-        *[first_known(f).alias(f"first_{f}") for f in lx.CROSS_FILL_FIELDS if f != "price_eur"],
-    )
-    own = F.col("best")
-    final = {
-        f: F.coalesce(known(f, own[f]), F.col(f"first_{f}"))
-        for f in lx.CROSS_FILL_FIELDS if f != "price_eur"
-    }
+        *[F.min(F.when(known(f).isNotNull(), F.col("pos"))).alias(f"at_{f}") for f in _FETCHED],
+    ).filter("members >= 2")
+    source = F.array(*[
+        F.struct(F.lit(i).alias("field"), F.when(F.col("mask").bitwiseAND(F.lit(1 << i)) != 0, F.col("best_pos")).otherwise(F.col(f"at_{f}")).alias("pos"))
+        for i, f in enumerate(_FETCHED)])
+    narrow = durable(grouped.select("cluster_id", "members", "best_pos", "least_price", "least_km", "best_score",
+                                    F.filter(source, lambda e: e["pos"].isNotNull()).alias("source")))
+    spots = narrow.select("cluster_id", "source", F.explode(F.array_distinct(F.col("source")["pos"])).alias("pos"))
+    values = members.select("pos", F.array(*[F.col(f).cast("string") for f in _FETCHED]).alias("values"))
+    facts = spots.join(values, "pos").select("cluster_id", F.transform(
+        F.filter("source", lambda e: e["pos"] == F.col("pos")),
+        lambda e: F.struct(e["field"].alias("field"), F.get("values", e["field"]).alias("value"))).alias("facts"))
+    told = facts.groupBy("cluster_id").agg(F.map_from_entries(F.flatten(F.collect_list("facts"))).alias("told"))
+    kinds = {f.name: f.dataType for f in listings.schema}
+    out = narrow.drop("source").join(told, "cluster_id", "left")
+    final = {f: F.col("told")[F.lit(i)].cast(kinds[f]) for i, f in enumerate(_FETCHED)}
     final["price_eur"] = F.col("least_price")
-    anchor = F.coalesce(own["mileage_km"], F.col("first_mileage_km"))
-    final["mileage_km"] = F.when(anchor <= 0, anchor).otherwise(F.col("least_km"))
-    out = grouped.select(
-        "cluster_id", "members", "best_score", own["pos"].alias("best_pos"),
-        *[v.alias(f"best_{f}") for f, v in final.items()],
-    )
+    final["mileage_km"] = F.when(final["mileage_km"] <= 0, final["mileage_km"]).otherwise(F.col("least_km"))
+    out = out.select("cluster_id", "members", "best_score", "best_pos", *[v.alias(f"best_{f}") for f, v in final.items()])
     for color in _COLORS:
         out = out.withColumn(f"{color}_base", color_base(F.col(f"best_{color}"))).join(
             _longest_spellings(members, color), ["cluster_id", f"{color}_base"], "left"
@@ -278,7 +298,7 @@ def cluster_values(listings: DataFrame) -> DataFrame:
             f"best_{color}",
             F.when(longer, F.col(f"{color}_longest")).otherwise(F.col(f"best_{color}")),
         ).drop(f"{color}_base", f"{color}_longest")
-    return out.join(_merged_arrays(members), "cluster_id", "left")
+    return out
 
 
 def _received(field: str) -> Column:
@@ -302,18 +322,21 @@ def _received(field: str) -> Column:
 def enrich_clusters(listings: DataFrame) -> DataFrame:
     """Cross-fill scalars, merge lists and propagate the best score inside clusters.
 
-    Closed form of the members' mutual exchange; clusters of one stay untouched.
+    Closed form of the members' mutual exchange; clusters of one stay untouched and take no
+    part. Scalars and lists are looked up each from a table of their own by cluster; a caller
+    with clusters of any size reads the lists from :func:`merged_items` instead.
     """
-    joined = lookup(listings, cluster_values(listings), "cluster_id", "pos")
+    values = cluster_values(listings)
+    joined = lookup(listings, values, "cluster_id", "pos")
     shared = F.col("members") >= 2
     changes = {f: F.when(shared, _received(f)).otherwise(F.col(f)) for f in lx.CROSS_FILL_FIELDS}
-    empty = F.array().cast("array<string>")
-    changes |= {
-        f: F.when(shared, F.coalesce(F.col(f"all_{f}"), empty)).otherwise(F.col(f))
-        for f in lx.MERGED_LIST_FIELDS
-    }
     changes["score"] = F.when(shared, F.col("best_score")).otherwise(F.col("score"))
-    return joined.withColumns(changes).select(*listings.columns)
+    filled = joined.withColumns(changes).select(*listings.columns, "members")
+    lists = lookup(filled, _merged_arrays(listings.join(values.select("cluster_id"), "cluster_id", "left_semi")), "cluster_id", "pos")
+    empty = F.array().cast("array<string>")
+    return lists.withColumns({
+        f: F.when(shared, F.coalesce(F.col(f"all_{f}"), empty)).otherwise(F.col(f)) for f in lx.MERGED_LIST_FIELDS
+    }).select(*listings.columns)
 
 
 # --- manual grouping --------------------------------------------------------

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from adledger import lexicon as lx
 from adledger.functions.text import blank_to_null
 from adledger.session import durable
+from adledger.operators.scan import values_at
 
 
 def state_order() -> list[Column]:
@@ -102,8 +103,9 @@ def feed_summary(listings: DataFrame) -> DataFrame:
 
 
 def median_price(listings: DataFrame) -> DataFrame:
-    """Exact median, mean of the middle pair, truncated; merges value counts, not rows."""
-    return listings.agg(F.percentile("price_eur", F.lit(0.5)).cast("int").alias("median_price_eur"))
+    """Exact median, mean of the middle pair, truncated; no task holds all values."""
+    middle = values_at(listings, "price_eur", {"low": lambda n: F.floor((n - 1) / 2), "high": lambda n: F.floor(n / 2)})
+    return middle.select(((F.col("low").cast("bigint") + F.col("high")) / 2).cast("int").alias("median_price_eur"))
 
 
 def distribution(listings: DataFrame, key: str) -> DataFrame:

@@ -9,6 +9,8 @@ the key has.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -56,3 +58,32 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "p
     """Rows with their place from 0 along ``order`` among the rows of the same ``keys``."""
     ranged = in_ranges(df, keys, order)
     return running(ranged, part_starts(ranged, keys), keys, order, name)
+
+
+def values_at(rows: DataFrame, column: str, positions: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """One row: ``n``, and the sorted non-null values of an integer column at positions that follow from n.
+
+    Works on the histogram of values in two levels. Values are 32-bit integers, so there
+    are at most 65,536 blocks of 65,536 values each: the only unpartitioned window
+    sees one row per block, whatever the size of the input.
+    """
+    width = 65_536
+    histogram = (
+        rows.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value"))
+        .agg(F.count("*").alias("c"))
+        .withColumn("block", F.floor(F.col("value") / width))
+    )
+    blocks = histogram.groupBy("block").agg(F.sum("c").alias("block_c"))
+    upto = W.orderBy("block").rowsBetween(W.unboundedPreceding, W.currentRow)
+    blocks = blocks.select(
+        "block",
+        (F.sum("block_c").over(upto) - F.col("block_c")).alias("before"),
+        F.sum("block_c").over(W.partitionBy(F.lit(1))).alias("n"),
+    )
+    inside = W.partitionBy("block").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = (
+        histogram.join(blocks, "block")
+        .withColumn("upto", F.col("before") + F.sum("c").over(inside))
+    )
+    return ranked.agg(F.max("n").alias("n"), *[
+        F.min(F.when(F.col("upto") > at(F.col("n")), F.col("value"))).alias(name) for name, at in positions.items()])

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from adledger import lexicon as lx
 from adledger.functions.text import blank_to_null, first_group, strip
+from adledger.operators.scan import values_at
 
 _FLAGS = "array<struct<field:string,severity:string,code:string,message:string>>"
 
@@ -67,39 +67,8 @@ def validation_flags() -> Column:
 
 
 def index_quartiles(history: DataFrame, column: str) -> DataFrame:
-    """One row ``n, q1, q3``: the sorted values at positions n//4 and 3n//4.
-
-    Works on the histogram of values in two levels. Values are integers, so there
-    are at most 65,536 blocks of 65,536 values each: the only unpartitioned window
-    sees one row per block, whatever the size of the history.
-    """
-    width = 65_536
-    histogram = (
-        history.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value"))
-        .agg(F.count("*").alias("c"))
-        .withColumn("block", F.floor(F.col("value") / width))
-    )
-    blocks = histogram.groupBy("block").agg(F.sum("c").alias("block_c"))
-    upto = W.orderBy("block").rowsBetween(W.unboundedPreceding, W.currentRow)
-    blocks = blocks.select(
-        "block",
-        (F.sum("block_c").over(upto) - F.col("block_c")).alias("before"),
-        F.sum("block_c").over(W.partitionBy(F.lit(1))).alias("n"),
-    )
-    inside = W.partitionBy("block").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = (
-        histogram.join(blocks, "block")
-        .withColumn("upto", F.col("before") + F.sum("c").over(inside))
-    )
-
-    def value_at(position: Column) -> Column:
-        return F.min(F.when(F.col("upto") > position, F.col("value")))
-
-    return ranked.agg(
-        F.max("n").alias("n"),
-        value_at(F.floor(F.col("n") / 4)).alias("q1"),
-        value_at(F.floor(3 * F.col("n") / 4)).alias("q3"),
-    )
+    """One row ``n, q1, q3``: the sorted values at positions n//4 and 3n//4."""
+    return values_at(history, column, {"q1": lambda n: F.floor(n / 4), "q3": lambda n: F.floor(3 * n / 4)})
 
 
 def historical_flags(price_range: Column, mileage_range: Column) -> Column:

@@ -210,12 +210,16 @@ def adoption(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.adopt(keyed, stored).select("id", "cluster_id")
 
 
-@registry.add("o_clu_4", f"""{ADOPTED} SELECT fk.id,
-  coalesce(hit.cluster, 'singleton_' || k_full) AS cluster_id FROM fk LEFT JOIN hit USING (id)""")
+ALL_FRESH = FRESH.replace(" WHERE source = 'Kleinanzeigen'", "")
+
+
+@registry.add("o_clu_4", f"""{CASCADE}, {POOL}, {ALL_FRESH}, hit AS (SELECT fl.id, arg_min(cluster, fl.r) AS cluster
+  FROM fl JOIN pool ON pool.r = fl.r AND pool.key = fl.key GROUP BY 1)
+SELECT c.id, coalesce(c.cluster, hit.cluster, 'singleton_' || k_full) AS cluster_id FROM c_legacy c LEFT JOIN hit USING (id)""")
 def clusters_against_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole assignment; the fresh odd rows are alone, so only the pool can match."""
-    fresh, stored = _sides(spark, sf_dir)
-    return clusters.assign_clusters(fresh, stored).select("id", "cluster_id")
+    """The whole assignment: pairs by the cascade, what is left by the pool, the rest alone."""
+    _, stored = _sides(spark, sf_dir)
+    return clusters.assign_clusters(pairs(spark, sf_dir), stored).select("id", "cluster_id")
 
 
 # --- inside clusters --------------------------------------------------------

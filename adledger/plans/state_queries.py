@@ -256,7 +256,7 @@ def payload_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("risk_flags").alias("n_flags"), "narrow")
 
 
-@registry.add("o_prj_6", f"""{Q} SELECT id AS listing_id, coalesce(split_part(image_txt, ';', 1), '') AS images,
+@registry.add("o_prj_6", f"""{Q} SELECT id AS listing_id, image_txt AS images,
   concat_ws(';', 'price_eur=' || price_eur, 'mileage_km=' || mileage_km, 'engine=' || engine,
     'probable_engine=' || probable_engine, 'engine_confidence=' || engine_confidence,
     'power_hp=' || power_hp, 'trim=' || trim, 'first_registration=' || first_registration,
@@ -269,7 +269,7 @@ def provider_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = schema.conform(listings(spark, sf_dir))
     pairs = F.transform(
         F.map_entries("known_fields"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
-    return enrichment.enrichment_input(rows, max_images=1).select(
+    return enrichment.enrichment_input(rows).select(
         "listing_id", F.array_join("image_urls", ";").alias("images"),
         F.array_join(pairs, ";").alias("known"))
 
