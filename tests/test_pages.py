@@ -10,7 +10,7 @@ from adledger.functions import identity
 from adledger.operators import availability, graph
 from adledger.schema import PAGE
 from adledger.sources import cards
-from adledger.sources.markup import Tree, with_markup
+from adledger.sources.markup import Tree, linked_objects, with_markup
 from adledger.sources.pages import extract_listings, split_pages
 
 
@@ -105,6 +105,16 @@ def test_canonical_url(spark):
     assert got == cases
 
 
+def test_linked_objects_equal_those_of_the_node_arrays(spark):
+    ld = '<script type="application/ld+json">{}</script>'.format
+    bodies = [None, "", "no tags <", ld('{"a":{"b":[{"c":1}]}}') + ld("[{},{\"x\":\"ü\"}]"), ld("broken"), "<p>" + ld('{"p":1}') + "</div></p>",
+              '<script>{"not":1}</script><style type="application/ld+json">{"s":1}</style>', '<script type="application/ld+json"/>{"t":1}',
+              "<template type='x application/ld+json;y'>{\"t\":2}</template><br>" + ld('{"u":3}')]
+    df = spark.createDataFrame(list(enumerate(bodies)), "k int, body string")
+    want = {(r["k"], i, o) for r in with_markup(df).collect() for i, o in enumerate(r["objects"])}
+    assert {tuple(r) for r in linked_objects(df, ["k"]).collect()} == want and len(want) >= 9
+
+
 def test_gone_page_signals(spark):
     live = ('<script type="application/ld+json">{"@graph":[{"@type":["Thing","Car"],"url":"https://o.example/1/",'
             '"offers":[{"availability":"https://schema.org/InStock"}]}]}</script>')
