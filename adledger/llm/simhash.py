@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -20,6 +20,8 @@ SHINGLE_WORDS = 3
 BANDS = 6
 BUCKET_LIMIT = 2048
 BLOCK = 4096
+#: Largest bucket that shares its block of planes with others.
+SMALL = 64
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -67,37 +69,43 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"), "text")
 
 
-def planes_of(fps: np.ndarray) -> np.ndarray:
-    """Bit planes: row i holds bit i of all fingerprints, packed 64 to a word."""
-    bits = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T
-    padded = np.zeros((64, -(-len(fps) // 64) * 64), np.uint8)
-    padded[:, : len(fps)] = bits
+def bits_of(fps: np.ndarray) -> np.ndarray:
+    """Bits stored vertically: row i holds bit i of all fingerprints."""
+    return np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T
+
+
+def packed(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits as planes of 64-bit words, zeros at the end."""
+    padded = np.zeros((64, -(-bits.shape[1] // 64) * 64), np.uint8)
+    padded[:, : bits.shape[1]] = bits
     return np.packbits(padded, axis=1, bitorder="little").view("<u8")
 
 
-def within(planes: np.ndarray, n: int, fp: int, radius: int) -> np.ndarray:
-    """Indices of the block's fingerprints at ``radius`` or fewer bits from ``fp``.
+def lanes_within(differ: Callable[[int], np.ndarray], width: int, n: int, radius: int) -> np.ndarray:
+    """Lanes among the first ``n`` whose planes ``differ(0..63)`` have at most ``radius`` bits set.
 
-    One counter per fingerprint, kept as bit slices: a differing plane is added with a
-    carry chain. ``over`` marks counters past the radius; when all are, the block is
-    abandoned.
+    One counter per lane, kept as bit slices: a differing plane is added with a carry
+    chain. ``over`` marks counters past the radius; when all are, the block is abandoned.
     """
-    width = radius.bit_length()
-    slices = [np.zeros(planes.shape[1], np.uint64) for _ in range(width)]
-    over = np.zeros(planes.shape[1], np.uint64)
+    slices = [np.zeros(width, np.uint64) for _ in range(radius.bit_length())]
+    over = np.zeros(width, np.uint64)
+    over[n // 64:] = ~np.uint64(0)
+    if n % 64:
+        over[n // 64] = ~np.uint64(0) << np.uint64(n % 64)
     ones = ~np.uint64(0)
-    steps = [t for t in range(width) if not radius >> t & 1]
+    # unless radius + 1 is a power of two, the counter is compared with the radius
+    steps = not all(radius >> t & 1 for t in range(len(slices)))
     for i in range(64):
-        carry = ~planes[i] if fp >> i & 1 else planes[i].copy()
+        carry = differ(i).copy()
         for s in slices:
             s_old = s.copy()
             s ^= carry
             carry &= s_old
         over |= carry
-        if steps:  # radius + 1 is not a power of two: compare the counter with it
+        if steps:
             above = np.zeros_like(over)
             equal = np.full_like(over, ones)
-            for t in reversed(range(width)):
+            for t in reversed(range(len(slices))):
                 if radius >> t & 1:
                     equal &= slices[t]
                 else:
@@ -106,48 +114,69 @@ def within(planes: np.ndarray, n: int, fp: int, radius: int) -> np.ndarray:
             over |= above
         if i % 4 == 3 and (over == ones).all():
             return np.empty(0, np.int64)
-    near = np.unpackbits((~over).view(np.uint8), bitorder="little")[:n]
-    return np.flatnonzero(near)
+    return np.flatnonzero(np.unpackbits((~over).view(np.uint8), bitorder="little")[:n])
 
 
-def links_in(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Edges that connect all fingerprints of a bucket linked inside it: at most one per fingerprint.
+def within(planes: np.ndarray, n: int, fp: int, radius: int) -> np.ndarray:
+    """Indices of the block's fingerprints at ``radius`` or fewer bits from ``fp``."""
+    return lanes_within(lambda i: ~planes[i] if fp >> i & 1 else planes[i], planes.shape[1], n, radius)
 
-    ``fps`` are distinct. Union-find over bit-sliced comparisons of each fingerprint with
-    the blocks from its own onwards; each join of two groups gives one edge.
-    """
-    n = len(fps)
-    root = list(range(n))
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
+class Groups:
+    """Union-find that keeps the edges which joined two groups."""
+
+    def __init__(self, n: int) -> None:
+        self.root, self.edges = list(range(n)), []
+
+    def join(self, i: int, k: int) -> None:
+        root = self.root
+        a, b = i, k
+        while root[a] != a:
+            root[a] = root[root[a]]
+            a = root[a]
+        while root[b] != b:
+            root[b] = root[root[b]]
+            b = root[b]
+        if a != b:
+            root[b] = a
+            self.edges.append((i, k))
 
-    edges = []
+
+def links_in(fps: np.ndarray, bucket: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Edges that connect all fingerprints linked inside their bucket: at most one per fingerprint.
+
+    ``fps`` are distinct within a bucket and its rows adjacent. Buckets of up to ``SMALL`` share
+    blocks of planes: at distances 1, 2, ... every row is compared with the one so far on, where
+    that is of its bucket, all rows of a block at once. Each row of a larger bucket is compared
+    with the bucket's blocks from its own onwards.
+    """
     signed = fps.view(np.int64)
-    if n <= 32:
-        for i in range(n - 1):
-            apart = np.bitwise_count(fps[i + 1:] ^ fps[i])
-            for j in np.flatnonzero(apart <= radius):
-                a, b = find(i), find(i + 1 + int(j))
-                if a != b:
-                    root[b] = a
-                    edges.append((int(signed[i]), int(signed[i + 1 + int(j)])))
-        return edges
-    for at in range(0, n, BLOCK):
-        block = fps[at:at + BLOCK]
-        planes = planes_of(block)
-        for i in range(min(n, at + len(block))):
-            for j in within(planes, len(block), int(fps[i]), radius):
-                k = at + int(j)
-                if k > i:
-                    a, b = find(i), find(k)
-                    if a != b:
-                        root[b] = a
-                        edges.append((int(signed[i]), int(signed[k])))
-    return edges
+    groups = Groups(len(fps))
+    starts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
+    sizes = np.diff(starts)
+    # rows of small buckets, in blocks; a bucket that crosses an edge of a block meets its rest there
+    small = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= SMALL), sizes))
+    for at in range(0, len(small), BLOCK):
+        rows = small[at:at + BLOCK + SMALL]
+        bits, own = bits_of(fps[rows]), bucket[rows]
+        left = np.arange(min(BLOCK, len(rows)))
+        for step in range(1, SMALL):
+            left = left[left + step < len(rows)]
+            left = left[own[left] == own[left + step]]
+            if not len(left):
+                break
+            planes = packed(bits[:, left] ^ bits[:, left + step])
+            for lane in lanes_within(planes.__getitem__, planes.shape[1], len(left), radius):
+                groups.join(int(rows[left[lane]]), int(rows[left[lane] + step]))
+    for first, size in zip(starts[:-1][sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+        for at in range(0, size, BLOCK):
+            block = fps[first + at:first + min(at + BLOCK, size)]
+            planes = packed(bits_of(block))
+            for i in range(min(size, at + len(block))):
+                for j in within(planes, len(block), int(fps[first + i]), radius):
+                    if at + int(j) > i:
+                        groups.join(first + i, first + at + int(j))
+    return [(int(signed[i]), int(signed[k])) for i, k in groups.edges]
 
 
 def band_keys(fp: Column, bits: list[int], bands: int, radius: int) -> list[Column]:
@@ -173,44 +202,36 @@ def _compare(rows: DataFrame, keys: list[str], radius: int) -> DataFrame:
     """Edges inside each bucket of (keys, fp) rows; a bucket is bounded by the caller."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        last: tuple | None = None
-
-        def edges_of(arrays: list[np.ndarray]) -> list[tuple[int, int]]:
-            fps = np.unique(np.concatenate(arrays)).view(np.uint64)
-            return links_in(fps, radius) if len(fps) > 1 else []
+        held: list[list[np.ndarray]] = []
 
-        def batch_of(edges: list[tuple[int, int]]) -> pa.RecordBatch:
-            u, v = zip(*edges, strict=True) if edges else ((), ())
+        def edges_of(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+            columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+            new = np.zeros(len(columns[-1]), bool)
+            for c in columns[:-1]:
+                new[1:] |= c[1:] != c[:-1]
+            bucket = np.cumsum(new)
+            # sorted by fingerprint inside a bucket, so repeats are neighbours
+            keep = np.ones(len(bucket), bool)
+            keep[1:] = (bucket[1:] != bucket[:-1]) | (columns[-1][1:] != columns[-1][:-1])
+            u, v = zip(*edges, strict=True) if (edges := links_in(columns[-1][keep].view(np.uint64), bucket[keep], radius)) else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             columns = [np.asarray(batch.column(i)) for i in range(batch.num_columns)]
-            fp = columns[-1]
-            change = np.zeros(len(fp), bool)
-            for c in columns[:-1]:
-                change[1:] |= c[1:] != c[:-1]
-            starts = np.concatenate([[0], np.flatnonzero(change)])
-            ends = np.concatenate([starts[1:], [len(fp)]])
-            edges: list[tuple[int, int]] = []
-            first = tuple(int(c[0]) for c in columns[:-1])
-            if last is not None and first != last:
-                edges += edges_of(held)
+            change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns[:-1]], axis=0)) + 1
+            if held and any(h[-1] != c[0] for h, c in zip(held[-1][:-1], columns[:-1], strict=True)):
+                yield edges_of(held)
+                held = []
+            # the last bucket may go on in the next batch
+            last = int(change[-1]) if len(change) else 0
+            if last:
+                yield edges_of([*held, [c[:last] for c in columns]])
                 held = []
-            if len(starts) > 1:
-                edges += edges_of([*held, fp[: ends[0]]])
-                held = [fp[starts[-1]:]]
-                for a, b in zip(starts[1:-1].tolist(), ends[1:-1].tolist(), strict=True):
-                    if b - a > 1:
-                        edges += edges_of([fp[a:b]])
-            else:
-                held.append(fp)
-            last = tuple(int(c[-1]) for c in columns[:-1])
-            yield batch_of(edges)
+            held.append([c[last:] for c in columns])
         if held:
-            yield batch_of(edges_of(held))
+            yield edges_of(held)
 
     ordered = rows.select(*keys, "fp").repartition(*keys).sortWithinPartitions(*keys, "fp")
     return ordered.mapInArrow(run, "u bigint, v bigint")

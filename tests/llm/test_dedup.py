@@ -130,12 +130,52 @@ def test_bit_slices(radius):
     rng = np.random.default_rng(radius)
     fps = rng.integers(0, 2**63, 300).astype(np.uint64)
     fps[1::2] = fps[::2] ^ (np.uint64(1) << rng.integers(0, 63, 150).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 63, 150).astype(np.uint64))
-    planes = simhash.planes_of(fps)
+    planes = simhash.packed(simhash.bits_of(fps))
     for x in fps[:40]:
         want = np.flatnonzero(np.bitwise_count(fps ^ x) <= radius)
         assert simhash.within(planes, len(fps), int(x), radius).tolist() == want.tolist()
 
 
+@pytest.mark.parametrize("block", [70, 4096])
+def test_packed_buckets(monkeypatch, block):
+    """Buckets of all sizes in shared blocks give the components of each, and no link between two."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(block)
+    fps, bucket = [], []
+    for b, size in enumerate([1, 2, 1, 1, 5, 63, 64, 65, 2, 150, 3, 1, 30, 30, 30, 2, 1]):
+        own = {rng.getrandbits(64)}
+        while len(own) < size:
+            x = rng.choice(sorted(own))
+            for _ in range(rng.randrange(1, 6)):
+                x ^= 1 << rng.randrange(64)
+            own.add(x)
+        fps += sorted(own)
+        bucket += [b] * size
+    edges = simhash.links_in(np.array(fps, np.uint64), np.array(bucket), 3)
+    got, want = ({i: i for i in range(len(fps))} for _ in range(2))
+    place = {(f, b): i for i, (f, b) in enumerate(zip(fps, bucket))}
+    assert len(place) == len(fps) and len(edges) < len(fps)
+
+    def find(root, x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    def join(root, i, k):
+        i, k = sorted((find(root, i), find(root, k)))
+        root[k] = i
+
+    by_value = {f: i for i, f in enumerate(fps)}
+    for u, v in edges:
+        assert ((u ^ v) & (1 << 64) - 1).bit_count() <= 3
+        join(got, by_value[u % (1 << 64)], by_value[v % (1 << 64)])
+    for i in range(len(fps)):
+        for k in range(i):
+            if bucket[i] == bucket[k] and (fps[i] ^ fps[k]).bit_count() <= 3:
+                join(want, i, k)
+    assert {i: find(got, i) for i in got} == {i: find(want, i) for i in want}
+
+
 def test_crowded_buckets_lose_no_link(spark):
     """A bucket over the limit is split by further bits with the same components."""
     rng = random.Random(5)
