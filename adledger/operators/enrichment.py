@@ -40,12 +40,24 @@ def call_provider(inputs: DataFrame, make_provider: Callable[[], Callable[[dict]
     """Run a user's provider over Arrow batches, one instance per task.
 
     ``make_provider()`` returns a function from one input record to one result
-    record. A failing record yields a row with ``error`` instead of failing the job.
+    record. A failing record yields a row with ``error`` instead of failing the job, and so do
+    all records of a task in which the provider cannot start.
     """
     names = [f.name for f in _RESULT]
 
+    def started() -> Callable[[dict], dict]:
+        try:
+            return make_provider()
+        except Exception as exc:  # a provider may raise anything
+            why = f"provider did not start: {exc}"
+
+        def refuse(record: dict) -> dict:
+            raise RuntimeError(why)
+
+        return refuse
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        provider = make_provider()
+        provider = started()
         for batch in batches:
             rows = []
             for record in batch.to_dict("records"):
@@ -60,6 +72,12 @@ def call_provider(inputs: DataFrame, make_provider: Callable[[], Callable[[dict]
     return inputs.mapInPandas(run, _RESULT)
 
 
+def provider_warnings(results: DataFrame) -> DataFrame:
+    """(scope, message) for each kind of error of a provider, with the number of records."""
+    return results.filter("error IS NOT NULL").groupBy("error").agg(F.count("*").alias("n")).select(
+        F.lit("AI enrichment").alias("scope"), F.concat("error", F.lit(" ("), F.col("n").cast("string"), F.lit(")")).alias("message"))
+
+
 def merge_unique(existing: Column, additions: Column) -> Column:
     """Append additions not yet present, ignoring case and white space."""
     empty = F.array().cast("array<string>")

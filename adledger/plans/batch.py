@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,8 +12,7 @@ from pyspark.sql import types as T
 
 from adledger import schema
 from adledger.operators.clusters import assign_clusters, enrich_clusters
-from adledger.operators.dedupe import dedupe_urls
-from adledger.operators.enrichment import call_provider, enrichment_input, merge_results
+from adledger.operators.enrichment import call_provider, enrichment_input, merge_results, provider_warnings
 from adledger.operators.scoring import with_score
 from adledger.operators.state import Upsert, upsert
 from adledger.operators.validation import crawl_quality, quality_message
@@ -37,6 +37,8 @@ SNAPSHOT = T.StructType([
 
 
 class Run(NamedTuple):
+    """What a run would write, and its warnings (``scope, message``)."""
+
     upsert: Upsert
     warnings: DataFrame
 
@@ -53,13 +55,13 @@ def run_listings(
     """
     clustered = durable(assign_clusters(fresh, stored))
     enriched = enrich_clusters(clustered)
+    warnings = crawl_quality(clustered).select("scope", quality_message().alias("message"))
     if provider is not None:
-        results = call_provider(enrichment_input(enriched, max_images=max_images), provider)
+        results = durable(call_provider(enrichment_input(enriched, max_images=max_images), provider))
         enriched = merge_results(enriched, results)
+        warnings = warnings.unionByName(provider_warnings(results))
     scored = durable(with_score(enriched, scoring))
-    return Run(
-        upsert(scored, stored, captured_at, overrides=overrides), crawl_quality(clustered)
-    )
+    return Run(upsert(scored, stored, captured_at, overrides=overrides), warnings)
 
 
 def run_pages(
@@ -67,14 +69,21 @@ def run_pages(
     sources: list[str] | None = None, overrides: DataFrame | None = None, provider=None,
     scoring: dict | None = None,
 ) -> DataFrame:
-    """A whole run over captured pages; returns its warnings (``scope, message``)."""
+    """A whole run over captured pages; returns its warnings (``scope, message``).
+
+    A run that had been staged before is only put in place; its warnings are those of the pages.
+    """
     usable, problems = split_pages(pages, sources)
     listings = durable(extract_listings(usable, scoring=scoring))
-    store_run(folder, version, lambda: run_listings(
-        listings, folder.state.read(), captured_at, overrides=overrides, provider=provider, scoring=scoring))
-    return problems.select(
-        F.col("source").alias("scope"), F.concat_ws(": ", "url", "problem").alias("message")
-    ).unionByName(crawl_quality(dedupe_urls(listings)).select("scope", quality_message().alias("message")))
+    told = [problems.select(F.col("source").alias("scope"), F.concat_ws(": ", "url", "problem").alias("message"))]
+
+    def run() -> Run:
+        result = run_listings(listings, folder.state.read(), captured_at, overrides=overrides, provider=provider, scoring=scoring)
+        told.append(result.warnings)
+        return result
+
+    store_run(folder, version, run)
+    return reduce(DataFrame.unionByName, told)
 
 
 def listing_folder(spark: SparkSession, root: str, buckets: int = BUCKETS) -> BatchFolder:

@@ -11,7 +11,6 @@ from adledger import lexicon as lx
 from adledger import schema
 from adledger.functions import identity
 from adledger.operators import enrichment, state
-from adledger.operators.validation import crawl_quality
 from adledger.plans import listing_queries as lq
 from adledger.plans.batch import SNAPSHOT, Run, listing_folder, store_run
 from adledger.plans.bindings import K, LISTINGS, listings, sql, table, with_lists
@@ -105,7 +104,7 @@ def stored_and_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder.state.put(stored)
 
     def run() -> Run:
-        return Run(state.upsert(fresh, folder.state.read(), _now()), crawl_quality(fresh))
+        return Run(state.upsert(fresh, folder.state.read(), _now()), fresh.limit(0))
 
     for _ in range(2):
         store_run(folder, "second", run)

@@ -9,7 +9,7 @@ from pyspark.sql.readwriter import DataFrameWriter
 
 from adledger import lexicon as lx
 from adledger.operators import history
-from adledger.plans.batch import SNAPSHOT, listing_folder
+from adledger.plans.batch import SNAPSHOT, listing_folder, run_pages
 from adledger.plans.bindings import events
 from adledger.sources.state_table import BatchFolder, Staged
 from adledger.streaming import ingest, transitions
@@ -131,6 +131,17 @@ def test_pages_become_state(spark, tmp_path):
     assert folder.log("snapshots", SNAPSHOT).count() == 4
 
 
+def test_a_provider_that_cannot_start_is_a_warning(spark, tmp_path):
+    def broken():
+        raise OSError("no model")
+
+    body = "<article><a href='/de/d/1'>Corvette C6 LS3 | 1</a><b class='_i2QOc'>41.000 €</b></article>"
+    folder = listing_folder(spark, str(tmp_path / "store"))
+    warnings = run_pages(pages(spark, [{"source": lx.AUTOUNCLE, "body": body}]), folder, F.lit(at(0)), "one", provider=broken).collect()
+    assert ("AI enrichment", "provider did not start: no model (1)") in {tuple(r) for r in warnings}
+    assert [r["price_eur"] for r in folder.state.read().collect()] == [41000]
+
+
 class Lost(Exception):
     pass
 
