@@ -113,10 +113,10 @@ def test_hypergeometric_follows_the_distribution(spark):
     for x in range(14):
         p = math.comb(big_k, x) * math.comb(big_n - big_k, n - x) / math.comb(big_n, n)
         assert abs(got[x] - runs * p) < 5 * math.sqrt(runs * p) + 3
-    large = spark.range(300).select(mixing.hypergeometric(F.lit(10 ** 9), F.lit(4 * 10 ** 8), F.lit(5 * 10 ** 8), mixing.uniform("id")).alias("x"))
+    large = spark.range(60).select(mixing.hypergeometric(F.lit(10 ** 9), F.lit(4 * 10 ** 8), F.lit(5 * 10 ** 8), mixing.uniform("id")).alias("x"))
     at = [r["x"] for r in large.collect()]
     deviation = math.sqrt(5e8 * .4 * .6 * .5)
-    assert abs(sum(at) / 300 - 2e8) < deviation / 3 and len(set(at)) > 250
+    assert abs(sum(at) / 60 - 2e8) < deviation * .7 and len(set(at)) > 50
     edges = spark.createDataFrame([(0, 0, 0, .5), (5, 5, 3, .9), (5, 0, 3, .9), (5, 3, 0, .1), (5, 3, 5, 0.0)], "a long, b long, c long, u double")
     assert [r["x"] for r in edges.select(mixing.hypergeometric(*[F.col(c) for c in "abcu"]).alias("x")).collect()] == [0, 3, 0, 0, 3]
 
