@@ -94,7 +94,7 @@ def sketch_of(values: np.ndarray) -> bytes:
     """Parity of the elements by a few bits of their hash: two sets differ in at least as many
     elements as their sketches in bits. The size follows the set's."""
     least, most = SKETCH_BITS
-    bits = min(most, max(least, 1 << int(0.7 * len(values)).bit_length()))
+    bits = min(most, max(least, 1 << (2 * len(values)).bit_length()))
     parity = np.bincount((values >> 20) & (bits - 1), minlength=bits).astype(np.uint8) & 1
     return np.packbits(parity, bitorder="little").tobytes()
 
@@ -284,9 +284,11 @@ def similar_links(docs: DataFrame, rows: DataFrame, size: int, roots: DataFrame)
 
     ``docs``: doc_id, _h, text. ``rows``: the same documents as doc_id, _h, fp, sid, n, sketch, small.
     ``roots`` (fp, root): what is linked already. With the links given, the components are those
-    of all similar pairs. All members of a shared shingle are compared with the one of the
-    smallest root first, so a group of near copies is linked without comparing every two;
-    then those that still have different roots, in cells of bounded size.
+    of all similar pairs. All members of a shared shingle are compared with one of them first,
+    so a group of near copies is linked without comparing every two; then those that still have
+    different roots, in cells of bounded size. The one is that in whose order the shingle comes
+    earliest: few seldom shingles stand before it, so it has few changes and is the centre of copies
+    that are near it, but not near each other.
     """
     rows = rows.where("n > 0")
     nodes = cut(rows.groupBy("sid").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("small").alias("small"),
@@ -303,8 +305,9 @@ def similar_links(docs: DataFrame, rows: DataFrame, size: int, roots: DataFrame)
         """Members, with their root, of shingles that still have several roots: and m, the number, and the pivot."""
         named = cut(fp_of.join(roots, "fp", "left").select("sid", F.coalesce("root", "fp").alias("root")))
         rooted = lookup(members, named, "sid", "x")
-        pivots = rooted.groupBy("x").agg(F.min(F.struct("root", "sid", "n", "pos")).alias("pivot"), F.max("root").alias("other"), F.count("*").alias("m"))
-        return lookup(rooted, cut(pivots.where("pivot.root <> other")), "x", "sid").where("pivot is not null")
+        pivots = rooted.groupBy("x").agg(F.min(F.struct("pos", "root", "sid", "n")).alias("pivot"),
+                                         F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("m"))
+        return lookup(rooted, cut(pivots.where("least <> most").drop("least", "most")), "x", "sid").where("pivot is not null")
 
     def links(pairs: DataFrame) -> DataFrame:
         """Pairs of sids as pairs of their fingerprints."""
@@ -312,23 +315,25 @@ def similar_links(docs: DataFrame, rows: DataFrame, size: int, roots: DataFrame)
         return cut(left.join(fp_of.select(F.col("sid").alias("sid2"), F.col("fp").alias("v")), "sid2").select("u", "v").where("u <> v"))
 
     def sketched(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sketches do not rule them out."""
+        """Pairs whose sketches do not rule them out, with the distance ``d`` of these."""
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 n, n2 = np.asarray(batch.column(1)), np.asarray(batch.column(3))
                 most = (n + n2 - 2 * needed(n + n2)).tolist()
-                near = [apart(a.as_py(), b.as_py()) <= k for a, b, k in zip(batch.column(4), batch.column(5), most, strict=True)]
-                yield batch.select(["sid", "n", "sid2", "n2"]).filter(pa.array(near, pa.bool_()))
+                d = [apart(a.as_py(), b.as_py()) for a, b in zip(batch.column(4), batch.column(5), strict=True)]
+                near = [k <= m for k, m in zip(d, most, strict=True)]
+                told = batch.select(["sid", "n", "sid2", "n2"]).add_column(4, "d", pa.array(d, pa.int32()))
+                yield told.filter(pa.array(near, pa.bool_()))
 
         both = lookup(lookup(pairs, sketch_by, "sid", "sid2"), sketch_by.select(F.col("sid").alias("sid2"), F.col("sketch").alias("sketch2")), "sid2", "sid")
-        return both.select("sid", "n", "sid2", "n2", "sketch", "sketch2").mapInArrow(run, "sid bigint, n int, sid2 bigint, n2 int")
+        return both.select("sid", "n", "sid2", "n2", "sketch", "sketch2").mapInArrow(run, "sid bigint, n int, sid2 bigint, n2 int, d int")
 
     num, den = SIMILAR
     star = mixed(roots).where("root <> pivot.root").select("sid", "n", "pos", *[F.col(f"pivot.{c}").alias(f"{c}2") for c in ("sid", "n", "pos")])
     overlap = F.least("pos", "pos2") + 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("n2") - F.col("pos2") - 1)
     star = star.where((overlap * (num + den) >= (F.col("n") + F.col("n2")) * num) & (F.least("n", "n2") * den >= F.greatest("n", "n2") * num))
     star = sketched(cut(star.select("sid", "n", "sid2", "n2").distinct()))
-    one = star.groupBy("sid", "n").agg(F.min(F.struct("sid2", "n2")).alias("_to")).select("sid", "n", "_to.*")
+    one = star.groupBy("sid", "n").agg(F.min(F.struct("d", "sid2", "n2")).alias("_to")).select("sid", "n", "_to.sid2", "_to.n2")
     first = same.union(links(verified(one, docs, nodes, size)))
     rest = mixed(widened(roots, first)).withColumn("_k", F.ceil(F.col("m") / F.lit(CELL)).cast("int"))
     rest = rest.withColumn("side", F.pmod(F.xxhash64("sid"), F.col("_k")).cast("int"))
@@ -336,7 +341,7 @@ def similar_links(docs: DataFrame, rows: DataFrame, size: int, roots: DataFrame)
     rest = lookup(rest, nodes.select("sid", "small"), "sid", "x").select("x", F.least("side", "_other").alias("i"), F.greatest("side", "_other").alias("j"), "side", "n", "pos", "sid", "root", "small")
     second = compare_cells(rest).select(*[F.when(F.col("sid") <= F.col("sid2"), F.col(a)).otherwise(F.col(b)).alias(a) for a, b in
                                           (("sid", "sid2"), ("n", "n2"), ("sid2", "sid"), ("n2", "n"))]).distinct()
-    return first.union(links(verified(sketched(cut(second)), docs, nodes, size)))
+    return first.union(links(verified(sketched(cut(second)).drop("d"), docs, nodes, size)))
 
 
 def widened(roots: DataFrame, links: DataFrame) -> DataFrame:
