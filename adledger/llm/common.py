@@ -8,6 +8,8 @@ names are ignored, whatever they are called.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,6 +72,19 @@ def once(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(repeated, keys, "left_anti").union(rows.join(repeated, keys, "left_semi").dropDuplicates(keys))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
+    """Whole texts go to Python workers in batches of ``rows`` while jobs run in this block; the
+    session's own setting holds again after it. Keeps buffers of workers and executors small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``stored`` for the rounds of a loop. A checkpoint keeps the size estimate of its plan, a
     product over joins that has twice the digits after each round and stalls the planner;

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adledger.llm.common import components, cut, join_on, once
+from adledger.llm.common import components, cut, join_on, once, small_batches
 from adledger.operators.skew import lookup
 
 #: Least Jaccard similarity of linked sets, as a fraction.
@@ -156,7 +156,9 @@ def slot_uses(docs: DataFrame, size: int) -> np.ndarray:
 
     rows = docs.select("text").mapInArrow(run, "slot bigint, uses bigint").groupBy("slot").agg(F.sum("uses").alias("uses"))
     table = np.zeros(USE_SLOTS, np.int64)
-    for row in rows.collect():  # at most USE_SLOTS rows
+    with small_batches(docs.sparkSession):
+        found = rows.collect()  # at most USE_SLOTS rows
+    for row in found:
         table[row["slot"]] = row["uses"]
     return table
 
@@ -269,7 +271,8 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int) ->
     slots = wanted.select(slot()).distinct()
     read = docs.select("doc_id", "_h", "text", slot()).join(F.broadcast(slots), "_slot", "left_semi")  # at most READ_SLOTS rows
     made = read.select("doc_id", "_h", "text").mapInArrow(run, "doc_id bigint, _h bigint, shingles array<bigint>")
-    of = once(cut(join_on(made, wanted, ["doc_id", "_h"]).select("sid", "shingles")), ["sid"])
+    with small_batches(docs.sparkSession):
+        of = once(cut(join_on(made, wanted, ["doc_id", "_h"]).select("sid", "shingles")), ["sid"])
     sides = pairs.select("sid", "sid2", F.explode(F.array("sid", "sid2")).alias("_of"))
     # a set that many pairs ask for is copied in as many tasks as there are salts
     both = lookup(sides, of.withColumnRenamed("sid", "_of"), "_of", F.xxhash64("sid", "sid2"))
@@ -297,8 +300,9 @@ def similar_links(docs: DataFrame, rows: DataFrame, size: int, roots: DataFrame)
     same = cut(same.select(F.col("fp").alias("u"), "v"))
     uses = slot_uses(docs, size)
     head = prefixes(docs, size, uses)
-    shared = cut(head.groupBy("x").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a < b").select("x"))
-    members = cut(head.join(shared, "x").select("x", "sid", "n", "pos").distinct())
+    with small_batches(docs.sparkSession):
+        shared = cut(head.groupBy("x").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a < b").select("x"))
+        members = cut(head.join(shared, "x").select("x", "sid", "n", "pos").distinct())
     fp_of, sketch_by = nodes.select("sid", "fp"), nodes.select("sid", "sketch")
 
     def mixed(roots: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adledger.llm.common import components, cut, fresh, join_on
+from adledger.llm.common import components, cut, fresh, join_on, small_batches
 from adledger.llm.set_links import set_nodes, similar_links, widened
 from adledger.operators.skew import lookup
 from adledger.session import durable
@@ -291,7 +291,8 @@ def near_groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius: int
     roots = durable(linked(nodes.select("fp"), radius).withColumnRenamed("node", "fp"))
     if set_words:
         texts = keyed(docs)
-        sets = cut(set_nodes(texts, set_words).distinct())
+        with small_batches(docs.sparkSession):
+            sets = cut(set_nodes(texts, set_words).distinct())
         with_sets = cut(join_on(rows.distinct(), sets, ["doc_id", "_h"]))
         roots = widened(roots, similar_links(texts, with_sets, set_words, roots))
     named = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
