@@ -86,9 +86,14 @@ def run_pages(
     return reduce(DataFrame.unionByName, told)
 
 
-def listing_folder(spark: SparkSession, root: str, buckets: int = BUCKETS) -> BatchFolder:
-    """State of listings with a log of their snapshots."""
-    return BatchFolder(spark, root, STATE, "id", buckets)
+def with_prices(columns: T.StructType, prices: T.DataType) -> T.StructType:
+    """``columns`` with all prices of type ``prices``."""
+    return T.StructType([T.StructField(f.name, prices) if f.name in ("price_eur", "previous_price_eur") else f for f in columns])
+
+
+def listing_folder(spark: SparkSession, root: str, buckets: int = BUCKETS, prices: T.DataType = T.IntegerType()) -> BatchFolder:
+    """State of listings with a log of their snapshots; ``prices`` is the type that listings bring."""
+    return BatchFolder(spark, root, with_prices(STATE, prices), "id", buckets)
 
 
 def store_run(folder: BatchFolder, version: str, run: Callable[[], Run]) -> None:

@@ -7,6 +7,8 @@ shape the input only, never the result of an operator. ``k`` below is the order
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -153,7 +155,9 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return project(spread(table(spark, sf_dir, "orders")), PAIRS)
+    """The pairs with a price that grows with the order key, wide enough for any of them."""
+    wide = PAIRS | {"price_eur": re.sub(r"as int\)$", "as bigint)", PAIRS["price_eur"])}
+    return project(spread(table(spark, sf_dir, "orders")), wide)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from adledger import schema
 from adledger.plans import cluster_queries as cq
 from adledger.plans import history_queries as hq
-from adledger.plans.batch import SNAPSHOT, listing_folder
+from adledger.plans.batch import SNAPSHOT, listing_folder, with_prices
 from adledger.plans.bindings import EVENTS, instant, pairs, table
 from adledger.plans.registry import Registry
 from adledger.session import work_path
@@ -88,11 +89,15 @@ def repeated_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ingested(spark: SparkSession, sf_dir: str, arrivals: list[str]) -> DataFrame:
     inbox, offsets = work_path(spark, "inbox"), work_path(spark, "offsets")
-    folder = listing_folder(spark, work_path(spark, "listings"))
-    fresh = schema.conform(pairs(spark, sf_dir), keep=("pos",)).drop("cluster_id")
+    folder = listing_folder(spark, work_path(spark, "listings"), prices=T.LongType())
+    wide = pairs(spark, sf_dir).withColumnRenamed("price_eur", "wide_price")
+    fresh = schema.conform(wide, keep=("pos", "wide_price")).drop("cluster_id", "price_eur").withColumnRenamed("wide_price", "price_eur")
     for some in arrivals:
         fresh.filter(some).write.mode("append").parquet(inbox)
         stream = spark.readStream.schema(fresh.schema).parquet(inbox)
         ingest.ingest_listings(stream, folder, offsets).awaitTermination()
-    snaps = folder.log("snapshots", SNAPSHOT).groupBy(F.col("listing_id").alias("id")).agg(F.count("*").alias("snapshots"))
-    return folder.state.read().join(snaps, "id").select("id", "cluster_id", "price_eur", "change_type", "snapshots")
+    snaps = folder.log("snapshots", with_prices(SNAPSHOT, T.LongType())).groupBy(F.col("listing_id").alias("id")).agg(F.count("*").alias("snapshots"))
+    rows = folder.state.read().join(snaps, "id").select("id", "cluster_id", "price_eur", "change_type", "snapshots")
+    # an integer like the SQL's while all prices fit; larger ones stay as they are
+    top = folder.state.read().agg(F.max("price_eur")).first()[0] or 0
+    return rows.withColumn("price_eur", F.col("price_eur").cast("int")) if top < 1 << 31 else rows
