@@ -15,7 +15,7 @@ from adledger.functions.text import blank_to_null, squash
 from adledger.operators.normalize import damage_columns, normalize_listings, power_columns
 from adledger.plans.bindings import K, table
 from adledger.plans.registry import Registry
-from adledger.session import spread
+from adledger.session import dealt, spread
 
 registry = Registry()
 
@@ -354,7 +354,7 @@ SELECT {K} AS order_id,
          * 2)} AS price_label
 FROM orders""")
 def price_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cards = spread(table(spark, sf_dir, "orders")).selectExpr(
+    cards = dealt(table(spark, sf_dir, "orders")).selectExpr(
         f"{K} AS pos", "'AutoUncle' AS source", f"cast({K} as string) AS source_listing_id",
         f"concat('https://x.example/', cast({K} as string)) AS url", f"{TEXT5} AS title",
         "'' AS description", f"{PRICE5} AS price_text", "cast(null as string) AS location_raw",
@@ -384,7 +384,7 @@ SELECT {K} AS order_id, concat('autouncle_', left(sha1(cast({K} AS string)), 10)
 FROM orders WHERE {K} % 3 < 2""")
 def whole_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules in one projection; ads for other cars are dropped, none fails the run."""
-    cards = spread(table(spark, sf_dir, "orders")).selectExpr(
+    cards = dealt(table(spark, sf_dir, "orders")).selectExpr(
         f"{K} AS pos", "'AutoUncle' AS source", f"cast({K} as string) AS source_listing_id",
         f"concat('https://x.example/', cast({K} as string)) AS url", f"{AD_TITLE} AS title",
         f"{AD_TEXT} AS description", "'' AS price_text", "cast(null as string) AS location_raw",

@@ -1,7 +1,9 @@
 """Page extraction on hand-written pages, odd markup included, and availability."""
 
 import datetime as dt
+import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from adledger import lexicon as lx
@@ -9,7 +11,8 @@ from adledger.functions import availability as rules
 from adledger.functions import identity
 from adledger.operators import availability, graph
 from adledger.schema import PAGE
-from adledger.sources import cards
+from adledger.session import dealt
+from adledger.sources import cards, markup
 from adledger.sources.markup import Tree, linked_objects, with_markup
 from adledger.sources.pages import extract_listings, split_pages
 
@@ -178,3 +181,29 @@ def test_staleness(spark):
     now = F.lit("2024-01-01 00:06:40").cast("timestamp")
     assert [r[0] for r in df.select(rules.is_stale(F.col("t"), now)).collect()] == [True, False, True, True]
     assert all(r[0] for r in df.select(rules.is_stale(F.col("t"), now, force=True)).collect())
+
+
+def test_plain_markup_is_read_as_by_the_parser():
+    """The column reader gives the parser's nodes for any page, and takes plain pages itself."""
+    rnd = random.Random(5)
+    bits = ["<p>", "</p>", '<b class="a b">', "</b>", "<br>", "text &amp; x", "a < b", "&lt", "<script>var a=1;</script>",
+            '<script type="application/ld+json">{"a":{"b":1}}</script>', "<!-- c -->", '<div id="1" id="2">', "</div>", "<style>x{}</style>",
+            "<template>", "t", "</template>", "<title>q&amp;</title>", "<IMG SRC=x>", "<br/>", '<a href="x?a&amp;b">', "</a>", "<li>",
+            "<script>if(a<b)</script>", "<!doctype html>", "&", "<", "<x-y>", "<input disabled>", "é€", "\x00", "<textarea>"]
+    pages = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 12))) for _ in range(3000)] + [None, ""]
+    got = [row for part in markup._marked(pa.array(pages, pa.string())) for row in part.to_pylist()]
+    assert got == pa.array([markup._parse(p) for p in pages], type=markup._ARROW).to_pylist()
+    plain = '<ul class="x"><li>one<br>two &amp; three<li><a href="/a">l</a></ul><!-- c --><script>var x = 1;</script>end'
+    assert markup._Columns()._plain(plain)
+
+
+def test_marked_pages_leave_in_small_batches():
+    pages = pa.array(["<p>x</p>"] * 1000)
+    assert max(len(part) for part in markup._marked(pages)) <= markup.PAGES_AT_ONCE
+
+
+def test_rows_are_dealt_evenly(spark, tmp_path):
+    """One file with one row group: all rows would be work of one task."""
+    spark.range(60_000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    sizes = [len(p) for p in dealt(spark.read.parquet(str(tmp_path / "t")), 4_000).rdd.glom().collect()]
+    assert sum(sizes) == 60_000 and len(sizes) == 15 and max(sizes) < 6_000
