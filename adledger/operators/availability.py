@@ -43,18 +43,26 @@ def classify_checks(checks: DataFrame, captures: DataFrame, *, max_pages: int |
     A chain without an end in reach is a "redirect loop".
     Adds ``http_status, error_message, final_url, is_online``.
     """
-    table = written(_captured(captures))  # bodies are read once
+    # bodies are read once; pages are followed by number, not by address, and one that was not captured has none
+    table = written(written(_captured(captures)).withColumn("no", F.monotonically_increasing_id()))
     limit = None if max_pages is None else max_pages - 1
-    jumps = follow(table.filter(F.col("next_url").isNotNull()).select(F.col("url").alias("node"), F.col("next_url").alias("next")), limit)
-    jumps = jumps.withColumnRenamed("node", "url")
-    ends = table.select(F.col("url").alias("target"), F.col("status").alias("_status"), F.col("error").alias("_error"), F.lit(True).alias("_seen"))
+    led = table.filter(F.col("next_url").isNotNull()).select("no", "next_url")
+    numbers = table.select(F.col("url").alias("next_url"), F.col("no").alias("next"))
+    led = written(lookup(led, numbers, "next_url", "no").withColumn("next", F.coalesce("next", -1 - F.col("no"))))
+    jumps = follow(led.select(F.col("no").alias("node"), "next"), limit)
+    addresses = table.select("no", "url")
+    named = led.filter("next < 0").select(F.col("next").alias("no"), F.col("next_url").alias("url")).unionByName(addresses)
+    jumps = lookup(jumps.drop("first").join(led.withColumnRenamed("no", "node").select("node", F.col("next_url").alias("first")), "node")
+                   .join(addresses.withColumnRenamed("no", "node"), "node"),
+                   named.select(F.col("no").alias("target"), F.col("url").alias("_end")), "target", "node")
+    ends = table.select(F.col("no").alias("target"), F.col("status").alias("_status"), F.col("error").alias("_error"), F.lit(True).alias("_seen"))
     # a chain cut by the limit may still point at a redirecting page
     lost = F.col("looped") if limit is None else F.col("looped") | (F.col("hops") > limit)
     status = F.when(~lost, F.col("_status"))
     followed = lookup(jumps, ends, "target", "url").select(
         "url", status.alias("status"),
         F.when(lost, F.lit("redirect loop")).when(F.col("_seen").isNull(), F.lit("not captured")).otherwise(F.col("_error")).alias("error"),
-        F.when(status.between(200, 299), F.col("target")).otherwise(F.col("first")).alias("final"))
+        F.when(status.between(200, 299), F.col("_end")).otherwise(F.col("first")).alias("final"))
     direct = table.filter(F.col("next_url").isNull()).select(
         "url", "status", "error", F.when(F.col("status").between(200, 299), F.col("url")).alias("final"))
     verdicts = direct.unionByName(followed).withColumnRenamed("url", "_url").withColumn("_known", F.lit(True))

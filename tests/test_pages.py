@@ -11,7 +11,7 @@ from adledger.functions import availability as rules
 from adledger.functions import identity
 from adledger.operators import availability, graph
 from adledger.schema import PAGE
-from adledger.session import dealt
+from adledger.session import dealt, written
 from adledger.sources import cards, markup
 from adledger.sources.markup import Tree, linked_objects, with_markup
 from adledger.sources.pages import extract_listings, split_pages
@@ -207,3 +207,16 @@ def test_rows_are_dealt_evenly(spark, tmp_path):
     spark.range(60_000).coalesce(1).write.parquet(str(tmp_path / "t"))
     sizes = [len(p) for p in dealt(spark.read.parquet(str(tmp_path / "t")), 4_000).rdd.glom().collect()]
     assert sum(sizes) == 60_000 and len(sizes) == 15 and max(sizes) < 6_000
+
+
+def test_loops_end_by_their_own_length(spark, monkeypatch):
+    """Short loops beside many chains do not go round until the hops exceed all nodes."""
+    writes = []
+    monkeypatch.setattr(graph, "written", lambda df: writes.append(1) or written(df))
+    loops = [(6 * i + j, 6 * i + (j + 1) % 6) for i in range(300) for j in range(6)]
+    tails = [(10_000 + i, 10_001 + i if i % 4 else 6 * i) for i in range(41)]
+    rows = spark.createDataFrame([*loops, *tails, (20_000, 20_001)], "node bigint, next bigint")
+    got = {r.node: r for r in graph.follow(rows).collect()}
+    assert all(r.looped for n, r in got.items() if n != 20_000) and len(got) == 1_842
+    assert not got[20_000].looped and got[20_000].target == 20_001
+    assert len(writes) <= 1 + 2 * 5  # 2^11 hops would take eleven rounds
