@@ -35,7 +35,8 @@ def summary_payload(listings: DataFrame, generated_at: Column) -> DataFrame:
 
 
 def write_json(listings: DataFrame, path: str, generated_at: Column) -> None:
-    payload_rows(listings).write.mode("overwrite").text(f"{path}/listings")
+    """The feed as JSON lines, compressed: most of a record is the names of its keys."""
+    payload_rows(listings).write.mode("overwrite").option("compression", "gzip").text(f"{path}/listings")
     summary_payload(listings, generated_at).write.mode("overwrite").json(f"{path}/summary")
 
 

@@ -1,9 +1,16 @@
 """Large keys and large tables in small: what only showed at size."""
 
+import os
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from adledger.functions.text import scan
+from adledger.plans.bindings import listings
+from adledger.schema import conform
+from adledger.sources import exports
 from tests.check import _rows, duck
 
 SHIFT = 8_850_000
@@ -27,3 +34,19 @@ def test_prices_beyond_an_integer(spark, shifted, name):
     columns = [d[0] for d in result.description]
     assert sorted(df.columns) == sorted(columns)
     assert _rows(df.columns, df.collect()) == _rows(columns, result.fetchall())
+
+
+def test_the_json_feed_is_compressed(spark, sf_dir, tmp_path):
+    rows = conform(listings(spark, sf_dir))
+    exports.write_json(rows, str(tmp_path / "feed"), F.lit("2024-03-01"))
+    folder = tmp_path / "feed" / "listings"
+    size = sum(os.path.getsize(folder / f) for f in os.listdir(folder))
+    text = spark.read.text(str(folder)).agg(F.count("*"), F.sum(F.length("value"))).first()
+    assert text[0] == rows.count() and size * 5 < text[1]
+
+
+def test_scans_do_not_translate_each_character(spark):
+    df = spark.createDataFrame([("a\x01 12 \x02b\x03 7\x04",), ("",)], "t string")
+    found = df.select(scan(F.col("t"), r"(\d+)", groups=1, left=3, right=2, shortest=1).alias("m"))
+    assert "translate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [[tuple(m) for m in r.m] for r in found.collect()] == [[("12", "a  ", "  "), ("7", "b  ", " ")], []]
