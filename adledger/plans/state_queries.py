@@ -11,6 +11,7 @@ from adledger import lexicon as lx
 from adledger import schema
 from adledger.functions import identity
 from adledger.operators import enrichment, state
+from adledger.operators.skew import shuffled
 from adledger.plans import listing_queries as lq
 from adledger.plans.batch import SNAPSHOT, Run, listing_folder, store_run
 from adledger.plans.bindings import K, LISTINGS, listings, sql, table, with_lists
@@ -108,7 +109,7 @@ def stored_and_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     for _ in range(2):
         store_run(folder, "second", run)
-    log = folder.log("snapshots", SNAPSHOT).select(F.col("listing_id").alias("id")).distinct()
+    log = shuffled(folder.log("snapshots", SNAPSHOT).select(F.col("listing_id").alias("id")).distinct())
     known = folder.state.read()
     written = known.join(log, "id", "left_semi")
     return written.unionByName(known.join(log, "id", "left_anti")).select(*STATE_COLUMNS)

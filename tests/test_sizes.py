@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from adledger.functions.text import scan
+from adledger.operators import state
+from adledger.plans import state_queries
 from adledger.plans.bindings import listings
 from adledger.schema import conform
+from adledger.session import written
 from adledger.sources import exports
 from tests.check import _rows, duck
 
@@ -50,3 +53,11 @@ def test_scans_do_not_translate_each_character(spark):
     found = df.select(scan(F.col("t"), r"(\d+)", groups=1, left=3, right=2, shortest=1).alias("m"))
     assert "translate" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert [[tuple(m) for m in r.m] for r in found.collect()] == [[("12", "a  ", "  "), ("7", "b  ", " ")], []]
+
+
+def test_no_ids_of_the_state_pass_the_driver(spark, sf_dir):
+    plan = entry.queries()["o_snk_4"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+    fresh, stored = state_queries._runs(spark, sf_dir)
+    plan = state.upsert(fresh, written(stored), F.lit("2024-03-01").cast("timestamp")).state._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
