@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adledger.llm.common import components, cut, join_on, once, small_batches
+from adledger.llm.common import components, cut, join_on, once, small_batches, tasks_for
 from adledger.operators.skew import lookup
 
 #: Least Jaccard similarity of linked sets, as a fraction.
@@ -28,6 +28,8 @@ READ_SLOTS = 1 << 18
 CELL = 512
 SKETCH_BITS = (64, 1 << 16)
 CELL_BITS = 512
+#: Pairs of a task that compares whole sketches, each 8 KB at most.
+SKETCHED_ROWS = 4096
 
 NODE = "doc_id bigint, _h bigint, sid bigint, n int, sketch binary, small binary"
 
@@ -303,20 +305,22 @@ def similar_links(docs: DataFrame, rows: DataFrame, size: int, roots: DataFrame)
     with small_batches(docs.sparkSession):
         shared = cut(head.groupBy("x").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a < b").select("x"))
         members = cut(head.join(shared, "x").select("x", "sid", "n", "pos").distinct())
+    spark = docs.sparkSession
+    few = tasks_for(spark, max(members.count(), nodes.count()))
     fp_of, sketch_by = nodes.select("sid", "fp"), nodes.select("sid", "sketch")
 
     def mixed(roots: DataFrame) -> DataFrame:
         """Members, with their root, of shingles that still have several roots: and m, the number, and the pivot."""
-        named = cut(fp_of.join(roots, "fp", "left").select("sid", F.coalesce("root", "fp").alias("root")))
-        rooted = lookup(members, named, "sid", "x")
+        named = cut(fp_of.join(roots, "fp", "left").select("sid", F.coalesce("root", "fp").alias("root")).coalesce(few))
+        rooted = lookup(members, named, "sid", "x", few)
         pivots = rooted.groupBy("x").agg(F.min(F.struct("pos", "root", "sid", "n")).alias("pivot"),
                                          F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("m"))
-        return lookup(rooted, cut(pivots.where("least <> most").drop("least", "most")), "x", "sid").where("pivot is not null")
+        return lookup(rooted, cut(pivots.where("least <> most").drop("least", "most").coalesce(few)), "x", "sid", few).where("pivot is not null")
 
     def links(pairs: DataFrame) -> DataFrame:
         """Pairs of sids as pairs of their fingerprints."""
         left = pairs.join(fp_of.withColumnRenamed("fp", "u"), "sid")
-        return cut(left.join(fp_of.select(F.col("sid").alias("sid2"), F.col("fp").alias("v")), "sid2").select("u", "v").where("u <> v"))
+        return cut(left.join(fp_of.select(F.col("sid").alias("sid2"), F.col("fp").alias("v")), "sid2").select("u", "v").where("u <> v").coalesce(few))
 
     def sketched(pairs: DataFrame) -> DataFrame:
         """Pairs whose sketches do not rule them out, with the distance ``d`` of these."""
@@ -329,7 +333,8 @@ def similar_links(docs: DataFrame, rows: DataFrame, size: int, roots: DataFrame)
                 told = batch.select(["sid", "n", "sid2", "n2"]).add_column(4, "d", pa.array(d, pa.int32()))
                 yield told.filter(pa.array(near, pa.bool_()))
 
-        both = lookup(lookup(pairs, sketch_by, "sid", "sid2"), sketch_by.select(F.col("sid").alias("sid2"), F.col("sketch").alias("sketch2")), "sid2", "sid")
+        tasks = tasks_for(spark, pairs.count(), SKETCHED_ROWS)
+        both = lookup(lookup(pairs, sketch_by, "sid", "sid2", tasks), sketch_by.select(F.col("sid").alias("sid2"), F.col("sketch").alias("sketch2")), "sid2", "sid", tasks)
         return both.select("sid", "n", "sid2", "n2", "sketch", "sketch2").mapInArrow(run, "sid bigint, n int, sid2 bigint, n2 int, d int")
 
     num, den = SIMILAR

@@ -279,3 +279,24 @@ def test_line_dedup(spark, min_lines):
 
 def test_line_dedup_of_nothing(spark):
     assert line_dedup.remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_rounds_on_few_edges_use_few_tasks(spark, monkeypatch):
+    """Each task of a round leaves files: with many shuffle partitions a small graph took them all."""
+    from adledger.llm import common
+
+    files, old = [], common.cut
+
+    def cut(df):
+        out = old(df)
+        files.append(out.rdd.getNumPartitions() and len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(common, "cut", cut)
+    cores = spark.sparkContext.defaultParallelism
+    edges = spark.range(4000).selectExpr("id AS u", "id + 1 AS v").where("u % 5 < 4")
+    with common.setting(spark, "spark.sql.shuffle.partitions", str(8 * cores)), \
+            common.setting(spark, "spark.sql.adaptive.coalescePartitions.enabled", "false"):
+        found = {r["node"]: r["root"] for r in common.components(edges).collect()}
+    assert found == {n: n - n % 5 for n in range(4000)}
+    assert len(files) > 1 and max(files[1:]) <= cores
