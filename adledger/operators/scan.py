@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from adledger.operators.skew import shuffled
 from adledger.session import written
 
 PART = "_part"
@@ -82,7 +83,7 @@ def values_at(rows: DataFrame, column: str, positions: dict[str, Callable[[Colum
     )
     inside = W.partitionBy("block").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
     ranked = (
-        histogram.join(blocks, "block")
+        shuffled(histogram).join(blocks, "block")
         .withColumn("upto", F.col("before") + F.sum("c").over(inside))
     )
     return ranked.agg(F.max("n").alias("n"), *[

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from adledger import schema
+from adledger.operators.skew import shuffled
 from adledger.plans import cluster_queries as cq
 from adledger.plans import history_queries as hq
 from adledger.plans.batch import SNAPSHOT, listing_folder, with_prices
@@ -97,7 +98,7 @@ def _ingested(spark: SparkSession, sf_dir: str, arrivals: list[str]) -> DataFram
         stream = spark.readStream.schema(fresh.schema).parquet(inbox)
         ingest.ingest_listings(stream, folder, offsets).awaitTermination()
     snaps = folder.log("snapshots", with_prices(SNAPSHOT, T.LongType())).groupBy(F.col("listing_id").alias("id")).agg(F.count("*").alias("snapshots"))
-    rows = folder.state.read().join(snaps, "id").select("id", "cluster_id", "price_eur", "change_type", "snapshots")
+    rows = folder.state.read().join(shuffled(snaps), "id").select("id", "cluster_id", "price_eur", "change_type", "snapshots")
     # an integer like the SQL's while all prices fit; larger ones stay as they are
     top = folder.state.read().agg(F.max("price_eur")).first()[0] or 0
     return rows.withColumn("price_eur", F.col("price_eur").cast("int")) if top < 1 << 31 else rows

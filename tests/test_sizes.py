@@ -61,3 +61,19 @@ def test_no_ids_of_the_state_pass_the_driver(spark, sf_dir):
     fresh, stored = state_queries._runs(spark, sf_dir)
     plan = state.upsert(fresh, written(stored), F.lit("2024-03-01").cast("timestamp")).state._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
+
+
+def test_no_listings_of_a_stream_pass_the_driver(spark, sf_dir):
+    """No join of a whole ingest is planned as a broadcast of what grows with the listings."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    adaptive = "spark.sql.adaptive.autoBroadcastJoinThreshold"  # what is seen to be small may be sent
+    spark.conf.set(adaptive, "-1")
+    try:
+        entry.queries()["o_str_4"](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.unset(adaptive)
+    runs = store.executionsList()
+    plans = [runs.apply(i).physicalPlanDescription() for i in range(runs.size()) if runs.apply(i).executionId() >= before]
+    assert len(plans) > 20
+    assert [p for p in plans if "BroadcastExchange" in p] == []
