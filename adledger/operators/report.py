@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from adledger import lexicon as lx
 from adledger.functions.text import blank_to_null
-from adledger.session import durable
+from adledger.session import written
 from adledger.operators.scan import values_at
 
 
@@ -69,7 +69,7 @@ list_order_static = {
 def ranked(df: DataFrame, order: list[Column]) -> DataFrame:
     """Total order with a dense ``rank`` from 1, without a single-task window.
 
-    The range-partitioned sort is made durable once, so that counting its
+    The range-partitioned sort is made written once, so that counting its
     partitions and numbering its rows see the same layout. The offsets table has
     one row per partition.
     """
@@ -77,7 +77,7 @@ def ranked(df: DataFrame, order: list[Column]) -> DataFrame:
         "_part": F.spark_partition_id(),
         "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)),
     })
-    placed = durable(placed)
+    placed = written(placed)
     counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))

@@ -16,7 +16,7 @@ from adledger.operators.enrichment import call_provider, enrichment_input, merge
 from adledger.operators.scoring import with_score
 from adledger.operators.state import Upsert, upsert
 from adledger.operators.validation import crawl_quality, quality_message
-from adledger.session import durable
+from adledger.session import written
 from adledger.sources.pages import extract_listings, split_pages
 from adledger.sources.state_table import BUCKETS, BatchFolder, Staged
 
@@ -50,17 +50,17 @@ def run_listings(
 ) -> Run:
     """Resolve, enrich, score and store one batch of listings (with ``pos``).
 
-    Two reliable checkpoints cut the lineage: after the cascade, whose result is read
+    Two written tables cut the lineage: after the cascade, whose result is read
     several times by the cluster exchange, and before the upsert.
     """
-    clustered = durable(assign_clusters(fresh, stored))
+    clustered = written(assign_clusters(fresh, stored))
     enriched = enrich_clusters(clustered)
     warnings = crawl_quality(clustered).select("scope", quality_message().alias("message"))
     if provider is not None:
-        results = durable(call_provider(enrichment_input(enriched, max_images=max_images), provider))
+        results = written(call_provider(enrichment_input(enriched, max_images=max_images), provider))
         enriched = merge_results(enriched, results)
         warnings = warnings.unionByName(provider_warnings(results))
-    scored = durable(with_score(enriched, scoring))
+    scored = written(with_score(enriched, scoring))
     return Run(upsert(scored, stored, captured_at, overrides=overrides), warnings)
 
 
@@ -74,7 +74,7 @@ def run_pages(
     A run that had been staged before is only put in place; its warnings are those of the pages.
     """
     usable, problems = split_pages(pages, sources)
-    listings = durable(extract_listings(usable, scoring=scoring))
+    listings = written(extract_listings(usable, scoring=scoring))
     told = [problems.select(F.col("source").alias("scope"), F.concat_ws(": ", "url", "problem").alias("message"))]
 
     def run() -> Run:

@@ -1,6 +1,7 @@
 """Large keys and large tables in small: what only showed at size."""
 
 import os
+import time
 
 import duckdb
 import pytest
@@ -63,17 +64,45 @@ def test_no_ids_of_the_state_pass_the_driver(spark, sf_dir):
     assert "Broadcast" not in plan
 
 
-def test_no_listings_of_a_stream_pass_the_driver(spark, sf_dir):
-    """No join of a whole ingest is planned as a broadcast of what grows with the listings."""
+def plans_of(spark, job):
+    """Texts of the plans that ``job`` runs; only what is planned as a broadcast is sent as one."""
     store = spark._jsparkSession.sharedState().statusStore()
     before = store.executionsCount()
-    adaptive = "spark.sql.adaptive.autoBroadcastJoinThreshold"  # what is seen to be small may be sent
+    adaptive = "spark.sql.adaptive.autoBroadcastJoinThreshold"
     spark.conf.set(adaptive, "-1")
     try:
-        entry.queries()["o_str_4"](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        job()
     finally:
         spark.conf.unset(adaptive)
     runs = store.executionsList()
-    plans = [runs.apply(i).physicalPlanDescription() for i in range(runs.size()) if runs.apply(i).executionId() >= before]
+    return [runs.apply(i).physicalPlanDescription() for i in range(runs.size()) if runs.apply(i).executionId() >= before]
+
+
+def test_no_listings_of_a_stream_pass_the_driver(spark, sf_dir):
+    """No join of a whole ingest is planned as a broadcast of what grows with the listings."""
+    plans = plans_of(spark, lambda: entry.queries()["o_str_4"](spark, sf_dir).write.format("noop").mode("overwrite").save())
     assert len(plans) > 20
     assert [p for p in plans if "BroadcastExchange" in p] == []
+
+
+def test_a_level_shuffles_open_rows_only_and_none_are_broadcast(spark, sf_dir):
+    plans = plans_of(spark, lambda: entry.queries()["o_clu_4"](spark, sf_dir).write.format("noop").mode("overwrite").save())
+    # the two shuffles of a level, told in the final and in the first plan
+    assert 1 <= max(p.count("hashpartitioning(_key#") for p in plans) <= 4
+    assert [p for p in plans if "BroadcastExchange" in p] == []
+
+
+def test_a_written_table_frees_its_shuffle_files(spark):
+    def files():
+        kept = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for f in kept.mkString("\n").split("\n") if "shuffle_" in f}
+
+    before = files()
+    assert written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()).count() == 7
+    for _ in range(50):
+        left = files() - before
+        if not any(f.endswith(".data") for f in left):
+            break
+        time.sleep(0.2)
+    # the count of rows after it has one of its own
+    assert sum(f.endswith(".data") for f in left) <= 1
