@@ -1,6 +1,7 @@
 """Large keys and large tables in small: what only showed at size."""
 
 import os
+import re
 import time
 
 import duckdb
@@ -92,6 +93,14 @@ def test_a_level_shuffles_open_rows_only_and_none_are_broadcast(spark, sf_dir):
     assert [p for p in plans if "BroadcastExchange" in p] == []
 
 
+def test_whole_rows_of_a_run_are_shuffled_by_one_step_at_a_time(spark, sf_dir):
+    plans = plans_of(spark, lambda: entry.queries()["o_snk_4"](spark, sf_dir).write.format("noop").mode("overwrite").save())
+    wide = [re.findall(r"Exchange\s*\nInput \[(\d+)\]", p) for p in plans]
+    # the steps: put, type, stage, put; each told in the final and in the first plan
+    assert 1 <= max(sum(int(n) > 40 for n in p) for p in wide) <= 2
+    assert [p for p in plans if "BroadcastExchange" in p] == []
+
+
 def test_a_written_table_frees_its_shuffle_files(spark):
     def files():
         kept = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
